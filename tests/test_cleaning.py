@@ -1,0 +1,150 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.data import lines_frame, plan_of, rows
+from trolley.operators import cleaning
+from trolley.operators.windows import hot_keys
+from trolley.sources import load_tables
+from trolley.sources.schemas import TABLE_COLUMNS
+
+RAW = TABLE_COLUMNS["orders"]
+
+
+def raw_orders(spark, *orders):
+    return spark.createDataFrame(list(orders), RAW)
+
+
+def raw_shop(shop):
+    return {**shop, "orders": shop["orders"].drop("order_ts")}
+
+
+def test_dedup_keeps_the_smallest_copy(spark):
+    orders = raw_orders(
+        spark, (5, 1, "prior", 3, 2, 8, 4.0), (5, 1, "prior", 2, 2, 8, 4.0),
+        (5, 1, "prior", 9, 2, 8, None), (6, 1, "prior", 1, 2, 8, None),
+    )
+    once = cleaning.dedup_by_key(orders, "order_id")
+    assert rows(once, "order_id", "order_number") == [(5, 2), (6, 1)]
+    assert rows(cleaning.dedup_by_key(once, "order_id")) == rows(once)
+
+
+def test_dedup_by_key_drops_copies_before_the_shuffle(shop):
+    plan = plan_of(cleaning.dedup_by_key(shop["order_products_prior"], "order_id"))
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_dedup_rows_treats_nulls_as_equal_and_is_idempotent(spark):
+    lines = lines_frame(spark, [(1, 2, 3, None)] * 3 + [(1, 2, 4, 1)])
+    once = cleaning.dedup_rows(lines)
+    assert rows(once) == [(1, 2, 3, None), (1, 2, 4, 1)]
+    assert rows(cleaning.dedup_rows(once)) == rows(once)
+
+
+FIRST_GAP = [
+    (1, 1, "prior", 1, 0, 9, None), (2, 1, "prior", 2, 0, 9, 7.0), (3, 1, "prior", 3, 0, 9, 3.0),
+]
+
+
+def test_gaps_add_up_from_the_base_date(spark):
+    timed = cleaning.clean_orders(raw_orders(spark, *FIRST_GAP))
+    assert rows(timed, "order_id", "order_date") == [
+        (1, date(2017, 1, 1)), (2, date(2017, 1, 8)), (3, date(2017, 1, 11)),
+    ]
+    assert dict(timed.dtypes)["order_ts"] == "timestamp_ntz"
+    assert timed.columns[-2:] == ["order_date", "order_ts"]
+
+
+def test_filling_changes_the_average_gap(spark):
+    orders = raw_orders(spark, *FIRST_GAP)
+    mean = F.avg("days_since_prior_order")
+    assert orders.agg(mean).first()[0] == 5.0
+    assert cleaning.fill_first_gap(orders).agg(mean).first()[0] == pytest.approx(10 / 3)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_daylight_saving_does_not_shift_the_hour(spark, conf, zone):
+    conf("spark.sql.session.timeZone", zone)
+    timed = cleaning.add_order_time(raw_orders(spark, (1, 1, "prior", 1, 0, 9, 70.0)))
+    assert rows(timed, "order_ts") == [(datetime(2017, 3, 12, 9),)]
+
+
+def test_part_days_are_cut_off(spark):
+    timed = cleaning.add_order_time(raw_orders(spark, (1, 1, "prior", 1, 0, 0, 2.7)))
+    assert rows(timed, "order_date") == [(date(2017, 1, 3),)]
+
+
+def test_orders_with_equal_numbers_share_a_date(spark):
+    orders = raw_orders(
+        spark, (1, 1, "prior", 1, 0, 0, 2.0), (2, 1, "prior", 1, 0, 0, 3.0),
+        (3, 1, "prior", 2, 0, 0, 1.0),
+    )
+    assert rows(cleaning.add_order_time(orders), "order_id", "order_date") == [
+        (1, date(2017, 1, 6)), (2, date(2017, 1, 6)), (3, date(2017, 1, 7)),
+    ]
+
+
+def test_order_time_of_a_hot_user(shop):
+    orders = shop["orders"].drop("order_ts")
+    hot = hot_keys(orders, "user_id", 20)
+    assert rows(hot)[0][0] == 1
+    split = cleaning.add_order_time(orders, hot=hot, orders_per_block=8)
+    assert rows(split) == rows(cleaning.add_order_time(orders))
+    assert rows(split, "order_id", "order_ts") == rows(shop["orders"], "order_id", "order_ts")
+
+
+def wide_by_hand(shop):
+    t = {name: [r.asDict() for r in df.collect()] for name, df in shop.items()}
+    by = {
+        name: {r[key]: r for r in t[name]}
+        for name, key in [("orders", "order_id"), ("products", "product_id"),
+                          ("aisles", "aisle_id"), ("departments", "department_id")]
+    }
+    out = []
+    for line in t["order_products_prior"]:
+        product = by["products"].get(line["product_id"])
+        department = product and by["departments"].get(product["department_id"])
+        if department:
+            row = {**line, **by["orders"][line["order_id"]], **product, **department,
+                   **by["aisles"][product["aisle_id"]]}
+            out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("max_bytes", [0, 10**9])
+def test_wide_lines(shop, max_bytes):
+    wide = cleaning.wide_lines(shop, max_bytes)
+    assert wide.columns == [
+        "department_id", "aisle_id", "product_id", "order_id", "add_to_cart_order", "reordered",
+        "user_id", "eval_set", "order_number", "order_dow", "order_hour_of_day",
+        "days_since_prior_order", "order_ts", "product_name", "aisle", "department",
+    ]
+    expected = sorted((tuple(r[c] for c in wide.columns) for r in wide_by_hand(shop)), key=repr)
+    assert rows(wide) == expected
+
+
+def test_preprocess_writes_and_returns_everything(spark, shop, tmp_path):
+    lines = shop["order_products_prior"]
+    raw = {**raw_shop(shop), "order_products_prior": lines.union(lines)}
+    raw["order_products_train"] = lines.limit(5)
+    root = str(tmp_path)
+    out = cleaning.preprocess(raw, root, partitions=4)
+    assert set(out) == {*raw, "wide"}
+    assert out["order_products_prior"].count() == lines.count()
+    assert rows(out["wide"], "order_id", "product_id", "department") == rows(
+        cleaning.wide_lines(shop), "order_id", "product_id", "department"
+    )
+    assert rows(load_tables(spark, root, names=["orders"])["orders"], "order_id", "order_ts") == (
+        rows(shop["orders"], "order_id", "order_ts")
+    )
+
+
+def test_rerun_replaces_what_was_written(spark, shop, tmp_path):
+    raw = raw_shop(shop)
+    cleaning.preprocess(raw, str(tmp_path))
+    fewer = {**raw, "orders": raw["orders"].where("user_id <= 3")}
+    out = cleaning.preprocess(fewer, str(tmp_path))
+    assert out["wide"].agg(F.max("user_id")).first()[0] == 3

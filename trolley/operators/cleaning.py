@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.sizing import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
-from trolley.operators.windows import HOT_ROWS, hot_keys, running_totals
+from trolley.operators.windows import hot_keys, running_totals
 from trolley.sources.readers import Tables, load_tables
 from trolley.sources.writers import write_parquet
 
@@ -43,14 +43,15 @@ def fill_first_gap(orders: DataFrame) -> DataFrame:
 def add_order_time(
     orders: DataFrame,
     base_date: str = BASE_DATE,
-    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
     orders_per_block: int = ORDERS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``order_date`` and ``order_ts`` from the gaps between a user's orders.
 
     The date is ``base_date`` plus the gaps up to and including the order (default RANGE
     frame, so orders with equal numbers share a date). The time is date plus hour as
-    TIMESTAMP_NTZ, which no daylight-saving change can shift.
+    TIMESTAMP_NTZ, which no daylight-saving change can shift. ``hot`` lists the users with very
+    many orders; by default it is found in the orders.
     """
     elapsed = running_totals(
         orders,
@@ -58,7 +59,7 @@ def add_order_time(
         order_by=["order_number"],
         totals={"_days": F.coalesce(F.col("days_since_prior_order"), F.lit(0.0))},
         block=F.floor(F.col("order_number") / orders_per_block),
-        hot=hot_keys(orders, "user_id", hot_rows),
+        hot=hot_keys(orders, "user_id") if hot is None else hot,
         peers=True,
     )
     on = F.date_add(F.lit(base_date).cast("date"), F.col("_days").cast("int"))
@@ -70,18 +71,23 @@ def add_order_time(
     )
 
 
-def clean_orders(orders: DataFrame) -> DataFrame:
-    return add_order_time(fill_first_gap(dedup_by_key(orders, "order_id")))
+def clean_orders(orders: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """One row per order, gaps filled, with date and time."""
+    if hot is None:
+        # Looked for before removing copies, which would cost a shuffle; too many is no harm.
+        hot = hot_keys(orders, "user_id")
+    return add_order_time(fill_first_gap(dedup_by_key(orders, "order_id")), hot=hot)
 
 
-def clean_tables(raw: Tables) -> Tables:
+def clean_tables(raw: Tables, hot: DataFrame | None = None) -> Tables:
     """Cleaned DataFrames for whichever of the raw tables are given."""
-    cleaners = {
-        "orders": clean_orders,
-        "order_products_prior": dedup_rows,
-        "order_products_train": dedup_rows,
-    }
-    return {name: cleaners[name](df) if name in cleaners else df for name, df in raw.items()}
+    cleaned = dict(raw)
+    if "orders" in raw:
+        cleaned["orders"] = clean_orders(raw["orders"], hot)
+    for name in ("order_products_prior", "order_products_train"):
+        if name in raw:
+            cleaned[name] = dedup_rows(raw[name])
+    return cleaned
 
 
 def wide_lines(t: Tables, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -112,10 +118,12 @@ def wide_lines(t: Tables, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     )
 
 
-def write_clean(raw: Tables, root: str, partitions: int | None = 16) -> str:
+def write_clean(
+    raw: Tables, root: str, partitions: int | None = 16, hot: DataFrame | None = None
+) -> str:
     """Clean ``raw`` and write one Parquet folder per table under ``root``."""
     clustered = {"order_products_prior": "order_id"}
-    for name, df in clean_tables(raw).items():
+    for name, df in clean_tables(raw, hot).items():
         write_parquet(df, f"{root}/{name}", clustered.get(name), partitions)
     return root
 
@@ -125,14 +133,16 @@ def write_wide(t: Tables, path: str, partitions: int | None = 16) -> str:
     return write_parquet(wide_lines(t), path, "user_id", partitions)
 
 
-def preprocess(raw: Tables, root: str, partitions: int | None = 16) -> Tables:
+def preprocess(
+    raw: Tables, root: str, partitions: int | None = 16, hot: DataFrame | None = None
+) -> Tables:
     """The whole preparation: clean, write the tables, build the wide table from what was written.
 
     Returns the written tables plus ``wide``. Reading them back means that nothing is cleaned
     twice and that the wide join starts from small lineage.
     """
     spark = next(iter(raw.values())).sparkSession
-    write_clean(raw, root, partitions)
+    write_clean(raw, root, partitions, hot)
     tables = load_tables(spark, root, names=raw)
     write_wide(tables, f"{root}/wide", partitions)
     return {**tables, "wide": spark.read.parquet(f"{root}/wide")}

@@ -6,6 +6,8 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.sources.writers import write_parquet
+
 
 def baskets(items: DataFrame, min_support: float) -> DataFrame:
     """One array of distinct items per ``order_id``, without the items that are too rare.
@@ -31,9 +33,17 @@ def baskets(items: DataFrame, min_support: float) -> DataFrame:
     )
 
 
-def mine(items: DataFrame, min_support: float, min_confidence: float = 0.8) -> FPGrowthModel:
+def mine(
+    items: DataFrame, min_support: float, path: str, min_confidence: float = 0.8
+) -> FPGrowthModel:
+    """Fit FP-growth on the baskets of ``items``.
+
+    It passes over the baskets several times, and again when its results are read, so they are
+    written to ``path``, a folder that all executors share, and read from there.
+    """
+    write_parquet(baskets(items, min_support), path)
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    return fp.fit(baskets(items, min_support))
+    return fp.fit(items.sparkSession.read.parquet(path))
 
 
 def frequent_pairs(model: FPGrowthModel) -> DataFrame:

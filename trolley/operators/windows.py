@@ -52,8 +52,10 @@ def running_totals(
     row before; such an expression must not decrease along ``order_by`` either.
     """
     previous = previous or {}
+    hot = F.broadcast(hot)
+    is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
     marked = (
-        df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+        df.join(hot, is_hot, "left")
         .withColumn("_block", F.when(F.col("_hot"), block))
         .drop("_hot_key", "_hot")
     )
@@ -66,10 +68,11 @@ def running_totals(
         *[F.lag(e).over(along).alias(name) for name, e in previous.items()],
     )
 
-    # Hot keys only: one row per block, then what the blocks before it add up to.
+    # Hot keys only: one row per block, then what the blocks before it add up to. Without hot
+    # keys this side is empty, and adaptive execution drops it and the join below unrun.
     per_block = (
-        marked.where(F.col("_block").isNotNull())
-        .groupBy(key, "_block")
+        df.join(hot, is_hot)
+        .groupBy(key, block.alias("_block"))
         .agg(
             *[F.sum(e).alias(f"_before_{name}") for name, e in totals.items()],
             *[F.max(e).alias(f"_before_{name}") for name, e in previous.items()],
