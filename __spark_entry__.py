@@ -375,12 +375,12 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT antecedent, consequent,
                    ROUND(r.baskets / a.baskets, 9) AS confidence,
-                   ROUND((r.baskets / a.baskets) / (c.baskets / n.baskets), 9) AS lift,
-                   ROUND(r.baskets / n.baskets, 9) AS support
+                   ROUND((r.baskets / a.baskets)
+                         / (c.baskets / (SELECT baskets FROM n)), 9) AS lift,
+                   ROUND(r.baskets / (SELECT baskets FROM n), 9) AS support
             FROM both_ways AS r
             JOIN singles AS a ON a.item = antecedent
             JOIN singles AS c ON c.item = consequent
-            CROSS JOIN n
             WHERE r.baskets / a.baskets >= {MIN_CONFIDENCE}""",
     }
     return {name: f"{ORDER_TABLES} {body}" for name, body in bodies.items()}

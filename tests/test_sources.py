@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
@@ -59,6 +60,15 @@ def test_blank_key_is_null(spark, tmp_path):
     assert rows(aisles) == [(1, "bread"), (None, "unknown")]
 
 
+def test_malformed_fields(spark, tmp_path):
+    (tmp_path / "aisles.csv").write_text("aisle_id,aisle\n1,bread\n9999999999,too long\n")
+    lenient = load_tables(spark, str(tmp_path), "csv", ["aisles"])["aisles"]
+    assert rows(lenient) == [(1, "bread"), (None, "too long")]
+    strict = load_tables(spark, str(tmp_path), "csv", ["aisles"], mode="FAILFAST")["aisles"]
+    with pytest.raises(Py4JJavaError, match="FAILFAST"):
+        strict.collect()
+
+
 def test_missing_tables_raise_unless_optional(spark, tmp_path):
     write_parquet(spark.range(3), str(tmp_path / "orders"))
     names = ["orders", "aisles"]

@@ -16,12 +16,12 @@ COLUMNS = ["k", "at", "id", "v"]
 
 @pytest.fixture(scope="module")
 def events(spark):
-    """Keys 1 and NULL hold a third of the rows each; ``at`` has many ties; some v are NULL."""
+    """Keys 1 and NULL hold a third of the rows each; ``at`` has many ties and some NULLs."""
     rng = random.Random(3)
     data = [
         (
             rng.choice([1, None, rng.randint(2, 40)]),
-            rng.randint(0, 60),
+            rng.choice([None, *range(60)]),
             i,
             rng.choice([None, rng.randint(-5, 20)]),
         )

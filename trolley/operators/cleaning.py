@@ -119,22 +119,27 @@ def wide_lines(t: Tables, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def write_clean(
-    raw: Tables, root: str, partitions: int | None = 16, hot: DataFrame | None = None
+    raw: Tables, root: str, partitions: int | None = None, hot: DataFrame | None = None
 ) -> str:
-    """Clean ``raw`` and write one Parquet folder per table under ``root``."""
+    """Clean ``raw`` and write one Parquet folder per table under ``root``.
+
+    The lines are clustered by order, in ``partitions`` parts or, by default, as many as the
+    session's shuffles have. Later groupings by order then find most of an order's lines in
+    one map task and shrink them there.
+    """
     clustered = {"order_products_prior": "order_id"}
     for name, df in clean_tables(raw, hot).items():
         write_parquet(df, f"{root}/{name}", clustered.get(name), partitions)
     return root
 
 
-def write_wide(t: Tables, path: str, partitions: int | None = 16) -> str:
+def write_wide(t: Tables, path: str, partitions: int | None = None) -> str:
     """Write the wide table, clustered by user."""
     return write_parquet(wide_lines(t), path, "user_id", partitions)
 
 
 def preprocess(
-    raw: Tables, root: str, partitions: int | None = 16, hot: DataFrame | None = None
+    raw: Tables, root: str, partitions: int | None = None, hot: DataFrame | None = None
 ) -> Tables:
     """The whole preparation: clean, write the tables, build the wide table from what was written.
 

@@ -31,11 +31,14 @@ def load_tables(
     names: Iterable[str] = tuple(CSV_FILES),
     optional: Collection[str] = (),
     wide_ids: bool = False,
+    mode: str = "PERMISSIVE",
 ) -> Tables:
     """The named tables under ``root``, keyed by table name.
 
     The format is the caller's choice and is never switched silently: raw CSV lacks the
     columns that cleaning adds. A table that is not there raises, unless it is ``optional``.
+    For CSV, ``wide_ids`` reads the growing keys as bigint and ``mode`` says what becomes of a
+    malformed field: NULL (PERMISSIVE), the row dropped (DROPMALFORMED) or an error (FAILFAST).
     """
     if format not in ("csv", "parquet"):
         raise ValueError(f"format must be 'csv' or 'parquet', not {format!r}")
@@ -43,7 +46,8 @@ def load_tables(
     for name in names:
         try:
             if format == "csv":
-                tables[name] = read_csv_table(spark, f"{root}/{CSV_FILES[name]}", name, wide_ids)
+                path = f"{root}/{CSV_FILES[name]}"
+                tables[name] = read_csv_table(spark, path, name, wide_ids, mode)
             else:
                 tables[name] = spark.read.parquet(f"{root}/{name}")
         except AnalysisException as error:

@@ -13,7 +13,9 @@ def cluster_by_key(df: DataFrame, key: str, partitions: int | None = None) -> Da
 
     Uses the REBALANCE hint: the rows are hashed on the key into ``partitions`` parts, then
     adaptive execution splits a part swollen by a hot key and merges tiny ones. A plain
-    ``repartition(n, key)`` would leave a key with a third of all rows in one task.
+    ``repartition(n, key)`` would leave a key with a third of all rows in one task. Without
+    ``partitions`` the session's ``spark.sql.shuffle.partitions`` applies, which should suit
+    the data: parts far above the advisory size are split too, and their keys with them.
     """
     if partitions is None:
         return df.hint("rebalance", key)
