@@ -111,7 +111,7 @@ def _default_frame(spark: SparkSession, root: str) -> DataFrame:
         key="user_id",
         order_by=["order_ts"],
         totals={"items_to_date": F.col("basket_size")},
-        block=F.to_date("order_ts"),
+        blocks=[F.to_date("order_ts")],
         hot=_hot_users(spark, root),
         peers=True,
     )

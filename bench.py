@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trolley.functions import cached, scratch_path
 from trolley.operators import cleaning
+from trolley.operators.windows import hot_keys
 from trolley.plans import reports, sqltext
 from trolley.sources import load_tables, sample_tables, write_csv
 from trolley.sources.readers import Tables
@@ -63,8 +64,10 @@ def typical(build: Callable[[], DataFrame]) -> float:
 def prepare(spark: SparkSession) -> str:
     sample = sample_tables(spark, SF_DIR, numbered=True)
     raw_columns = [column.split()[0] for column in TABLE_COLUMNS["orders"].split(", ")]
+    raw = {**sample, "orders": sample["orders"].select(*raw_columns)}
+    hot = hot_keys(sample_tables(spark, SF_DIR)["orders"], "user_id")
     root = scratch_path(spark, "bench")
-    cleaning.preprocess({**sample, "orders": sample["orders"].select(*raw_columns)}, root)
+    cleaning.preprocess(raw, root, hot=hot)
     return root
 
 

@@ -91,7 +91,7 @@ def test_order_time_of_a_hot_user(shop):
     orders = shop["orders"].drop("order_ts")
     hot = hot_keys(orders, "user_id", 20)
     assert rows(hot)[0][0] == 1
-    split = cleaning.add_order_time(orders, hot=hot, orders_per_block=8)
+    split = cleaning.add_order_time(orders, hot=hot, numbers_per_block=8)
     assert rows(split) == rows(cleaning.add_order_time(orders))
     assert rows(split, "order_id", "order_ts") == rows(shop["orders"], "order_id", "order_ts")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.data import lines_frame, orders_frame, rows
@@ -128,12 +129,41 @@ def test_running_basket(spark, shop, facts):
     assert rows(reports.running_basket(shop)) == expected
     hot = hot_keys(shop["orders"], "user_id", 20)
     assert rows(hot)[0][0] == 1
-    split = reports.running_basket(shop, hot=hot, orders_per_block=7)
+    split = reports.running_basket(shop, hot=hot, numbers_per_block=7, ids_per_block=9)
     assert rows(split) == expected
-    as_sql = sqltext.running_basket(spark, shop, hot=hot, orders_per_block=7)
+    as_sql = sqltext.running_basket(spark, shop, hot=hot, numbers_per_block=7, ids_per_block=9)
     assert rows(as_sql) == expected
 
 
+def test_running_basket_of_a_user_who_is_many(spark, shop):
+    """A third of the orders have no user; they share a few order numbers."""
+    lost = F.col("order_id") % 3 == 0
+    t = {**shop, "orders": shop["orders"].withColumn("user_id", F.when(~lost, F.col("user_id")))}
+    assert t["orders"].where("user_id IS NULL").count() > 80
+    plain = (
+        Window.partitionBy("user_id")
+        .orderBy("order_number", "order_id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    sized = reports.sized_orders(t, "user_id", "order_number", "order_ts")
+    expected = rows(
+        sized.select(
+            "user_id",
+            "order_number",
+            "order_ts",
+            "basket_size",
+            F.avg("basket_size").over(plain),
+            F.sum("basket_size").over(plain),
+        )
+    )
+    hot = hot_keys(t["orders"], "user_id", 20)
+    assert (None, True) in rows(hot)
+    for size in (3, 1000):
+        options = {"hot": hot, "numbers_per_block": size, "ids_per_block": size}
+        assert rows(reports.running_basket(t, **options)) == expected
+        assert rows(sqltext.running_basket(spark, t, **options)) == expected
+
+
 def test_last_running_total_is_the_users_line_count(shop):
     last = reports.running_basket(shop).groupBy("user_id").agg(F.max("cumulative_items"))
     counts = reports.user_line_counts(reports.orders_with_line_counts(shop))

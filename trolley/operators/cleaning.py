@@ -15,8 +15,8 @@ from trolley.sources.writers import write_parquet
 # Fixed value: the day on which every user's first order is placed.
 BASE_DATE = "2017-01-01"
 
-# Orders of one hot user that share a block of the running sum.
-ORDERS_PER_BLOCK = 100_000
+# Order numbers of a hot user that share an outer block of the running sum.
+NUMBERS_PER_BLOCK = 100_000
 
 
 def dedup_by_key(df: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def add_order_time(
     orders: DataFrame,
     base_date: str = BASE_DATE,
     hot: DataFrame | None = None,
-    orders_per_block: int = ORDERS_PER_BLOCK,
+    numbers_per_block: int = NUMBERS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``order_date`` and ``order_ts`` from the gaps between a user's orders.
 
@@ -58,7 +58,7 @@ def add_order_time(
         key="user_id",
         order_by=["order_number"],
         totals={"_days": F.coalesce(F.col("days_since_prior_order"), F.lit(0.0))},
-        block=F.floor(F.col("order_number") / orders_per_block),
+        blocks=[F.floor(F.col("order_number") / numbers_per_block), F.col("order_number")],
         hot=hot_keys(orders, "user_id") if hot is None else hot,
         peers=True,
     )

@@ -2,7 +2,9 @@
 
 A window function sorts each key's rows in one task. For almost all keys that is fine. A hot
 key is cut into blocks along the window's order instead: every block gets its own window, and
-the totals of the earlier blocks, a short aggregate, are added to it.
+the totals of the earlier blocks, a short aggregate, are added to it. Blocks can be nested
+(a day, and ranges of order ids within it), so that neither the rows of a block nor the blocks
+of a key become many.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def running_totals(
     key: str,
     order_by: Sequence[str],
     totals: Mapping[str, Column],
-    block: Column,
+    blocks: Sequence[Column],
     hot: DataFrame,
     peers: bool = False,
     previous: Mapping[str, Column] | None = None,
@@ -46,23 +48,24 @@ def running_totals(
     The frame runs from the key's first row to the current row (ROWS). With ``peers`` it also
     takes in the rows that tie with the current one (RANGE, the SQL default).
 
-    ``block`` cuts a hot key's rows: it must not decrease along ``order_by`` and must put tied
-    rows in the same block. ``hot`` lists the hot keys (see :func:`hot_keys`); it may be taken
-    from a superset of ``df``. ``previous`` adds columns holding an expression's value in the
-    row before; such an expression must not decrease along ``order_by`` either.
+    ``blocks`` cuts a hot key's rows, from coarse to fine. Sorting by the blocks must agree
+    with ``order_by``, and with ``peers`` tied rows must share all blocks. ``hot`` lists the
+    hot keys (see :func:`hot_keys`); it may be taken from a superset of ``df``. ``previous``
+    adds columns holding an expression's value in the row before; such an expression must not
+    decrease along ``order_by``.
     """
     previous = previous or {}
+    names = [f"_block{i}" for i in range(len(blocks))]
     hot = F.broadcast(hot)
     is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
-    marked = (
-        df.join(hot, is_hot, "left")
-        .withColumn("_block", F.when(F.col("_hot"), block))
-        .drop("_hot_key", "_hot")
-    )
 
-    along = Window.partitionBy(key, "_block").orderBy(*order_by)
+    cut = df.join(hot, is_hot, "left").select(
+        *df.columns,
+        *[F.when(F.col("_hot"), b).alias(n) for n, b in zip(names, blocks, strict=True)],
+    )
+    along = Window.partitionBy(key, *names).orderBy(*order_by)
     frame = along if peers else along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = marked.select(
+    within = cut.select(
         "*",
         *[F.sum(e).over(frame).alias(name) for name, e in totals.items()],
         *[F.lag(e).over(along).alias(name) for name, e in previous.items()],
@@ -72,32 +75,57 @@ def running_totals(
     # keys this side is empty, and adaptive execution drops it and the join below unrun.
     per_block = (
         df.join(hot, is_hot)
-        .groupBy(key, block.alias("_block"))
+        .groupBy(key, *[b.alias(n) for n, b in zip(names, blocks, strict=True)])
         .agg(
-            *[F.sum(e).alias(f"_before_{name}") for name, e in totals.items()],
-            *[F.max(e).alias(f"_before_{name}") for name, e in previous.items()],
+            *[F.sum(e).alias(name) for name, e in totals.items()],
+            *[F.max(e).alias(name) for name, e in previous.items()],
         )
     )
+    before = _before_block(per_block, key, names, list(totals), list(previous))
+    return _join_before(within, before, [key, *names], "left").select(
+        *df.columns,
+        *[_add(F.col(n), F.col(f"_before_{n}")).alias(n) for n in totals],
+        *[F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in previous],
+    )
+
+
+def _before_block(
+    per_block: DataFrame, key: str, names: list[str], sums: list[str], maxima: list[str]
+) -> DataFrame:
+    """For each block, ``sums`` and ``maxima`` over the key's earlier blocks, as ``_before_*``.
+
+    Blocks are compared within the block around them; the blocks before that one are added.
+    """
+    *around, block = names
     earlier = (
-        Window.partitionBy(key)
-        .orderBy("_block")
+        Window.partitionBy(key, *around)
+        .orderBy(block)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
-    before = per_block.select(
-        F.col(key).alias("_before_key"),
-        F.col("_block").alias("_before_block"),
-        *[F.sum(f"_before_{n}").over(earlier).alias(f"_before_{n}") for n in totals],
-        *[F.max(f"_before_{n}").over(earlier).alias(f"_before_{n}") for n in previous],
+    inside = per_block.select(
+        key,
+        *names,
+        *[F.sum(n).over(earlier).alias(n) for n in sums],
+        *[F.max(n).over(earlier).alias(n) for n in maxima],
     )
+    if around:
+        totals = per_block.groupBy(key, *around).agg(
+            *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]
+        )
+        outside = _before_block(totals, key, around, sums, maxima)
+        inside = _join_before(inside, outside, [key, *around], "inner").select(
+            key,
+            *names,
+            *[_add(F.col(n), F.col(f"_before_{n}")).alias(n) for n in sums],
+            *[F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in maxima],
+        )
+    return inside.select([F.col(c).alias(f"_before_{c}") for c in inside.columns])
 
-    same_block = F.col(key).eqNullSafe(F.col("_before_key")) & (
-        F.col("_block") == F.col("_before_block")
-    )
-    return within.join(before, same_block, "left").select(
-        *df.columns,
-        *[_add(F.col(n), F.col(f"_before_{n}")).alias(n) for n in totals],
-        *[F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in previous],
-    )
+
+def _join_before(df: DataFrame, before: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal keys and blocks; NULL is a key and a block like any other."""
+    same = [F.col(c).eqNullSafe(F.col(f"_before_{c}")) for c in on]
+    return df.join(before, same, how)
 
 
 def _add(a: Column, b: Column) -> Column:

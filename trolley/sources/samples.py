@@ -29,8 +29,13 @@ def _orders(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def number_orders(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``order_number`` and ``days_since_prior_order`` from each user's order sequence."""
+def number_orders(
+    orders: DataFrame, hot_rows: int = HOT_ROWS, ids_per_block: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``order_number`` and ``days_since_prior_order`` from each user's order sequence.
+
+    Users with more than ``hot_rows`` orders are cut by day and range of order ids.
+    """
     day = F.to_date("order_ts")
     sequenced = running_totals(
         orders,
@@ -38,7 +43,7 @@ def number_orders(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         order_by=["order_ts", "order_id"],
         totals={"order_number": F.lit(1)},
         previous={"prior_day": day},
-        block=day,
+        blocks=[day, F.floor(F.col("order_id") / ids_per_block)],
         hot=hot_keys(orders, "user_id", hot_rows),
     )
     return sequenced.select(
