@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions import scratch_path
 from trolley.operators import cleaning, itemsets
-from trolley.operators.windows import hot_keys, running_totals
+from trolley.operators.windows import hot_keys, mark_hot, running_totals
 from trolley.plans import reports, sqltext
 from trolley.sources import load_tables, sample_tables, write_csv, write_parquet
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS
@@ -106,13 +106,14 @@ def _file_view(spark: SparkSession, root: str) -> DataFrame:
 
 def _default_frame(spark: SparkSession, root: str) -> DataFrame:
     """Running lines per user along the order date, where orders of one date are peers."""
+    t = sample_tables(spark, root)
+    orders = mark_hot(t["orders"], "user_id", hot_keys(t["orders"], "user_id"))
     return running_totals(
-        reports.sized_orders(sample_tables(spark, root), "user_id", "order_ts"),
+        reports.sized_orders({**t, "orders": orders}, "user_id", "order_ts", "_hot"),
         key="user_id",
         order_by=["order_ts"],
         totals={"items_to_date": F.col("basket_size")},
         blocks=[F.to_date("order_ts")],
-        hot=_hot_users(spark, root),
         peers=True,
     )
 

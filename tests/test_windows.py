@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.data import plan_of, rows
-from trolley.operators.windows import hot_keys, running_totals, top_n
+from trolley.operators.windows import hot_keys, mark_hot, running_totals, top_n
 
 COLUMNS = ["k", "at", "id", "v"]
 
@@ -39,12 +39,11 @@ def cuts(fine):
 
 def running(df, max_rows, peers, order_by, cut="one", **kwargs):
     return running_totals(
-        df,
+        mark_hot(df, "k", hot_keys(df, "k", max_rows)),
         key="k",
         order_by=order_by,
         totals={"total": F.col("v"), "n": F.lit(1)},
         blocks=cuts(F.col("at") if peers else F.struct("at", F.floor(F.col("id") / 50)))[cut],
-        hot=hot_keys(df, "k", max_rows),
         peers=peers,
         **kwargs,
     )
@@ -89,11 +88,15 @@ def test_hot_keys_lists_null_and_the_hot_key(events):
     )
 
 
-def test_a_hot_key_is_spread_over_windows(events):
-    """Each task sorts blocks, not keys: the exchange below the window hashes the blocks too."""
-    result = running(events, 200, False, ["at", "id"], "two")
-    result.collect()
-    assert re.search(r"Exchange hashpartitioning\(k#\d+, _block0#\d+L?, _block1#\d+", plan_of(result))
+def test_a_hot_key_is_spread_over_windows(conf, events):
+    """Tasks sort blocks, not keys, and the earlier blocks' totals come to where the rows are."""
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = plan_of(running(events, 200, False, ["at", "id"], "two"))
+    by_block = r"hashpartitioning\(_key#\d+, _no_key#\d+, _block0#\d+, _block1#\d+"
+    rows_side = plan.split("SortMergeJoin")[1].split("Exchange")[:2]
+    assert "LeftOuter" in rows_side[0] and "Window [" in rows_side[0]
+    assert re.search(by_block, rows_side[1])
 
 
 def test_without_hot_keys_only_one_window_runs(events):

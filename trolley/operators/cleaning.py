@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.sizing import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
-from trolley.operators.windows import hot_keys, running_totals
+from trolley.operators.windows import hot_keys, mark_hot, running_totals
 from trolley.sources.readers import Tables, load_tables
 from trolley.sources.writers import write_parquet
 
@@ -53,13 +53,14 @@ def add_order_time(
     TIMESTAMP_NTZ, which no daylight-saving change can shift. ``hot`` lists the users with very
     many orders; by default it is found in the orders.
     """
+    if hot is None:
+        hot = hot_keys(orders, "user_id")
     elapsed = running_totals(
-        orders,
+        mark_hot(orders, "user_id", hot),
         key="user_id",
         order_by=["order_number"],
         totals={"_days": F.coalesce(F.col("days_since_prior_order"), F.lit(0.0))},
         blocks=[F.floor(F.col("order_number") / numbers_per_block), F.col("order_number")],
-        hot=hot_keys(orders, "user_id") if hot is None else hot,
         peers=True,
     )
     on = F.date_add(F.lit(base_date).cast("date"), F.col("_days").cast("int"))

@@ -32,14 +32,23 @@ def hot_keys(df: DataFrame, key: str, max_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def mark_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``df`` with a column ``_hot``, true for the rows of the listed keys and otherwise NULL.
+
+    Rows are best marked before ``df`` is joined to anything: the marked ones are needed on
+    their own as well, and a filter on the mark moves down to here.
+    """
+    same = F.col(key).eqNullSafe(F.col("_hot_key"))
+    return df.join(F.broadcast(hot), same, "left").drop("_hot_key")
+
+
 def running_totals(
-    df: DataFrame,
+    marked: DataFrame,
     *,
     key: str,
     order_by: Sequence[str],
     totals: Mapping[str, Column],
     blocks: Sequence[Column],
-    hot: DataFrame,
     peers: bool = False,
     previous: Mapping[str, Column] | None = None,
 ) -> DataFrame:
@@ -48,22 +57,25 @@ def running_totals(
     The frame runs from the key's first row to the current row (ROWS). With ``peers`` it also
     takes in the rows that tie with the current one (RANGE, the SQL default).
 
-    ``blocks`` cuts a hot key's rows, from coarse to fine. Sorting by the blocks must agree
-    with ``order_by``, and with ``peers`` tied rows must share all blocks. ``hot`` lists the
-    hot keys (see :func:`hot_keys`); it may be taken from a superset of ``df``. ``previous``
+    ``marked`` comes from :func:`mark_hot`; the mark is dropped. ``key`` is an integer or a
+    string. ``blocks`` cuts a hot key's rows, from coarse to fine. Sorting by the blocks must
+    agree with ``order_by``, and with ``peers`` tied rows must share all blocks. ``previous``
     adds columns holding an expression's value in the row before; such an expression must not
     decrease along ``order_by``.
     """
     previous = previous or {}
-    names = [f"_block{i}" for i in range(len(blocks))]
-    hot = F.broadcast(hot)
-    is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
-
-    cut = df.join(hot, is_hot, "left").select(
-        *df.columns,
-        *[F.when(F.col("_hot"), b).alias(n) for n, b in zip(names, blocks, strict=True)],
+    # Key and blocks as columns that are never NULL in a hot key's rows (a struct of NULL is
+    # not NULL): plain equality then finds them, and the join below keeps the window's shuffle.
+    some_key = F.lit(0).cast(marked.schema[key].dataType)
+    at = ["_key", "_no_key", *[f"_block{i}" for i in range(len(blocks))]]
+    cut = marked.select(
+        "*",
+        F.coalesce(F.col(key), some_key).alias("_key"),
+        F.col(key).isNull().alias("_no_key"),
+        *[F.when(F.col("_hot"), F.struct(b)).alias(n) for n, b in zip(at[2:], blocks)],
     )
-    along = Window.partitionBy(key, *names).orderBy(*order_by)
+
+    along = Window.partitionBy(*at).orderBy(*order_by)
     frame = along if peers else along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = cut.select(
         "*",
@@ -74,58 +86,54 @@ def running_totals(
     # Hot keys only: one row per block, then what the blocks before it add up to. Without hot
     # keys this side is empty, and adaptive execution drops it and the join below unrun.
     per_block = (
-        df.join(hot, is_hot)
-        .groupBy(key, *[b.alias(n) for n, b in zip(names, blocks, strict=True)])
+        cut.where("_hot")
+        .groupBy(*at)
         .agg(
             *[F.sum(e).alias(name) for name, e in totals.items()],
             *[F.max(e).alias(name) for name, e in previous.items()],
         )
     )
-    before = _before_block(per_block, key, names, list(totals), list(previous))
-    return _join_before(within, before, [key, *names], "left").select(
-        *df.columns,
+    before = _before_block(per_block, at, list(totals), list(previous))
+    return _join_before(within, before, at, "left").select(
+        *[c for c in marked.columns if c != "_hot"],
         *[_add(F.col(n), F.col(f"_before_{n}")).alias(n) for n in totals],
         *[F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in previous],
     )
 
 
 def _before_block(
-    per_block: DataFrame, key: str, names: list[str], sums: list[str], maxima: list[str]
+    per_block: DataFrame, at: list[str], sums: list[str], maxima: list[str]
 ) -> DataFrame:
     """For each block, ``sums`` and ``maxima`` over the key's earlier blocks, as ``_before_*``.
 
     Blocks are compared within the block around them; the blocks before that one are added.
     """
-    *around, block = names
+    *around, block = at
     earlier = (
-        Window.partitionBy(key, *around)
+        Window.partitionBy(*around)
         .orderBy(block)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
-    inside = per_block.select(
-        key,
-        *names,
+    before = per_block.select(
+        *at,
         *[F.sum(n).over(earlier).alias(n) for n in sums],
         *[F.max(n).over(earlier).alias(n) for n in maxima],
     )
-    if around:
-        totals = per_block.groupBy(key, *around).agg(
+    if "_block0" in around:
+        totals = per_block.groupBy(*around).agg(
             *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]
         )
-        outside = _before_block(totals, key, around, sums, maxima)
-        inside = _join_before(inside, outside, [key, *around], "inner").select(
-            key,
-            *names,
+        outside = _before_block(totals, around, sums, maxima)
+        before = _join_before(before, outside, around, "inner").select(
+            *at,
             *[_add(F.col(n), F.col(f"_before_{n}")).alias(n) for n in sums],
             *[F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in maxima],
         )
-    return inside.select([F.col(c).alias(f"_before_{c}") for c in inside.columns])
+    return before.select([F.col(c).alias(f"_before_{c}") for c in before.columns])
 
 
-def _join_before(df: DataFrame, before: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join on equal keys and blocks; NULL is a key and a block like any other."""
-    same = [F.col(c).eqNullSafe(F.col(f"_before_{c}")) for c in on]
-    return df.join(before, same, how)
+def _join_before(df: DataFrame, before: DataFrame, at: list[str], how: str) -> DataFrame:
+    return df.join(before, [F.col(c) == F.col(f"_before_{c}") for c in at], how)
 
 
 def _add(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.operators.windows import HOT_ROWS, hot_keys, running_totals
+from trolley.operators.windows import HOT_ROWS, hot_keys, mark_hot, running_totals
 from trolley.sources.readers import Tables
 
 # Fixed value: a Saturday before the first order, so that day-of-week 0 is Saturday.
@@ -38,13 +38,12 @@ def number_orders(
     """
     day = F.to_date("order_ts")
     sequenced = running_totals(
-        orders,
+        mark_hot(orders, "user_id", hot_keys(orders, "user_id", hot_rows)),
         key="user_id",
         order_by=["order_ts", "order_id"],
         totals={"order_number": F.lit(1)},
         previous={"prior_day": day},
         blocks=[day, F.floor(F.col("order_id") / ids_per_block)],
-        hot=hot_keys(orders, "user_id", hot_rows),
     )
     return sequenced.select(
         "order_id",
