@@ -181,7 +181,7 @@ def queries() -> dict[str, Query]:
 
 # The order tables in DuckDB SQL, from the given tables. Every oracle query starts with them.
 ORDER_TABLES = """
-WITH departments AS (
+WITH RECURSIVE departments AS (
     SELECT CAST(ROW_NUMBER() OVER (ORDER BY p_type) AS INT) AS department_id,
            p_type AS department
     FROM (SELECT DISTINCT p_type FROM part)
@@ -239,21 +239,22 @@ timed AS (
     FROM elapsed
 )"""
 
+# Every subset of every basket, grown item by item; short baskets keep this feasible in DuckDB.
 ITEMSETS = f""",
 items AS (
     SELECT DISTINCT order_id, aisle AS item FROM described
 ),
+subsets AS (
+    SELECT order_id, item AS last_item, [item] AS items FROM items
+    UNION ALL
+    SELECT s.order_id, i.item, list_append(s.items, i.item)
+    FROM subsets AS s JOIN items AS i ON i.order_id = s.order_id AND i.item > s.last_item
+),
 n AS (
     SELECT COUNT(DISTINCT order_id) AS baskets FROM items
 ),
-singles AS (
-    SELECT item, COUNT(*) AS baskets FROM items GROUP BY item
-    HAVING COUNT(*) >= CEIL({MIN_SUPPORT} * (SELECT baskets FROM n))
-),
-pairs AS (
-    SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS baskets
-    FROM items AS a JOIN items AS b ON a.order_id = b.order_id AND a.item < b.item
-    GROUP BY a.item, b.item
+frequent AS (
+    SELECT items, COUNT(*) AS baskets FROM subsets GROUP BY items
     HAVING COUNT(*) >= CEIL({MIN_SUPPORT} * (SELECT baskets FROM n))
 )"""
 
@@ -368,20 +369,26 @@ def oracle_sql() -> dict[str, str]:
                    CAST(SUM(basket_size) OVER (PARTITION BY user_id ORDER BY order_ts)
                         AS BIGINT) AS items_to_date
             FROM sized""",
-        "fp_frequent_pairs": f"{ITEMSETS} SELECT * FROM pairs",
+        "fp_frequent_pairs": f"""{ITEMSETS}
+            SELECT items[1] AS item_a, items[2] AS item_b, baskets
+            FROM frequent WHERE len(items) = 2""",
         "fp_rules": f"""{ITEMSETS},
-            both_ways AS (
-                SELECT item_a AS antecedent, item_b AS consequent, baskets FROM pairs
-                UNION ALL SELECT item_b, item_a, baskets FROM pairs
+            split AS (
+                SELECT items, baskets, UNNEST(items) AS consequent
+                FROM frequent WHERE len(items) > 1
+            ),
+            counted AS (
+                SELECT array_to_string(a.items, ',') AS antecedent, consequent,
+                       s.baskets / a.baskets AS confidence,
+                       c.baskets / (SELECT baskets FROM n) AS consequent_support,
+                       s.baskets / (SELECT baskets FROM n) AS support
+                FROM split AS s
+                JOIN frequent AS a ON a.items = list_filter(s.items, lambda x: x <> consequent)
+                JOIN frequent AS c ON c.items = [consequent]
             )
-            SELECT antecedent, consequent,
-                   ROUND(r.baskets / a.baskets, 9) AS confidence,
-                   ROUND((r.baskets / a.baskets)
-                         / (c.baskets / (SELECT baskets FROM n)), 9) AS lift,
-                   ROUND(r.baskets / (SELECT baskets FROM n), 9) AS support
-            FROM both_ways AS r
-            JOIN singles AS a ON a.item = antecedent
-            JOIN singles AS c ON c.item = consequent
-            WHERE r.baskets / a.baskets >= {MIN_CONFIDENCE}""",
+            SELECT antecedent, consequent, ROUND(confidence, 9) AS confidence,
+                   ROUND(confidence / consequent_support, 9) AS lift,
+                   ROUND(support, 9) AS support
+            FROM counted WHERE confidence >= {MIN_CONFIDENCE}""",
     }
     return {name: f"{ORDER_TABLES} {body}" for name, body in bodies.items()}

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tests.conftest import SF_SMALL
 
 ROOT = "/root/testdata/sf0.01"
 TABLES = (
@@ -22,14 +23,18 @@ SAME_TYPE = {
 }
 
 
-@pytest.fixture(scope="module")
-def duck():
+def connect(root):
     connection = duckdb.connect()
     for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{ROOT}/{table}.parquet'")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet'")
     return connection
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return connect(ROOT)
+
+
 def by_name(columns, found):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(row[i] for i in order) for row in found), key=repr)
@@ -51,6 +56,15 @@ def test_query_matches_duckdb(spark, duck, name):
     spark.catalog.clearCache()
 
 
+def test_rules_from_larger_itemsets(spark):
+    """The smallest tables have frequent sets of three items, the larger ones only pairs."""
+    result = driver.queries()["fp_rules"](spark, SF_SMALL)
+    expected = connect(SF_SMALL).sql(driver.oracle_sql()["fp_rules"])
+    found = by_name(result.columns, result.collect())
+    assert any("," in antecedent for antecedent, *_ in found)
+    assert found == by_name(expected.columns, expected.fetchall())
+
+
 def test_entry(spark):
     result = driver.entry(spark)
     assert result.count() == 1473
