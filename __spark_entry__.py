@@ -201,7 +201,7 @@ prior AS (
 ),
 shop_orders AS (
     SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderstatus AS eval_set,
-           CAST(ROW_NUMBER() OVER in_order AS INT) AS order_number,
+           ROW_NUMBER() OVER in_order AS order_number,
            CAST((CAST(o_orderdate AS DATE) - DATE '1994-12-31') % 7 AS INT) AS order_dow,
            CAST(o_orderkey % 24 AS INT) AS order_hour_of_day,
            CAST(CAST(o_orderdate AS DATE) - CAST(LAG(o_orderdate) OVER in_order AS DATE)

@@ -58,9 +58,8 @@ def test_frequent_pairs(bought, tmp_path, support):
 def test_larger_itemsets(bought, tmp_path):
     sets = by_order(bought)
     needed = math.ceil(0.05 * len(sets))
-    counts = Counter(
-        c for s in sets for n in (1, 2, 3, 4) for c in combinations(sorted(s & set("abcdefghxy")), n)
-    )
+    common = [sorted(s & set("abcdefghxy")) for s in sets]
+    counts = Counter(c for s in common for n in (1, 2, 3, 4) for c in combinations(s, n))
     expected = {c: n for c, n in counts.items() if n >= needed}
     model = itemsets.mine(bought, 0.05, str(tmp_path / "b"))
     found = {tuple(sorted(r["items"])): r.freq for r in model.freqItemsets.collect()}

@@ -19,6 +19,7 @@ from trolley.sources import (
     write_parquet,
     write_partitioned,
 )
+from trolley.sources.samples import number_orders
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS, table_schema
 
 
@@ -134,7 +135,7 @@ def test_numbering_sample_orders(spark, hot_rows):
     """The same numbers and gaps whether no, some or all users are cut into blocks."""
     expected = spark.sql(f"""
         SELECT o_orderkey AS order_id,
-            CAST(ROW_NUMBER() OVER w AS INT) AS order_number,
+            CAST(ROW_NUMBER() OVER w AS BIGINT) AS order_number,
             CAST(datediff(o_orderdate, LAG(o_orderdate) OVER w) AS DOUBLE) AS gap
         FROM parquet.`{SF_SMALL}/orders.parquet`
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
@@ -143,6 +144,23 @@ def test_numbering_sample_orders(spark, hot_rows):
     assert rows(found) == rows(expected)
 
 
+def test_numbering_within_a_day(spark):
+    """Blocks follow the time of day, not only the date."""
+    orders = spark.sql("""
+        SELECT id AS order_id, 1L AS user_id, 'x' AS eval_set, 0 AS order_dow,
+            0 AS order_hour_of_day,
+            TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(0, 0, 37 * (50 - id))
+                AS order_ts
+        FROM range(50)""")
+    for hot_rows in (0, 100):
+        numbered = number_orders(orders, hot_rows, ids_per_block=3)
+        assert rows(numbered, "order_id", "order_number") == sorted(
+            ((i, 50 - i) for i in range(50)), key=repr
+        )
+        gaps = numbered.orderBy("order_number").select("days_since_prior_order").collect()
+        assert sum(g[0] or 0 for g in gaps) == 1 and gaps[0][0] is None
+
+
 def test_sample_departments_are_ranked_types(spark):
     t = sample_tables(spark, SF_SMALL)
     names = [r.department for r in t["departments"].orderBy("department_id").collect()]

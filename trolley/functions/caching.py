@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 
 
 @contextmanager
-def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+def cached(
+    df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK
+) -> Iterator[DataFrame]:
     """Persist ``df`` for the length of a ``with`` block.
 
     Run the actions inside the block: a lazy result used after it is computed without the cache.

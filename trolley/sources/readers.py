@@ -37,7 +37,7 @@ def load_tables(
 
     The format is the caller's choice and is never switched silently: raw CSV lacks the
     columns that cleaning adds. A table that is not there raises, unless it is ``optional``.
-    For CSV, ``wide_ids`` reads the growing keys as bigint and ``mode`` says what becomes of a
+    For CSV, ``wide_ids`` reads ids and order numbers as bigint and ``mode`` says what becomes of a
     malformed field: NULL (PERMISSIVE), the row dropped (DROPMALFORMED) or an error (FAILFAST).
     """
     if format not in ("csv", "parquet"):

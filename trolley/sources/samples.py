@@ -34,7 +34,8 @@ def number_orders(
 ) -> DataFrame:
     """Add ``order_number`` and ``days_since_prior_order`` from each user's order sequence.
 
-    Users with more than ``hot_rows`` orders are cut by day and range of order ids.
+    Users with more than ``hot_rows`` orders are cut by day, then by time and range of order
+    ids. The number is a bigint: a third of the orders of a very large shop exceeds an int.
     """
     day = F.to_date("order_ts")
     sequenced = running_totals(
@@ -43,13 +44,13 @@ def number_orders(
         order_by=["order_ts", "order_id"],
         totals={"order_number": F.lit(1)},
         previous={"prior_day": day},
-        blocks=[day, F.floor(F.col("order_id") / ids_per_block)],
+        blocks=[day, F.struct("order_ts", F.floor(F.col("order_id") / ids_per_block))],
     )
     return sequenced.select(
         "order_id",
         "user_id",
         "eval_set",
-        F.col("order_number").cast("int").alias("order_number"),
+        "order_number",
         "order_dow",
         "order_hour_of_day",
         F.datediff(day, "prior_day").cast("double").alias("days_since_prior_order"),

@@ -25,12 +25,13 @@ CSV_FILES = {
     "order_products_train": "order_products__train.csv",
 }
 
-# Keys whose number of values grows with the data; they outgrow 32 bits long before 100 TB.
-GROWING_KEYS = frozenset({"order_id", "user_id", "product_id"})
+# Ids and counters whose largest value grows with the data; they outgrow 32 bits long before
+# 100 TB.
+GROWING = frozenset({"order_id", "user_id", "product_id", "order_number"})
 
 
 def table_schema(name: str, wide_ids: bool = False) -> StructType:
-    """Schema of one table; ``wide_ids`` reads the growing keys as bigint.
+    """Schema of one table; ``wide_ids`` reads the growing columns as bigint.
 
     Every column is nullable: Spark's file sources return nullable columns whatever the
     declared schema says, so a NOT NULL here would promise something nobody checks.
@@ -41,7 +42,7 @@ def table_schema(name: str, wide_ids: bool = False) -> StructType:
     return StructType(
         [
             StructField(f.name, LongType())
-            if f.name in GROWING_KEYS and isinstance(f.dataType, IntegerType)
+            if f.name in GROWING and isinstance(f.dataType, IntegerType)
             else f
             for f in declared.fields
         ]
