@@ -7,6 +7,7 @@ tables by ``trolley.sources.samples``. ``ORDER_TABLES`` is the same view of them
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.ml.fpm import FPGrowthModel
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +134,28 @@ def _rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return {**_order_queries(), **_training_data()[0]}
+
+
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the subpackage and the pipeline that may be absent."""
+    found: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    if find_spec("trolley.llm"):
+        from trolley.llm.queries import ORACLES, QUERIES
+
+        found.update(QUERIES)
+        sql.update(ORACLES)
+    if find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
+def _order_queries() -> dict[str, Query]:
     return {
         "q1_weekend_lunch_baskets": _over(reports.weekend_lunch_baskets, min_items=MIN_ITEMS),
         "q2_order_profile": _over(reports.order_profile, numbered=True),
@@ -391,4 +414,5 @@ def oracle_sql() -> dict[str, str]:
                    ROUND(support, 9) AS support
             FROM counted WHERE confidence >= {MIN_CONFIDENCE}""",
     }
-    return {name: f"{ORDER_TABLES} {body}" for name, body in bodies.items()}
+    ours = {name: f"{ORDER_TABLES} {body}" for name, body in bodies.items()}
+    return {**ours, **_training_data()[1]}
