@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import exact_dedup, url_filters
+from trolley.llm import exact_dedup, mixing, sharding, url_filters
 from trolley.llm.stages import table
 from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 
@@ -23,6 +23,13 @@ def op2_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, root, "pages"), labels, RULES)
 
 
+def op5_sharding(spark: SparkSession, root: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return sharding.shard_documents(table(spark, root, "documents")).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Which row stays of the rows that share a text."""
     return exact_dedup.exact_duplicates(
@@ -30,9 +37,16 @@ def op6_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     ).withColumnRenamed("digest", "text_sha256")
 
 
+def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
+    """Words of each document in a mix of the sources."""
+    return mixing.words_taken(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
+    "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
