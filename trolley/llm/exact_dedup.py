@@ -21,13 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.functions import scratch_path
+from trolley.llm.filters import maybe_in
 from trolley.llm.stages import staged
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOG = "digest string, doc_id long, content string"
-#: The filter of hit digests: so many bitmaps of 32,768 bits, 1 MB in all, whatever the data.
-BITMAPS = 256
 
 
 def sha256(text: Column) -> Column:
@@ -105,25 +104,11 @@ def keep_state(
 def hit_texts(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digest and text of the rows of ``docs`` whose digest more than one row has.
 
-    A bitmap filter of fixed size lets other rows out before anything is shuffled; the few
-    that it lets through do no harm, for they are alone with their digest.
+    A filter of fixed size lets other rows out before anything is shuffled; the few that it
+    lets through do no harm, for they are alone with their digest.
     """
-    bits = F.pmod(F.xxhash64("digest"), F.lit(BITMAPS * 32768))
-    hits = (
-        state.where("group_size > 1")
-        .select((bits / 32768).cast("int").alias("bucket"), (bits % 32768).alias("bit"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    )
-    byte = "conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10)"
-    return (
-        docs.select(_text(docs).alias("text"))
-        .withColumn("digest", digest(F.col("text")))
-        .select("*", (bits / 32768).cast("int").alias("bucket"), (bits % 32768).alias("bit"))
-        .join(F.broadcast(hits), "bucket")
-        .where(F.expr(f"shiftright(cast({byte} as int), cast(bit % 8 as int)) % 2 = 1"))
-        .select("digest", "text")
-    )
+    texts = docs.select(_text(docs).alias("text")).withColumn("digest", digest(F.col("text")))
+    return maybe_in(texts, state.where("group_size > 1").select("digest"), "digest")
 
 
 def exact_duplicates(

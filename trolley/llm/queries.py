@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import exact_dedup, mixing, sharding, url_filters
+from trolley.llm import exact_dedup, mixing, near_dups, sharding, url_filters
+from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
 from trolley.llm.stages import table
 from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 
@@ -23,6 +24,11 @@ def op2_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, root, "pages"), labels, RULES)
 
 
+def op4_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Class, number of links and group of each document."""
+    return near_dups.near_duplicates(table(spark, root, "documents"))
+
+
 def op5_sharding(spark: SparkSession, root: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return sharding.shard_documents(table(spark, root, "documents")).withColumns(
@@ -44,6 +50,7 @@ def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
@@ -51,6 +58,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": judge_urls_sql(),
+    "op4_near_duplicates": NEAR_DUPLICATES_SQL,
     "op6_exact_dedup": """
         SELECT doc_id, sha256(COALESCE(text, '')) AS text_sha256,
                MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS keep_id,
