@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import exact_dedup, mixing, near_dups, sharding, url_filters
+from trolley.llm import (
+    exact_dedup,
+    line_dedup,
+    mixing,
+    near_dups,
+    nearest,
+    sharding,
+    url_filters,
+)
+from trolley.llm.line_dedup_sql import REMOVE_REPEATS_SQL
 from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
 from trolley.llm.stages import table
 from trolley.llm.url_filters_sql import RULES, judge_urls_sql
@@ -24,6 +33,12 @@ def op2_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, root, "pages"), labels, RULES)
 
 
+def op3_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The ten nearest vectors to every hundredth."""
+    vectors = table(spark, root, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Class, number of links and group of each document."""
     return near_dups.near_duplicates(table(spark, root, "documents"))
@@ -48,12 +63,25 @@ def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.words_taken(table(spark, root, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """All documents without lines that occurred before."""
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return line_dedup.remove_repeats(table(spark, root, "documents")).select(
+        "doc_id",
+        "text",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.concat_ws(" ", spans).alias("removed_spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
+    "op3_nearest": op3_nearest,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -65,4 +93,5 @@ ORACLES: dict[str, str] = {
                COUNT(*) OVER (PARTITION BY COALESCE(text, '')) AS group_size,
                doc_id = MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS kept
         FROM documents""",
+    "op10_line_dedup": REMOVE_REPEATS_SQL,
 }
