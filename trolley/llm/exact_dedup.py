@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions import scratch_path
 from trolley.llm.filters import maybe_in
-from trolley.llm.stages import staged
+from trolley.llm.stages import keep_rows, staged
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -174,21 +174,10 @@ def _told_apart(
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    decided = exact_duplicates(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")
-    )
+    """The rows of ``docs`` that stay, with their columns; of rows that share id and text, one."""
+    kept = exact_duplicates(docs).where("kept").withColumnRenamed("digest", "text_key")
     marked = docs.withColumn("_digest", sha256(_text(docs)))
-    return (
-        marked.join(
-            decided,
-            marked["doc_id"].eqNullSafe(decided["_id"])
-            & (marked["_digest"] == decided["_digest"]),
-            "left_semi",
-        )
-        .dropDuplicates(["doc_id", "_digest"])
-        .select(*docs.columns)
-    )
+    return keep_rows(marked, kept).dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
 
 
 def _text(docs: DataFrame) -> Column:

@@ -13,6 +13,7 @@ from trolley.llm import (
     mixing,
     near_dups,
     nearest,
+    quality,
     sharding,
     url_filters,
 )
@@ -58,6 +59,15 @@ def op6_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     ).withColumnRenamed("digest", "text_sha256")
 
 
+def op7_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of all documents. A document's url is that of the page with its id."""
+    return quality.judge(
+        table(spark, root, "documents"),
+        table(spark, root, "labels"),
+        table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), "url"),
+    ).drop("text_key")
+
+
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     """Words of each document in a mix of the sources."""
     return mixing.words_taken(table(spark, root, "documents"))
@@ -80,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }

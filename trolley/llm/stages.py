@@ -32,3 +32,17 @@ def buckets_for(rows: int, rows_per_bucket: int) -> int:
 
 def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and digest of the text are in ``kept``.
+
+    ``kept`` has doc_id and text_key, the SHA-256 of the text, where null counts as empty.
+    """
+    wanted = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(
+        wanted.distinct(),
+        docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+        & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_key")),
+        "left_semi",
+    )
