@@ -13,6 +13,7 @@ from trolley.llm import (
     mixing,
     near_dups,
     nearest,
+    pieces,
     quality,
     sharding,
     url_filters,
@@ -22,9 +23,19 @@ from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
 from trolley.llm.stages import table
 from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 
+#: A SentencePiece model whose scores are merge ranks; read by the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, root: str, model: str = PIECES) -> DataFrame:
+    """Ids of all documents, the score of each, and the text that they decode to."""
+    vocabulary = pieces.read_vocabulary(model, ranked=True)
+    encoded = pieces.encode(table(spark, root, "documents"), vocabulary)
+    return pieces.decode(encoded, vocabulary).withColumn("n_ids", F.size("ids"))
+
+
 def op2_url_filters(spark: SparkSession, root: str) -> DataFrame:
     """Verdicts on all pages. A page's label is that of the document with its id."""
     labels = table(spark, root, "labels").select(
@@ -85,6 +96,7 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filters": op2_url_filters,
     "op3_nearest": op3_nearest,
     "op4_near_duplicates": op4_near_duplicates,
