@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trolley.llm import (
     exact_dedup,
     line_dedup,
+    lm,
     mixing,
     near_dups,
     nearest,
@@ -25,6 +26,8 @@ from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 
 #: A SentencePiece model whose scores are merge ranks; read by the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A byte-level vocabulary; read by the driver.
+BYTE_PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +87,11 @@ def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.words_taken(table(spark, root, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, root: str, vocabulary: str = BYTE_PIECES) -> DataFrame:
+    """Log probability of all documents, by word counts and by the model."""
+    return lm.score(table(spark, root, "documents"), lm.read_ranks(vocabulary))
+
+
 def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """All documents without lines that occurred before."""
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
@@ -104,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
 }
 
