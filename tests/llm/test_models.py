@@ -1,0 +1,406 @@
+"""SentencePiece, nearest vectors, URL filters, quality and the language model."""
+
+from __future__ import annotations
+
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import EDGES, frame
+from trolley.llm import attention, hashing, lm, nearest, pieces, quality, url_filters
+from trolley.llm.queries import BYTE_PIECES, PIECES
+from trolley.llm.url_filters_sql import RULES
+
+# ---------------------------------------------------------------- SentencePiece
+
+
+def field(number, kind, body):
+    return bytes([*varint(number << 3 | kind)]) + body
+
+
+def varint(n):
+    while n > 127:
+        yield n & 127 | 128
+        n >>= 7
+    yield n
+
+
+def text_field(number, body):
+    return field(number, 2, bytes(varint(len(body))) + body)
+
+
+def unigram_model(scores):
+    """A SentencePiece model file with the given pieces and byte fallback."""
+    kinds = [("<unk>", 0.0, 2), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    kinds += [(piece, score, 1) for piece, score in scores.items()]
+    out = b""
+    for piece, score, kind in kinds:
+        body = text_field(1, piece.encode()) + field(2, 5, struct.pack("<f", score))
+        out += text_field(1, body + field(3, 0, bytes(varint(kind))))
+    trainer = field(3, 0, b"\x01") + field(35, 0, b"\x01")
+    plain = text_field(1, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00")
+    return out + text_field(2, trainer) + text_field(3, plain + field(5, 0, b"\x01"))
+
+
+SCORES = {
+    "▁": -3.0, "a": -4.1, "b": -4.3, "c": -5.2, "ab": -5.0, "bc": -6.1, "▁a": -4.6, "▁ab": -6.3,
+    "abc": -8.7, "ca": -7.9, "é": -6.0, "日本": -9.5, "▁▁": -4.7, "\n": -5.5, "aaaa": -9.0,
+}
+
+
+def random_texts(n=400, letters="aabbcc  é日本🙂\nx"):
+    rng = np.random.default_rng(1)
+    return ["".join(rng.choice(list(letters), rng.integers(0, 30))) for _ in range(n)]
+
+
+def test_encoding_equals_the_library(tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    path = tmp_path / "m.model"
+    path.write_bytes(unigram_model(SCORES))
+    library = SentencePieceProcessor(model_file=str(path))
+    vocabulary = pieces.read_vocabulary(str(path))
+    texts = random_texts()
+    ids, counts, _ = pieces.Encoder(vocabulary)(texts)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    mine = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert mine == library.encode(texts)
+    assert pieces.decode_ids(vocabulary, ids, counts) == library.decode(mine) == texts
+
+
+@pytest.mark.parametrize("ranked", [True, False])
+def test_scores_are_the_best_of_all_segmentations(ranked):
+    vocabulary = pieces.read_vocabulary(PIECES, ranked=ranked)
+    normal = {vocabulary.pieces[i]: vocabulary.scores[i] for i in vocabulary.ids.tolist()}
+    texts = random_texts(60, "the onéß日🙂ing  \n") + ["x" * 300 + " " + "the" * 40]
+    _, _, scores = pieces.Encoder(vocabulary)(texts)
+    for text, score in zip(texts, scores, strict=True):
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        best = [0.0] + [-math.inf] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - 16), end):
+                one = vocabulary.unknown_score if end - start == 1 else -math.inf
+                best[end] = max(best[end], best[start] + normal.get(marked[start:end], one))
+        assert score == pytest.approx(best[-1])
+
+
+def test_trie_finds_exactly_its_keys():
+    rng = np.random.default_rng(2)
+    keys = list({bytes(rng.integers(0, 256, rng.integers(1, 6)).tolist()) for _ in range(800)})
+    trie = pieces.build_trie(keys)
+
+    def find(key):
+        state = 0
+        for byte in key:
+            onward = trie.base[state] + byte
+            if trie.check[onward] != state:
+                return -1
+            state = onward
+        return trie.value[state]
+
+    assert [find(key) for key in keys] == list(range(len(keys)))
+    others = {key + b"z" for key in keys} | {key[:-1] for key in keys}
+    assert all(find(key) == -1 for key in others - set(keys) - {b""})
+
+
+def test_encode_and_decode(edges, nothing):
+    vocabulary = pieces.read_vocabulary(PIECES, ranked=True)
+    found = pieces.decode(pieces.encode(edges, vocabulary), vocabulary).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(EDGES)
+    assert all((r.ids is None) == (r.text is None) for r in found)
+    assert pieces.encode(nothing, vocabulary).count() == 0
+
+
+def test_decoding_any_ids():
+    vocabulary = pieces.read_vocabulary(PIECES)
+    ids = np.array([3 + 0xE6, 3 + 0x97, 1, 0], np.int32)
+    assert pieces.decode_ids(vocabulary, ids, np.array([4])) == ["\ufffd ⁇ "]
+
+
+# ---------------------------------------------------------------- nearest vectors
+
+VECTORS = "vec_id LONG, embedding ARRAY<FLOAT>, label INT, rank INT, query_id LONG"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], VECTORS)
+
+
+def test_nearest_of_a_few(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.0]), (2, [1.1, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]
+    rows += [(4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0])]
+    rows += [(9, [1.0]), (None, [1.0, 1.0])]
+    df = vectors(spark, rows)
+    found = nearest.nearest(df, df.where("vec_id in (0, 4, 5)"), k=3).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (0, 1, 1), (0, 2, 2), (0, 3, None)
+    ] or [(r["rank"], r.vec_id) for r in sorted(found, key=lambda r: r["rank"])][:2] == [(1, 1), (2, 2)]
+    all_found = nearest.nearest(df, df.where("vec_id = 0"), k=50).collect()
+    assert sorted(r.vec_id for r in all_found if r.vec_id is not None) == [1, 2, 3, 3]
+    none = vectors(spark, [])
+    assert nearest.nearest(none, none).count() == 0
+
+
+def test_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(3000, 32)).astype(np.float32)
+    data[1000:2000] = data[1000]
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])
+    found = nearest.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    by_query = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_query[r.query_id].append((r.score, r.vec_id))
+    assert set(by_query) == set(range(0, 3000, 50))
+    wide, hits = data.astype(np.float64), 0
+    for query, got in by_query.items():
+        far = np.sqrt(np.square(wide - wide[query]).sum(axis=1))
+        far[query] = np.inf
+        best = np.lexsort((np.arange(3000), far))[:10]
+        assert got == sorted(got) and len(got) == 10
+        assert all(score == pytest.approx(far[i], abs=1e-12) for score, i in got)
+        hits += len({i for _, i in got} & set(best.tolist()))
+        if query == 1000:
+            assert [i for _, i in got] == list(range(1001, 1011))
+    assert hits / (10 * len(by_query)) >= 0.9
+
+
+def test_every_code_within_the_radius_is_retrieved():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
+    for radius in (0, 3, 9, 12):
+        found = nearest.retrieved(codes[:20], codes, radius, 1)
+        bits = np.unpackbits(codes, axis=1)
+        apart = (bits[:20, None] != bits[None]).sum(axis=2)
+        assert (found == (apart <= radius)).all()
+
+
+# ---------------------------------------------------------------- URL filters
+
+URLS = [
+    ("https://A.Example.net/en/12?x=/de/", "a.example.net", "/en/12", "example.net/en/", "allow"),
+    ("http://example.net/EN/1", "example.net", "/EN/1", "net/", "block"),
+    ("ftp://www.example.com/de/a#b", "www.example.com", "/de/a", "example.com/de/", "block"),
+    ("x://notexample.com/de/a", "notexample.com", "/de/a", None, "allow"),
+    ("https://b.org/fr/x://y", "b.org", "/fr/x://y", "org/fr/", "allow"),
+    ("https://net?q", "net", "", None, "allow"),
+    ("https://net/", "net", "/", "net/", "block"),
+    ("no scheme/de/", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+    ("://", "", "", None, "allow"),
+    ("http://x.com" + "/a" * 50_000, "x.com", "/a" * 50_000, None, "allow"),
+]
+
+
+def test_rules(spark):
+    rows = [(i, row[0], "html", "h", "r") for i, row in enumerate(URLS)]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING, t1 STRING, bad STRING")
+    labels = spark.createDataFrame([], "page_id LONG, bad BOOLEAN")
+    found = {r.page_id: r for r in url_filters.judge_urls(pages, labels, RULES).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(URLS):
+        r = found[i]
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+    assert url_filters.judge_urls(pages.limit(0), labels, RULES).count() == 0
+
+
+def test_bad_templates_are_blocked(spark):
+    """Users' spam pages are bad, their other pages good; ids vary and become wildcards."""
+    rows, bad = [], []
+    for i in range(400):
+        kind = "spam" if i % 4 == 0 else ("posts", "likes", "pics")[i % 3]
+        rows.append((i, f"http://site.com/user/{i}/{kind}"))
+        bad.append((i, kind == "spam"))
+    rows.append((400, "http://site.com/user/7/spam"))
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING")
+    labels = spark.createDataFrame(bad, "page_id LONG, bad BOOLEAN")
+    found = url_filters.judge_urls(pages, labels, {}).collect()
+    templates = {r.template: r.verdict for r in found}
+    assert templates == {"site.com/user/*/spam": "block", "site.com/user/*/*": "allow"} or (
+        templates.pop("site.com/*/*/spam", "") == "block" and set(templates.values()) == {"allow"}
+    )
+    assert next(r for r in found if r.page_id == 400).verdict == "block"
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_quality_learns_and_keeps(spark):
+    rows = [(i, ("good fine nice " if i % 3 else "junk*** spam$$$ ") * 9 + f"w{i}") for i in range(300)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame(
+        [(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)] + [(1, None, 0), (None, 1, 0)],
+        "doc_id LONG, quality INT, toxic INT",
+    )
+    found = quality.judge(docs, labels).collect()
+    assert len(found) == 300
+    assert all(r.keep == (r.doc_id % 3 > 0) for r in found)
+
+
+def test_quality_of_edges(spark, edges, nothing):
+    none = spark.createDataFrame([], "doc_id LONG, quality INT")
+    found = quality.judge(edges, none).collect()
+    assert len(found) == len(EDGES) and all(r.keep and r.prior == 0.5 for r in found)
+    some = spark.createDataFrame([(1, 1), (6, 0), (8, 1), (8, 0)], "doc_id LONG, quality INT")
+    urls = spark.createDataFrame([(1, "http://H.x/a/b"), (6, None), (2, "x")], "doc_id LONG, url STRING")
+    found = quality.judge(edges, some, urls).collect()
+    assert len(found) == len(EDGES)
+    assert {(r.host, r.path) for r in found if r.doc_id == 1} == {("h.x", "/a/")}
+    assert quality.judge(nothing, some, urls).count() == 0
+
+
+def test_priors_shrink_by_the_spread_between_sites(spark):
+    """The formulas again in plain Python."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for host in range(12):
+        rate = rng.beta(4, 2)
+        for path in range(3):
+            share = min(0.99, max(0.01, rate + rng.normal() * 0.05))
+            rows += [(f"h{host}", f"/{path}/", bool(rng.random() < share)) for _ in range(3 + 9 * host)]
+    rows += [("h0", "/0/", None), (None, "", None), ("new", "/x/", None)]
+    df = spark.createDataFrame(rows, "host STRING, path STRING, good BOOLEAN")
+    found = {(r.host, r.path): r.prior for r in quality.site_priors(df).collect()}
+
+    def weight(sites):
+        seen = sum((g - n * p) ** 2 / n for g, n, p in sites if n)
+        chance = sum(p * (1 - p) for g, n, p in sites if n)
+        within = sum(n * p * (1 - p) for g, n, p in sites if n)
+        if seen <= chance or within <= chance:
+            return quality.MOST_WEIGHT
+        raw = (within - chance) / (seen - chance) - 1
+        return min(quality.MOST_WEIGHT, max(quality.LEAST_WEIGHT, raw))
+
+    count = defaultdict(lambda: [0, 0])
+    for host, path, good in rows:
+        for at in ((), (host,), (host, path)):
+            count[at][0] += bool(good)
+            count[at][1] += good is not None
+    overall = (count[()][0] + 0.5) / (count[()][1] + 1)
+    hosts = {k[0]: v for k, v in count.items() if len(k) == 1}
+    w = weight([(g, n, overall) for g, n in hosts.values()])
+    prior = {h: (g + w * overall) / (n + w) for h, (g, n) in hosts.items()}
+    paths = {k: v for k, v in count.items() if len(k) == 2}
+    w = weight([(g, n, prior[k[0]]) for k, (g, n) in paths.items()])
+    for k, (g, n) in paths.items():
+        assert found[k] == pytest.approx((g + w * prior[k[0]]) / (n + w))
+
+
+# ---------------------------------------------------------------- language model
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    texts = ["a b\tc", None, "", " \n", "c b a ab", "é ab" * 3, "x" * 70_000 + " a"]
+    hasher, seen = hashing.WordHasher(), defaultdict(set)
+    for first, last, data, offsets in hashing.text_chunks(pa.array(texts), most=8):
+        starts, ends, rows = hashing.word_bounds(data, offsets)
+        words = hasher(data, starts, ends)
+        for row in range(first, last):
+            own = slice(rows[row - first], rows[row - first + 1])
+            found = [bytes(data[a:b]) for a, b in zip(starts[own], ends[own])]
+            assert found == (texts[row] or "").encode().split()
+            for word, value in zip(found, words[own].tolist(), strict=True):
+                seen[word].add(value)
+    assert all(len(values) == 1 for values in seen.values())
+    assert len({min(values) for values in seen.values()}) == len(seen)
+
+
+def small_model(rng, ids=300, n=4000):
+    before = rng.integers(0, ids, n)
+    after_ids = (before * 7 + rng.integers(0, 5, n)) % ids
+    counts = np.bincount(after_ids, minlength=ids).astype(float)
+    class_of, place = attention.classes_of(counts), attention.by_count(counts, attention.PAIRED)
+    after, to_class = np.zeros((attention.CLASSES, ids)), np.zeros((ids, attention.CLASSES))
+    np.add.at(after, (class_of[before], after_ids), 1)
+    np.add.at(to_class, (before, class_of[after_ids]), 1)
+    pairs = np.zeros((attention.PAIRED, attention.PAIRED))
+    np.add.at(pairs, (place[before], place[after_ids]), 1)
+    return attention.counted(counts, class_of, after, to_class, pairs)
+
+
+def test_probabilities_of_what_comes_next_sum_to_one():
+    rng = np.random.default_rng(6)
+    known, weights = small_model(rng), attention.fresh()
+    weights["out"] += rng.normal(size=weights["out"].shape).astype(np.float32) * 0.2
+    text = rng.integers(0, 300, 70)
+    for at in (0, 5, 31, 32, 40, 69):
+        total = 0.0
+        ids = np.concatenate([np.append(text[:at], x) for x in range(300)])
+        before = np.concatenate([np.append([299], text[:at]) for _ in range(300)])
+        scores = attention.token_scores(weights, known, before, ids, np.full(300, at + 1))
+        total = np.exp(scores.reshape(300, at + 1)[:, -1]).sum()
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_each_id_is_scored_once():
+    for counts in ([0, 1, 31, 32, 33], [100, 0, 56, 57], [8, 9]):
+        counts = np.array(counts)
+        start, size, first = attention.windows(counts)
+        scored = np.concatenate([np.arange(s + f, s + n) for s, n, f in zip(start, size, first)])
+        assert sorted(scored.tolist()) == list(range(counts.sum()))
+        assert (size <= attention.WINDOW).all()
+
+
+def test_gradients():
+    rng = np.random.default_rng(7)
+    weights = {k: w.astype(np.float64) for k, w in attention.fresh().items()}
+    for name in weights:
+        weights[name] = weights[name] + rng.normal(size=weights[name].shape) * 0.1
+    before = rng.integers(0, 50, (3, attention.WINDOW))
+    prior = rng.normal(size=(3, attention.WINDOW, attention.CLASSES))
+    target = rng.integers(0, attention.CLASSES, (3, attention.WINDOW))
+    counts = (rng.random((3, attention.WINDOW)) < 0.8).astype(float)
+    grads, _ = attention.gradients(weights, before, prior, target, counts)
+    for name, w in weights.items():
+        spots = [tuple(rng.integers(0, s) for s in w.shape) for _ in range(4)]
+        if name == "embed":
+            spots = [(before[0, 3], 2), (before[1, 9], 5)]
+        for at in spots:
+            old, losses = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = old + step
+                losses.append(attention.gradients(weights, before, prior, target, counts)[1])
+            w[at] = old
+            assert grads[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=2e-5)
+
+
+def test_scores_of_texts(spark, nothing):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 4))) for _ in range(60)]
+    texts = [(100 + i, " ".join(rng.choice(words, 80)).title()) for i in range(200)]
+    rows = EDGES + texts
+    found = lm.score(frame(spark, rows), lm.read_ranks(BYTE_PIECES)).collect()
+    low = lambda s: s.translate({i: i + 32 for i in range(65, 91)})
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t or "")), "\n"]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    expected = Counter()
+    for i, t in rows:
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
+        expected[i, held(i), len(tokens(t)), sum(w in counts for w in tokens(t)), round(base, 5)] += 1
+    assert Counter(
+        (r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in found
+    ) == expected
+    assert {r.train_tokens for r in found} == {n}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found)
+    assert lm.score(nothing, lm.read_ranks(BYTE_PIECES)).count() == 0
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(9)
+    known = small_model(rng)
+    text = np.arange(20_000) // 2 % 17  # what comes next depends on two ids before
+    rows = np.lib.stride_tricks.sliding_window_view(text, attention.WINDOW + 1)[::24].astype(np.int32)
+    before, ids = np.append([0], text[:-1]), text
+    loss = lambda w: -attention.token_scores(w, known, before, ids, np.array([len(ids)])).mean()
+    weights = attention.fresh()
+    after = attention.train(weights, known, np.repeat(rows, 3, axis=0), 3e-3, 1)
+    assert loss(after) < 0.7 * loss(weights)

@@ -13,15 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW = 32
-OVERLAP = 8
+WINDOW = 24
+OVERLAP = 4
 STRIDE = WINDOW - OVERLAP
 CLASSES = 64
 INPUTS = 1024
+#: Pairs of so many most frequent ids are counted one by one.
+PAIRED = 2048
 WIDTH = 16
 HIDDEN = 32
 BATCH = 128
-#: Logits stop here, which keeps their exponentials finite.
+#: Logits stop here, so that their exponentials are finite.
 MOST = 60.0
 FLOAT = np.float32
 
@@ -30,32 +32,38 @@ FLOAT = np.float32
 class Counted:
     """What counting the corpus says, with natural logs of probabilities."""
 
-    #: Class and input number of each id.
+    #: Class, input number, and place among the paired ids (or their number) of each id.
     class_of: np.ndarray
     input_of: np.ndarray
+    paired: np.ndarray
     #: Of each class after each id, and of each id within its class after each class.
     prior: np.ndarray
     within: np.ndarray
-    #: Frequent pairs of ids, as ``first * ids + second``, sorted, and what replaces ``within``.
-    pairs: np.ndarray
+    #: Of each paired id within its class after each paired id, and by how much the other ids of
+    #: a class lose to those, after each id.
     pair_within: np.ndarray
-    #: By how much the other ids of a class lose to those pairs, after each id.
     rest: np.ndarray
 
     def inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The log probability of each id within its class, given the id before."""
+        a, b = self.paired[before], self.paired[ids]
+        scores = self.pair_within[np.minimum(a, PAIRED - 1), np.minimum(b, PAIRED - 1)]
+        other = np.flatnonzero((a == PAIRED) | (b == PAIRED))
+        before, ids = before[other], ids[other]
         of = self.class_of[ids]
-        scores = self.within[self.class_of[before], ids] + self.rest[before, of]
-        if len(self.pairs):
-            key = before.astype(np.int64) * len(self.class_of) + ids
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            scores[hit] = self.pair_within[at[hit]]
+        scores[other] = self.within[self.class_of[before], ids] + self.rest[before, of]
         return scores
 
 
-def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """The class and the input number of each id, by the ids' counts."""
+def by_count(counts: np.ndarray, most: int) -> np.ndarray:
+    """The place of each id by its count, at most ``most``."""
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return np.minimum(place, most)
+
+
+def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each id, by the ids' counts."""
     order = np.argsort(-counts, kind="stable")
     mass = np.sqrt(counts[order].astype(np.float64))
     share = np.cumsum(mass) / max(mass.sum(), 1e-300)
@@ -64,24 +72,21 @@ def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray,
     binned = np.minimum(np.arange(len(order)), np.maximum.accumulate(binned))
     class_of = np.empty(len(counts), np.int16)
     class_of[order] = np.minimum(binned, classes - 1)
-    input_of = np.empty(len(counts), np.int16)
-    input_of[order] = np.minimum(np.arange(len(order)), INPUTS - 1)
-    return class_of, input_of
+    return class_of
 
 
 def counted(
     counts: np.ndarray,
     class_of: np.ndarray,
-    input_of: np.ndarray,
     after: np.ndarray,
     to_class: np.ndarray,
     pairs: np.ndarray,
-    pair_counts: np.ndarray,
 ) -> Counted:
     """Smoothed log probabilities from counts.
 
     ``after[c, x]`` is how often id ``x`` follows an id of class ``c``, ``to_class[x, c]`` how
-    often one of class ``c`` follows id ``x``, and ``pairs`` has frequent pairs.
+    often one of class ``c`` follows id ``x``, and ``pairs[i, j]`` how often the ``j``-th most
+    frequent id follows the ``i``-th.
     """
     classes, ids = after.shape
     size = np.bincount(class_of, minlength=classes)
@@ -92,15 +97,19 @@ def counted(
     single = (total + 1) / (total.sum() + classes)
     broad = (of_pair + 5.0 * single) / (of_pair.sum(axis=1, keepdims=True) + 5.0)
     prior = (to_class + 5.0 * broad[class_of]) / (to_class.sum(axis=1, keepdims=True) + 5.0)
-    first, second = pairs // ids, pairs % ids
-    frequent = np.zeros((ids, classes))
-    np.add.at(frequent, (first, class_of[second]), pair_counts)
-    rest = 3.0 / (frequent + 3.0)
-    own = pair_counts / (frequent[first, class_of[second]] + 3.0)
-    own += rest[first, class_of[second]] * within[class_of[first], second]
-    logs = (np.log(a).astype(FLOAT) for a in (prior, within, own, rest))
-    prior, within, own, rest = logs
-    return Counted(class_of, input_of, prior, within, pairs, own, rest)
+    paired = by_count(counts, PAIRED)
+    top = np.argsort(paired, kind="stable")[:PAIRED]
+    top_class = class_of[top]
+    seen = np.zeros((ids, classes))
+    seen[top] = np.stack([np.bincount(top_class, row[: len(top)], classes) for row in pairs[: len(top)]])
+    rest = 3.0 / (seen + 3.0)
+    pair_within = np.full((PAIRED, PAIRED), 1.0)
+    pair_within[: len(top), : len(top)] = (
+        pairs[: len(top), : len(top)] / (seen[top] + 3.0)[:, top_class]
+        + rest[top][:, top_class] * within[class_of[top]][:, top]
+    )
+    logs = [np.log(values).astype(FLOAT) for values in (prior, within, pair_within, rest)]
+    return Counted(class_of, by_count(counts, INPUTS - 1).astype(np.int16), paired, *logs)
 
 
 SHAPES = {
@@ -145,17 +154,27 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 def forward(weights: dict[str, np.ndarray], before: np.ndarray, prior: np.ndarray) -> tuple:
     """Class logits for windows; ``before`` has the inputs and ``prior`` the counted logits."""
-    x = weights["embed"][before] + weights["place"]
+    x = weights["embed"][before]
+    x += weights["place"]
     q, k, v = np.split(x @ weights["qkv"], 3, axis=2)
-    logit = q @ k.transpose(0, 2, 1)
-    logit *= WIDTH**-0.5
-    logit += weights["apart"][DISTANCE] + FUTURE
-    np.minimum(logit, MOST, out=logit)
-    share = np.exp(logit, out=logit)
-    share /= share.sum(axis=2, keepdims=True)
-    seen = np.concatenate([x, share @ v], axis=2)
-    hidden = np.maximum(seen @ weights["mix"] + weights["bias"], 0)
-    return hidden @ weights["out"] + prior, (x, q, k, v, share, seen, hidden)
+    share = (q * FLOAT(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    share += weights["apart"][DISTANCE] + FUTURE
+    share = _exp(share)
+    share_sum = share.sum(axis=2, keepdims=True)
+    seen = np.concatenate([x, (share @ v) / share_sum], axis=2)
+    hidden = seen @ weights["mix"]
+    hidden += weights["bias"]
+    np.maximum(hidden, 0, out=hidden)
+    logits = hidden @ weights["out"]
+    logits += prior
+    return logits, (x, q, k, v, share, share_sum, seen, hidden)
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """The exponentials of ``logits``, which they replace."""
+    if logits.max(initial=0) > MOST:
+        np.minimum(logits, MOST, out=logits)
+    return np.exp(logits, out=logits)
 
 
 def gradients(
@@ -166,12 +185,12 @@ def gradients(
     counts: np.ndarray,
 ) -> tuple[dict[str, np.ndarray], float]:
     """Of the mean loss over the positions that count, and that loss."""
-    logits, (x, q, k, v, share, seen, hidden) = forward(weights, before, prior)
-    np.minimum(logits, MOST, out=logits)
-    p = np.exp(logits)
+    logits, (x, q, k, v, share, share_sum, seen, hidden) = forward(weights, before, prior)
+    share = share / share_sum
+    at = np.take_along_axis(logits, target[:, :, None], 2)
+    p = _exp(logits)
     total = p.sum(axis=2, keepdims=True)
     n = max(1, int(counts.sum()))
-    at = np.take_along_axis(logits, target[:, :, None], 2)
     loss = float(((np.log(total) - at)[:, :, 0] * counts).sum() / n)
     p /= total
     np.put_along_axis(p, target[:, :, None], np.take_along_axis(p, target[:, :, None], 2) - 1, 2)
@@ -234,16 +253,15 @@ def token_scores(
 ) -> np.ndarray:
     """The natural log of the probability of each id; ``before`` holds the id before each."""
     scores = known.inside(before, ids).astype(np.float64)
-    inputs, to_class = known.input_of[before], known.class_of[ids]
+    inputs, to_class = known.input_of[before], known.class_of[ids].astype(np.int64)
     start, size, first = windows(counts)
     place = np.arange(WINDOW)
     for low in range(0, len(start), BATCH):
         some = slice(low, low + BATCH)
         at = start[some, None] + np.minimum(place, size[some, None] - 1)
         logits, _ = forward(weights, inputs[at], known.prior[before[at]])
-        np.minimum(logits, MOST, out=logits)
-        picked = np.take_along_axis(logits, to_class[at][:, :, None].astype(np.int64), 2)[:, :, 0]
-        value = picked - np.log(np.exp(logits, out=logits).sum(axis=2))
+        picked = np.take_along_axis(logits, to_class[at][:, :, None], 2)[:, :, 0]
+        value = picked - np.log(_exp(logits).sum(axis=2))
         counted_ = (place >= first[some, None]) & (place < size[some, None])
         scores[at[counted_]] += value[counted_]
     return scores

@@ -13,7 +13,7 @@ one sequence of ids. The attention model gives the probability of a word's ids a
 it is mixed with the share that the word has of all frequent words.
 
 The base score comes from word counts. Words with a share of ``FREQUENT`` or more of all tokens,
-a million at most, are counted where the text is read; other words are joined with their counts.
+two million at most, are counted where the text is read; other words are joined with their counts.
 Words are told apart by 64-bit hashes.
 
 Defined results: a null text is empty and has the end as its only token. A null id counts as an
@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm import attention
-from trolley.llm.attention import CLASSES, WINDOW, Counted
+from trolley.llm.attention import CLASSES, PAIRED, WINDOW, Counted
 from trolley.llm.hashing import LOWER, WordHasher, mixed, text_chunks, word_bounds
 from trolley.llm.stages import buckets_for, staged
 
-FREQUENT = 1e-6
+FREQUENT = 5e-7
 #: One window in so many is trained on, and so many windows make a trainer's part.
-DRAWN = 4
+DRAWN = 24
 PART = 1 << 15
 RATES = (3e-3, 1e-3)
 #: The weight of whole words: a frequent word is drawn by its count this often, else spelt by the
@@ -65,7 +66,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Subwords:
-    """Ids of the words of a chunk; remembers those of the words it has seen."""
+    """Ids of the words of a chunk; remembers those of the words it has seen.
+
+    ``counted`` has the distinct hashes of the last chunk and how often each occurs.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.end = max(ranks.values()) + 1
@@ -97,7 +101,10 @@ class Subwords:
         """The ids of all rows, each with an end; their number in each row; words' first ids."""
         if len(self._keys) > REMEMBERED:
             self._forget()
-        unique, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        unique, place, inverse, times = np.unique(
+            hashes, return_index=True, return_inverse=True, return_counts=True
+        )
+        self.counted = unique, times
         at = np.searchsorted(self._keys, unique)
         known = at < len(self._keys)
         known[known] = self._keys[at[known]] == unique[known]
@@ -112,7 +119,7 @@ class Subwords:
             count = np.array([len(ids) for ids in found], np.int64)
             first = len(self._ids) + np.cumsum(count) - count
             self._ids = np.concatenate(
-                [self._ids, np.fromiter((i for ids in found for i in ids), np.int32)]
+                [self._ids, np.fromiter(chain.from_iterable(found), np.int32)]
             )
             spot = at[new]
             self._keys = np.insert(self._keys, spot, unique[new])
@@ -139,8 +146,7 @@ class Tally:
         self._counts: list[np.ndarray] = []
         self._size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        unique, counts = np.unique(keys, return_counts=True)
+    def add(self, unique: np.ndarray, counts: np.ndarray) -> None:
         self._keys.append(unique)
         self._counts.append(counts)
         self._size += len(unique)
@@ -178,7 +184,12 @@ def gathered(docs: DataFrame, ranks) -> DataFrame:
     def counts(kind: int, tally: Tally) -> pa.RecordBatch:
         keys, n = tally.take()
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.binary())],
+            [
+                pa.array(np.full(len(keys), kind, np.int32)),
+                pa.array(keys),
+                pa.array(n),
+                pa.nulls(len(keys), pa.binary()),
+            ],
             fields,
         )
 
@@ -192,9 +203,11 @@ def gathered(docs: DataFrame, ranks) -> DataFrame:
                 starts, ends, rows = word_bounds(data, offsets)
                 hashes = hasher(data, starts, ends)
                 ids, sizes, _ = subwords(data, starts, ends, hashes, rows)
-                words.add(np.append(hashes, np.zeros(last - first, np.uint64)))
+                words.add(*subwords.counted)
+                words.add(np.array([END_WORD], np.uint64), np.array([last - first]))
                 before = _before(ids, sizes, subwords.end)
-                pairs.add(before.astype(np.uint64) * np.uint64(subwords.end + 1) + ids.astype(np.uint64))
+                key = before.astype(np.uint64) * np.uint64(subwords.end + 1)
+                pairs.add(*np.unique(key + ids.astype(np.uint64), return_counts=True))
                 yield _drawn(names[first:last], ids, before, sizes, fields)
                 for kind, tally in ((WORD, words), (PAIR, pairs)):
                     if tally.full():
@@ -253,27 +266,25 @@ def known_counts(pairs: DataFrame, end: int) -> Counted:
     singles = named.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size)
     counts[singles["b"].to_numpy()] = singles["n"].to_numpy()
-    class_of, input_of = attention.classes_of(counts)
-    classes = pairs.sparkSession.createDataFrame(
-        list(enumerate(class_of.tolist())), "id int, class int"
+    class_of, place = attention.classes_of(counts), attention.by_count(counts, PAIRED)
+    names = pairs.sparkSession.createDataFrame(
+        list(zip(range(size), class_of.tolist(), place.tolist())), "id int, class int, place int"
     )
-    of = lambda name: F.broadcast(classes.withColumnsRenamed({"id": name, "class": f"{name}_class"}))
-    joined = named.join(of("a"), "a").join(of("b"), "b")
+    joined = named
+    for end_of in ("a", "b"):
+        own = {"id": end_of, "class": f"{end_of}_class", "place": f"{end_of}_place"}
+        joined = joined.join(F.broadcast(names.withColumnsRenamed(own)), end_of)
     after, to_class = np.zeros((CLASSES, size)), np.zeros((size, CLASSES))
-    for table, row, column in ((after, "a_class", "b"), (to_class, "a", "b_class")):
-        sums = joined.groupBy(row, column).agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros((PAIRED, PAIRED))
+    both = joined.where((F.col("a_place") < PAIRED) & (F.col("b_place") < PAIRED))
+    for table, source, row, column in (
+        (after, joined, "a_class", "b"),
+        (to_class, joined, "a", "b_class"),
+        (between, both, "a_place", "b_place"),
+    ):
+        sums = source.groupBy(row, column).agg(F.sum("n").alias("n")).toArrow()
         table[sums[row].to_numpy(), sums[column].to_numpy()] = sums["n"].to_numpy()
-    least = max(1.0, FREQUENT * counts.sum())
-    frequent = pairs.where(F.col("n") >= least).toArrow().sort_by([("key", "ascending")])
-    return attention.counted(
-        counts,
-        class_of,
-        input_of,
-        after,
-        to_class,
-        frequent["key"].to_numpy(),
-        frequent["n"].to_numpy().astype(np.float64),
-    )
+    return attention.counted(counts, class_of, after, to_class, between)
 
 
 def trained(samples: DataFrame, known, rates: tuple[float, ...] = RATES) -> np.ndarray:

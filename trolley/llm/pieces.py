@@ -35,7 +35,7 @@ UNKNOWN = " ⁇ "
 #: A character without a piece scores so much less than the worst piece.
 PENALTY = 10.0
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Words of up to so many bytes are segmented together, longer ones apart.
 SHORT = 64
 TEXTS = 512
