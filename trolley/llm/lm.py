@@ -43,7 +43,7 @@ FREQUENT = 5e-7
 #: One window in so many is trained on, and so many windows make a trainer's part.
 DRAWN = 24
 PART = 1 << 15
-RATES = (3e-3, 1e-3)
+RATES = (1e-2, 3e-3)
 #: The weight of whole words: a frequent word is drawn by its count this often, else spelt by the
 #: attention model.
 WHOLE = 0.3
