@@ -24,8 +24,13 @@ from trolley.functions import scratch_path
 from trolley.llm.filters import maybe_in
 from trolley.llm.stages import keep_rows, staged
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Without preallocation a store takes the disk that its state needs, not 4 MB at least.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOG = "digest string, doc_id long, content string"
 
 
@@ -34,16 +39,18 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def write_log(
@@ -70,7 +77,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def keep_state(
     spark: SparkSession, log: str, state: str, files_per_batch: int = 1000
 ) -> DataFrame:
-    """Bring the state at ``state`` up to the log and return it.
+    """Bring the state at ``state`` up to the log and return a copy of it.
 
     The stream goes on from where an earlier call with the same paths ended, so entries that
     were appended since are the only ones that it reads.
@@ -82,7 +89,7 @@ def keep_state(
         .select("digest", F.struct("doc_id", _locator()).alias("entry"))
     )
     kept = entries.groupBy("digest").agg(F.max("entry"), F.count("*"))
-    with _setting(spark, STORE, ROCKSDB):
+    with _settings(spark, STORE):
         stream = (
             kept.writeStream.format("noop")
             .outputMode("update")
@@ -92,13 +99,16 @@ def keep_state(
         )
         stream.awaitTermination()
         values = spark.read.format("statestore").load(state)
-    keep, count = (F.col("value")[name] for name in values.schema["value"].dataType.names)
-    return values.select(
-        F.col("key")["digest"].alias("digest"),
-        keep["doc_id"].alias("keep_id"),
-        keep["at"].alias("keep_at"),
-        count.alias("group_size"),
-    )
+        keep, count = (F.col("value")[name] for name in values.schema["value"].dataType.names)
+        return staged(
+            values.select(
+                F.col("key")["digest"].alias("digest"),
+                keep["doc_id"].alias("keep_id"),
+                keep["at"].alias("keep_at"),
+                count.alias("group_size"),
+            ),
+            "kept",
+        )
 
 
 def hit_texts(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
