@@ -13,13 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every neighbour on the smallest one it can see, so the number of rounds
     grows with the logarithm of the longest path, and a node with very many neighbours is only
-    ever met by sums over its edges and joins that can be split. Each round is written, which
-    cuts the lineage.
+    ever met by sums over its edges and joins that can be split; for that the sums are written
+    before they are joined. Each round is written too, which cuts the lineage.
     """
     stars = staged(edges.where("a <> b").select("a", "b").distinct(), "edges")
     before = None
     while True:
-        stars = staged(_small_star(_large_star(stars)), "stars")
+        large = staged(_large_star(stars), "stars")
+        stars = staged(_small_star(large), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -31,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
+    least = staged(both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")), "least")
     return (
         both.join(least, F.col("a") == F.col("_a"))
         .where("b > a")
@@ -42,7 +43,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
+    least = staged(down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")), "least")
     return (
         down.join(least, F.col("a") == F.col("_a"))
         .select(F.explode(F.array(F.struct("a", "_m"), F.struct(F.col("b").alias("a"), "_m"))))

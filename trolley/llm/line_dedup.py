@@ -102,12 +102,17 @@ def units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) ->
 
 
 def repeated_units(found: DataFrame) -> DataFrame:
-    """The units that are not the earliest with their digest."""
+    """The units that are not the earliest with their digest.
+
+    What is known of each digest is written before the join: adaptive execution splits a join
+    of two plain shuffles where a unit is very common, but not one with an aggregate in it.
+    """
     place = F.struct("doc_id", "text_key", "start")
-    earliest = (
+    earliest = staged(
         found.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low"))
         .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1")
+        .where("_n > 1"),
+        "earliest",
     )
     return found.join(
         earliest, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low"))

@@ -95,12 +95,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """``a`` and ``b``: each class with the smallest of every node that it shares."""
+    """``a`` and ``b``: each class with the smallest of every node that it shares.
+
+    The shared nodes are written before the join, so that adaptive execution can split it.
+    """
     nodes = classes.select("class", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = (
+    shared = staged(
         nodes.groupBy(F.col("tree").alias("_tree"), F.col("prefix").alias("_prefix"))
         .agg(F.min("class").alias("b"), F.count("*").alias("_n"))
-        .where("_n > 1")
+        .where("_n > 1"),
+        "shared",
     )
     return nodes.join(
         shared, (F.col("tree") == F.col("_tree")) & (F.col("prefix") == F.col("_prefix"))
@@ -132,11 +136,12 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 def in_block_pairs(members: DataFrame) -> DataFrame:
     """Each member of a component once for each pair of blocks that its block is in."""
-    blocks = members.groupBy(F.col("root").alias("_root")).agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK),
-            F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES)),
-        ).alias("_blocks")
+    counts = F.greatest(
+        F.ceil(F.count("*") / BLOCK),
+        F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES)),
+    )
+    blocks = staged(
+        members.groupBy(F.col("root").alias("_root")).agg(counts.alias("_blocks")), "blocks"
     )
     own = F.pmod(F.xxhash64("class"), "_blocks").alias("block")
     return (
@@ -274,7 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .drop("node"),
         "grouped",
     )
-    smallest = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    smallest = staged(
+        grouped.groupBy("root").agg(F.min("class_id").alias("group_id")), "smallest"
+    )
     return (
         rows.select("doc_id", "text_key")
         .join(grouped.join(smallest, "root"), "text_key")
