@@ -13,9 +13,10 @@ from pyspark.ml.fpm import FPGrowthModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.functions import scratch_path
+from trolley.functions import cached, scratch_path
 from trolley.operators import cleaning, itemsets
-from trolley.operators.windows import hot_keys, mark_hot, running_totals
+from trolley.operators.lines import basket_sizes
+from trolley.operators.windows import HOT_ROWS, hot_keys, mark_hot, running_totals
 from trolley.plans import reports, sqltext
 from trolley.sources import load_tables, sample_tables, write_csv, write_parquet
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS
@@ -24,8 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RAW_ORDER_COLUMNS = [column.split()[0] for column in TABLE_COLUMNS["orders"].split(", ")]
 MIN_ITEMS = 4
-MIN_SUPPORT = 0.01
-MIN_CONFIDENCE = 0.1
+# About half of the pairs and of the rules over the test tables reach these.
+MIN_SUPPORT = 0.022
+MIN_CONFIDENCE = 0.148
+# Small enough that the test tables take the way of hot users and of too large blocks.
+CUT = {"numbers_per_block": 5, "ids_per_block": 1000, "max_rows": 3}
+CUT_USERS = 12
+# Added to ids, which then exceed 32 bits.
+FAR = 5_000_000_000
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -47,9 +54,9 @@ def _sql(report: Callable[..., DataFrame], numbered: bool = False, **params: obj
     return query
 
 
-def _hot_users(spark: SparkSession, root: str) -> DataFrame:
+def _hot_users(spark: SparkSession, root: str, max_rows: int = HOT_ROWS) -> DataFrame:
     """Taken from the plain orders: numbering them does not change how many a user has."""
-    return hot_keys(sample_tables(spark, root)["orders"], "user_id")
+    return hot_keys(sample_tables(spark, root)["orders"], "user_id", max_rows)
 
 
 def _running_basket(spark: SparkSession, root: str) -> DataFrame:
@@ -62,6 +69,37 @@ def _sql_running_basket(spark: SparkSession, root: str) -> DataFrame:
     return sqltext.running_basket(spark, t, hot=_hot_users(spark, root))
 
 
+def _running_basket_cut(spark: SparkSession, root: str) -> DataFrame:
+    t = sample_tables(spark, root, numbered=True)
+    return reports.running_basket(t, hot=_hot_users(spark, root, CUT_USERS), **CUT)
+
+
+def _sql_running_basket_cut(spark: SparkSession, root: str) -> DataFrame:
+    t = sample_tables(spark, root, numbered=True)
+    return sqltext.running_basket(spark, t, hot=_hot_users(spark, root, CUT_USERS), **CUT)
+
+
+def _from_cache(
+    build: Callable[..., DataFrame], report: Callable[[DataFrame], DataFrame], name: str
+) -> Query:
+    """Two actions over rows that stay cached between them and no longer."""
+
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        with cached(build(sample_tables(spark, root))) as kept:
+            kept.count()
+            path = write_parquet(report(kept), scratch_path(spark, name))
+        return spark.read.parquet(path)
+
+    return query
+
+
+def _sql_from_cache(spark: SparkSession, root: str) -> DataFrame:
+    counts = sqltext.cached_user_line_counts(spark, sample_tables(spark, root))
+    path = write_parquet(counts, scratch_path(spark, "sql-counts"))
+    sqltext.release_cached_view(spark)
+    return spark.read.parquet(path)
+
+
 def _raw_orders(spark: SparkSession, root: str) -> DataFrame:
     return sample_tables(spark, root, numbered=True)["orders"].select(*RAW_ORDER_COLUMNS)
 
@@ -81,10 +119,41 @@ def _order_time(spark: SparkSession, root: str) -> DataFrame:
     return cleaning.add_order_time(filled, hot=_hot_users(spark, root))
 
 
-def _csv_typed(spark: SparkSession, root: str) -> DataFrame:
+def _order_time_cut(spark: SparkSession, root: str) -> DataFrame:
+    filled = cleaning.fill_first_gap(_raw_orders(spark, root))
+    hot = _hot_users(spark, root, CUT_USERS)
+    return cleaning.add_order_time(filled, hot=hot, numbers_per_block=CUT["numbers_per_block"])
+
+
+def _through_csv(spark: SparkSession, name: str, df: DataFrame, **options: bool) -> DataFrame:
     folder = scratch_path(spark, "csv")
-    write_csv(_raw_orders(spark, root), f"{folder}/{CSV_FILES['orders']}")
-    return load_tables(spark, folder, format="csv", names=["orders"], wide_ids=True)["orders"]
+    write_csv(df, f"{folder}/{CSV_FILES[name]}")
+    return load_tables(spark, folder, format="csv", names=[name], **options)[name]
+
+
+def _csv_typed(spark: SparkSession, root: str) -> DataFrame:
+    return _through_csv(spark, "orders", _raw_orders(spark, root))
+
+
+def _csv_products(spark: SparkSession, root: str) -> DataFrame:
+    """Names with spaces around them, quotes, nothing in them, line breaks, or NULL."""
+    name, kind = F.col("product_name"), F.col("product_id") % 6
+    awkward = (
+        F.when(kind == 0, F.concat(F.lit("  "), name, F.lit(" ")))
+        .when(kind == 1, F.concat(F.lit('"'), name, F.lit('", "x"')))
+        .when(kind == 2, F.lit(""))
+        .when(kind == 3, F.concat(name, F.lit("\n"), name))
+        .when(kind == 4, name)
+    )
+    products = sample_tables(spark, root)["products"].withColumn("product_name", awkward)
+    return _through_csv(spark, "products", products, multi_line=True)
+
+
+def _csv_lines(spark: SparkSession, root: str) -> DataFrame:
+    far = {key: F.col(key) + F.lit(FAR) for key in ("order_id", "product_id")}
+    return _through_csv(
+        spark, "order_products_prior", _lines(spark, root).withColumns(far)
+    )
 
 
 def _parquet_roundtrip(spark: SparkSession, root: str) -> DataFrame:
@@ -121,10 +190,16 @@ def _default_frame(spark: SparkSession, root: str) -> DataFrame:
 
 def _mine(spark: SparkSession, root: str) -> FPGrowthModel:
     items = reports.order_aisles(sample_tables(spark, root))
-    path = scratch_path(spark, "baskets")
+    path = scratch_path(spark, "mining")
     return itemsets.mine(items, MIN_SUPPORT, path, MIN_CONFIDENCE)
 
 
+def _itemsets(spark: SparkSession, root: str) -> DataFrame:
+    return itemsets.frequent_itemsets(_mine(spark, root)).withColumn(
+        "items", F.array_join("items", ",")
+    )
+
+
 def _frequent_pairs(spark: SparkSession, root: str) -> DataFrame:
     return itemsets.frequent_pairs(_mine(spark, root))
 
@@ -134,7 +209,7 @@ def _rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**_order_queries(), **_training_data()[0]}
+    return {**order_queries(), **_training_data()[0]}
 
 
 def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
@@ -155,50 +230,65 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     return found, sql
 
 
-def _order_queries() -> dict[str, Query]:
+def order_queries() -> dict[str, Query]:
     return {
         "q1_weekend_lunch_baskets": _over(reports.weekend_lunch_baskets, min_items=MIN_ITEMS),
         "q2_order_profile": _over(reports.order_profile, numbered=True),
         "q3_dept_dow_hour": _over(reports.department_hours),
+        "q3_large": _over(reports.department_hours, max_bytes=0),
         "q4_top_products": _over(reports.top_products),
         "q4_exact_n": _over(reports.top_products_exact),
         "q5_running_basket": _running_basket,
+        "q5_cut_users": _running_basket_cut,
         "q6_power_users": _over(reports.power_users),
         "q6_with_global_avg": lambda spark, root: reports.power_users_with_average(
             sample_tables(spark, root)
         ).withColumn("global_avg", F.round("global_avg", 9)),
         "q7_lines_per_aisle": _over(reports.lines_per_aisle),
+        "q7_large": _over(reports.lines_per_aisle, max_bytes=0),
         "q8_dow_reorder_rate": _over(reports.reorder_rate_by_day),
-        "q9_user_line_counts": _over(reports.cached_user_line_counts),
-        "rdd_q9_basket_sizes": _over(reports.cached_basket_sizes),
+        "q9_user_line_counts": _from_cache(
+            reports.orders_with_line_counts, reports.user_line_counts, "user-counts"
+        ),
+        "rdd_q9_basket_sizes": _from_cache(
+            lambda t: basket_sizes(t["order_products_prior"]), lambda kept: kept, "sizes"
+        ),
         "q10_partition_pruning": _partition_pruning,
         "repartition_by_key": _over(reports.hashed_products_of_department),
         "sql_q1": _sql(sqltext.weekend_lunch_baskets, min_items=MIN_ITEMS),
         "sql_q2": _sql(sqltext.order_profile, numbered=True),
         "sql_q3": _sql(sqltext.department_hours),
+        "sql_q3_large": _sql(sqltext.department_hours, max_bytes=0),
         "sql_q4": _sql(sqltext.top_products),
         "sql_q5": _sql_running_basket,
+        "sql_q5_cut_users": _sql_running_basket_cut,
         "sql_q6": _sql(sqltext.power_users),
         "sql_q7": _sql(sqltext.lines_per_aisle),
+        "sql_q7_large": _sql(sqltext.lines_per_aisle, max_bytes=0),
         "sql_q8": _sql(sqltext.reorder_rate_by_day),
-        "sql_q9_cached_view": _sql(sqltext.cached_user_line_counts),
+        "sql_q9_cached_view": _sql_from_cache,
         "sql_q10_file_view": _file_view,
         "bench_filter_count": _over(reports.reordered_line_count),
         "bench_group_count_sum": _over(reports.product_totals),
         "bench_broadcast_join_count": _over(reports.aisle_lines),
         "bench_product_dow": _over(reports.product_days),
+        "bench_product_dow_large": _over(reports.product_days, max_bytes=0),
         "etl_dedup_key": lambda spark, root: cleaning.dedup_by_key(
             _lines(spark, root), "order_id"
         ),
         "etl_dedup_rows": lambda spark, root: cleaning.dedup_rows(_lines(spark, root)),
         "etl_fill_nulls": lambda spark, root: cleaning.fill_first_gap(_raw_orders(spark, root)),
         "etl_order_ts": _order_time,
+        "etl_order_ts_cut": _order_time_cut,
         "etl_wide": _etl_wide,
         "src_csv_typed": _csv_typed,
+        "src_csv_products": _csv_products,
+        "src_csv_lines": _csv_lines,
         "sink_parquet_roundtrip": _parquet_roundtrip,
         "window_default_frame": _default_frame,
         "fp_frequent_pairs": _frequent_pairs,
         "fp_rules": _rules,
+        "fp_itemsets": _itemsets,
     }
 
 
@@ -330,11 +420,21 @@ def oracle_sql() -> dict[str, str]:
     per_user_lines = """
         SELECT user_id, COUNT(*) AS line_items FROM prior JOIN shop_orders USING (order_id)
         GROUP BY user_id"""
+    product_days = f"""
+        SELECT product_id, order_dow, {rate}
+        FROM prior JOIN shop_orders USING (order_id) JOIN products USING (product_id)
+        GROUP BY product_id, order_dow"""
     department_4 = "SELECT * FROM products WHERE department_id = 4"
     bodies = {
         "q1_weekend_lunch_baskets": weekend_lunch,
         "q2_order_profile": profile,
         "q3_dept_dow_hour": department_hours,
+        "q3_large": department_hours,
+        "sql_q3_large": department_hours,
+        "q5_cut_users": running,
+        "sql_q5_cut_users": running,
+        "q7_large": per_aisle,
+        "sql_q7_large": per_aisle,
         "q4_top_products": top.format(place=rank, name="rank"),
         "q4_exact_n": top.format(place=row_number, name="rank"),
         "q5_running_basket": running,
@@ -365,10 +465,7 @@ def oracle_sql() -> dict[str, str]:
                    CAST(SUM(reordered) AS BIGINT) AS reorders
             FROM prior GROUP BY product_id""",
         "bench_broadcast_join_count": per_aisle,
-        "bench_product_dow": f"""
-            SELECT product_id, order_dow, {rate}
-            FROM prior JOIN shop_orders USING (order_id) JOIN products USING (product_id)
-            GROUP BY product_id, order_dow""",
+        "bench_product_dow": product_days,
         "etl_dedup_key": """
             SELECT * FROM prior QUALIFY ROW_NUMBER() OVER (
                 PARTITION BY order_id ORDER BY product_id, add_to_cart_order, reordered) = 1""",
@@ -385,6 +482,20 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT * FROM prior)
             JOIN timed USING (order_id) JOIN products USING (product_id)
             JOIN aisles USING (aisle_id) JOIN departments USING (department_id)""",
+        "bench_product_dow_large": product_days,
+        "etl_order_ts_cut": f"{ORDER_TIME} SELECT * FROM timed",
+        "src_csv_products": """
+            SELECT product_id, aisle_id, department_id, CASE product_id % 6
+                   WHEN 0 THEN '  ' || product_name || ' '
+                   WHEN 1 THEN '"' || product_name || '", "x"'
+                   WHEN 2 THEN ''
+                   WHEN 3 THEN product_name || chr(10) || product_name
+                   WHEN 4 THEN product_name END AS product_name
+            FROM products""",
+        "src_csv_lines": f"""
+            SELECT order_id + {FAR} AS order_id, product_id + {FAR} AS product_id,
+                   add_to_cart_order, reordered
+            FROM prior""",
         "src_csv_typed": f"SELECT {RAW_ORDERS} FROM shop_orders",
         "sink_parquet_roundtrip": "SELECT * FROM prior",
         "window_default_frame": """
@@ -395,6 +506,8 @@ def oracle_sql() -> dict[str, str]:
         "fp_frequent_pairs": f"""{ITEMSETS}
             SELECT items[1] AS item_a, items[2] AS item_b, baskets
             FROM frequent WHERE len(items) = 2""",
+        "fp_itemsets": f"""{ITEMSETS}
+            SELECT array_to_string(items, ',') AS items, baskets FROM frequent""",
         "fp_rules": f"""{ITEMSETS},
             split AS (
                 SELECT items, baskets, UNNEST(items) AS consequent

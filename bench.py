@@ -17,12 +17,13 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trolley.functions import cached, scratch_path
-from trolley.operators import cleaning
-from trolley.operators.windows import hot_keys
+from trolley.operators import cleaning, itemsets
+from trolley.operators.windows import hot_keys, mark_hot, running_totals
 from trolley.plans import reports, sqltext
-from trolley.sources import load_tables, sample_tables, write_csv
+from trolley.sources import load_tables, sample_tables, write_csv, write_parquet
 from trolley.sources.readers import Tables
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS
 
@@ -31,6 +32,10 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 TABLES_DIR = os.environ.get("BENCH_TABLES")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 TABLES = [name for name in CSV_FILES if name != "order_products_train"]
+# The numbers of shuffle partitions of the published runs.
+PARTITIONS = (4, 16, 64, 200)
+# Orders of a user above this take the way of hot users in the skewed copy.
+SKEWED_MAX_ROWS = 10_000
 
 
 def session() -> SparkSession:
@@ -79,6 +84,41 @@ def write_raw_csv(spark: SparkSession, t: Tables) -> str:
     return root
 
 
+def skewed(spark: SparkSession, t: Tables) -> Tables:
+    """A copy where one order, one product and one user hold a third of the rows each."""
+    root = scratch_path(spark, "bench-skewed")
+    third = F.pmod(F.xxhash64(*t["order_products_prior"].columns), F.lit(3))
+    lines = t["order_products_prior"].withColumns(
+        {
+            "order_id": F.when(third == 0, F.lit(1)).otherwise(F.col("order_id")),
+            "product_id": F.when(third == 1, F.lit(1)).otherwise(F.col("product_id")),
+        }
+    )
+    lost = F.pmod(F.xxhash64("order_id"), F.lit(3)) == 0
+    orders = t["orders"].withColumn("user_id", F.when(lost, F.lit(1)).otherwise(F.col("user_id")))
+    write_parquet(lines, f"{root}/order_products_prior")
+    write_parquet(orders, f"{root}/orders")
+    return {**t, **load_tables(spark, root, names=["order_products_prior", "orders"])}
+
+
+def default_frame(t: Tables) -> DataFrame:
+    sized = reports.sized_orders(t, "user_id", "order_number")
+    return running_totals(
+        mark_hot(sized, "user_id", hot_keys(sized, "user_id")),
+        key="user_id",
+        order_by=["order_number"],
+        totals={"items_to_date": F.col("basket_size")},
+        blocks=[F.floor(F.col("order_number") / cleaning.NUMBERS_PER_BLOCK)],
+        peers=True,
+    )
+
+
+def pairs_and_rules(spark: SparkSession, t: Tables) -> DataFrame:
+    model = itemsets.mine(reports.order_aisles(t), 0.022, scratch_path(spark, "bench-mining"), 0.148)
+    run(itemsets.frequent_pairs(model))
+    return itemsets.rules(model)
+
+
 def main() -> None:
     spark = session()
     times: dict[str, float] = {}
@@ -116,6 +156,20 @@ def main() -> None:
         "filter_parquet": lambda: reports.reordered_line_count(t),
         "aggregate_parquet": lambda: reports.product_totals(t),
         "broadcast_join_parquet": lambda: reports.aisle_lines(t),
+        "dedup_key": lambda: cleaning.dedup_by_key(t["orders"], "order_id"),
+        "dedup_rows": lambda: cleaning.dedup_rows(t["order_products_prior"]),
+        "order_time": lambda: cleaning.add_order_time(t["orders"].drop("order_date", "order_ts")),
+        "default_frame": lambda: default_frame(t),
+        "mining": lambda: pairs_and_rules(spark, t),
+    }
+    uneven = skewed(spark, t)
+    frames |= {
+        "skewed_q3": lambda: reports.department_hours(uneven),
+        "skewed_q5": lambda: reports.running_basket(uneven, max_rows=SKEWED_MAX_ROWS),
+        "skewed_q8": lambda: reports.reorder_rate_by_day(uneven),
+        "skewed_order_time": lambda: cleaning.add_order_time(
+            uneven["orders"].drop("order_date", "order_ts")
+        ),
     }
     for name, build in frames.items():
         times[name] = typical(build)
@@ -123,13 +177,13 @@ def main() -> None:
     with cached(reports.orders_with_line_counts(t)) as kept:
         times["q9_cached"] = typical(lambda: reports.user_line_counts(kept))
 
-    csv = load_tables(spark, write_raw_csv(spark, t), "csv", TABLES, wide_ids=True)
+    csv = load_tables(spark, write_raw_csv(spark, t), "csv", TABLES)
     times["filter_csv"] = typical(lambda: reports.reordered_line_count(csv))
     times["aggregate_csv"] = typical(lambda: reports.product_totals(csv))
     times["broadcast_join_csv"] = typical(lambda: reports.aisle_lines(csv))
 
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    for n in (4, 16, 64, 200):
+    for n in PARTITIONS:
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         times[f"product_days_{n}_partitions"] = typical(lambda: reports.product_days(t))
     spark.conf.set("spark.sql.shuffle.partitions", partitions)

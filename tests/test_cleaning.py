@@ -96,6 +96,26 @@ def test_order_time_of_a_hot_user(shop):
     assert rows(split, "order_id", "order_ts") == rows(shop["orders"], "order_id", "order_ts")
 
 
+def test_ties_never_meet_in_a_window(spark, conf):
+    """A third of the orders has no user and one number; windows see their sum."""
+    conf("spark.sql.adaptive.enabled", "false")
+    orders = spark.range(300).select(
+        F.col("id").cast("int").alias("order_id"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 20).cast("int").alias("user_id"),
+        F.lit("prior").alias("eval_set"),
+        F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 20)).otherwise(1).cast("int")
+        .alias("order_number"),
+        F.lit(0).alias("order_dow"),
+        F.lit(0).alias("order_hour_of_day"),
+        F.lit(1.0).alias("days_since_prior_order"),
+    )
+    timed = cleaning.add_order_time(orders, hot=hot_keys(orders, "user_id", 20))
+    lost = timed.where("user_id IS NULL").select("order_date").distinct()
+    assert rows(lost) == [(date(2017, 4, 11),)]
+    for window in plan_of(timed).split("Window [")[1:]:
+        assert "HashAggregate" in window.split("Scan")[0].split("Join")[0]
+
+
 def wide_by_hand(shop):
     t = {name: [r.asDict() for r in df.collect()] for name, df in shop.items()}
     by = {

@@ -36,7 +36,7 @@ def by_order(bought):
 
 
 def test_baskets_leave_out_rare_items_only(bought):
-    found = itemsets.baskets(bought, 0.05).collect()
+    found = itemsets.baskets(bought.distinct(), 0.05).collect()
     assert len(found) == 200
     assert all(len(r["items"]) == len(set(r["items"])) for r in found)
     hot = next(r for r in found if r.order_id == 0)
@@ -62,10 +62,16 @@ def test_larger_itemsets(bought, tmp_path):
     counts = Counter(c for s in common for n in (1, 2, 3, 4) for c in combinations(s, n))
     expected = {c: n for c, n in counts.items() if n >= needed}
     model = itemsets.mine(bought, 0.05, str(tmp_path / "b"))
-    found = {tuple(sorted(r["items"])): r.freq for r in model.freqItemsets.collect()}
+    found = {tuple(r["items"]): r.baskets for r in itemsets.frequent_itemsets(model).collect()}
     assert {c: n for c, n in found.items() if len(c) <= 4} == expected
 
 
+def test_support_is_checked(bought):
+    for support in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            itemsets.baskets(bought, support)
+
+
 def test_rules(bought, tmp_path):
     sets = by_order(bought)
     model = itemsets.mine(bought, 0.2, str(tmp_path / "b"), min_confidence=0.9)

@@ -129,9 +129,11 @@ def test_running_basket(spark, shop, facts):
     assert rows(reports.running_basket(shop)) == expected
     hot = hot_keys(shop["orders"], "user_id", 20)
     assert rows(hot)[0][0] == 1
-    split = reports.running_basket(shop, hot=hot, numbers_per_block=7, ids_per_block=9)
+    split = reports.running_basket(shop, hot=hot, numbers_per_block=7, ids_per_block=9, max_rows=4)
     assert rows(split) == expected
-    as_sql = sqltext.running_basket(spark, shop, hot=hot, numbers_per_block=7, ids_per_block=9)
+    as_sql = sqltext.running_basket(
+        spark, shop, hot=hot, numbers_per_block=7, ids_per_block=9, max_rows=4
+    )
     assert rows(as_sql) == expected
 
 
@@ -159,7 +161,7 @@ def test_running_basket_of_a_user_who_is_many(spark, shop):
     hot = hot_keys(t["orders"], "user_id", 20)
     assert (None, True) in rows(hot)
     for size in (3, 1000):
-        options = {"hot": hot, "numbers_per_block": size, "ids_per_block": size}
+        options = {"hot": hot, "numbers_per_block": size, "ids_per_block": size, "max_rows": 9}
         assert rows(reports.running_basket(t, **options)) == expected
         assert rows(sqltext.running_basket(spark, t, **options)) == expected
 
@@ -253,12 +255,18 @@ def test_repeated_keys_count_as_in_a_row_level_join(spark, shop):
         assert rows(reports.product_days(t, max_bytes)) == rows(plain)
 
 
-def test_cached_reports(shop, facts):
+def test_user_ids_may_be_strings(spark, shop):
+    named = shop["orders"].withColumn("user_id", F.concat(F.lit("u"), "user_id"))
+    t = {**shop, "orders": named}
+    found = reports.running_basket(t)
+    assert rows(sqltext.running_basket(spark, t)) == rows(found)
+    assert found.count() == reports.running_basket(shop).count()
+
+
+def test_user_line_counts(shop, facts):
     per_user = Counter(o.user_id for _, o, *_ in facts)
-    per_order = Counter(line.order_id for line, *_ in facts)
-    kept = reports.cached_user_line_counts(shop)
-    assert rows(kept) == sorted(per_user.items(), key=repr)
-    assert rows(reports.cached_basket_sizes(shop)) == sorted(per_order.items(), key=repr)
+    counts = reports.user_line_counts(reports.orders_with_line_counts(shop))
+    assert rows(counts) == sorted(per_user.items(), key=repr)
 
 
 def test_cached_block_reads_the_cache_and_frees_it(spark, shop):
@@ -303,7 +311,8 @@ SQL_TWINS = [
     (sqltext.lines_per_aisle, reports.lines_per_aisle),
     (lambda s, t: sqltext.lines_per_aisle(s, t, max_bytes=0), reports.lines_per_aisle),
     (sqltext.reorder_rate_by_day, reports.reorder_rate_by_day),
-    (sqltext.cached_user_line_counts, reports.cached_user_line_counts),
+    (sqltext.cached_user_line_counts,
+     lambda t: reports.user_line_counts(reports.orders_with_line_counts(t))),
 ]
 
 

@@ -47,7 +47,7 @@ def test_wide_ids_hold_keys_beyond_32_bits(spark, tmp_path):
                                   "add_to_cart_order INT, reordered INT")
     write_csv(lines, str(tmp_path / CSV_FILES["order_products_prior"]))
     found = load_tables(
-        spark, str(tmp_path), format="csv", names=["order_products_prior"], wide_ids=True
+        spark, str(tmp_path), format="csv", names=["order_products_prior"]
     )["order_products_prior"]
     assert rows(found) == rows(lines)
     kinds = {f.name: type(f.dataType) for f in found.schema}
@@ -63,9 +63,10 @@ def test_blank_key_is_null(spark, tmp_path):
 
 def test_malformed_fields(spark, tmp_path):
     (tmp_path / "aisles.csv").write_text("aisle_id,aisle\n1,bread\n9999999999,too long\n")
-    lenient = load_tables(spark, str(tmp_path), "csv", ["aisles"])["aisles"]
+    options = {"narrow_ids": True, "mode": "PERMISSIVE"}
+    lenient = load_tables(spark, str(tmp_path), "csv", ["aisles"], **options)["aisles"]
     assert rows(lenient) == [(1, "bread"), (None, "too long")]
-    strict = load_tables(spark, str(tmp_path), "csv", ["aisles"], mode="FAILFAST")["aisles"]
+    strict = load_tables(spark, str(tmp_path), "csv", ["aisles"])["aisles"]
     with pytest.raises(Py4JJavaError, match="FAILFAST"):
         strict.collect()
 
@@ -91,11 +92,42 @@ def test_clustering_keeps_a_key_in_one_file(spark, shop, tmp_path):
     assert files.agg(F.max("n")).first()[0] == 1
 
 
+AWKWARD = [" milk ", "", None, 'a "b", c', "two\nlines", "\\", '"', ",", "\\N", "é"]
+
+
+def test_csv_keeps_awkward_names(spark, tmp_path):
+    products = spark.createDataFrame(
+        [(i, name, 1, None) for i, name in enumerate(AWKWARD)], TABLE_COLUMNS["products"]
+    )
+    write_csv(products, str(tmp_path / CSV_FILES["products"]))
+    found = load_tables(spark, str(tmp_path), "csv", ["products"], multi_line=True)["products"]
+    assert rows(found) == rows(products)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_clustering_keeps_its_number_of_parts(spark, conf, adaptive):
+    conf("spark.sql.adaptive.enabled", adaptive)
+    df = spark.range(0, 3000, 1, 8).select((F.col("id") % 300).alias("k"), "id")
+    placed = cluster_by_key(df, "k", 16).withColumn("part", F.spark_partition_id())
+    assert cluster_by_key(df, "k", 16).rdd.getNumPartitions() == 16
+    parts = placed.groupBy("k").agg(F.count_distinct("part").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] == 1
+    spread = cluster_by_key(df, "k", 16, max_rows=5).withColumn("part", F.spark_partition_id())
+    assert spread.where("k = 7").agg(F.count_distinct("part")).first()[0] > 5
+
+
+def test_partitioned_write_without_adaptive_execution(spark, conf, shop, tmp_path):
+    conf("spark.sql.adaptive.enabled", "false")
+    write_partitioned(shop["products"].repartition(20), str(tmp_path / "p"), "department_id")
+    for folder in (tmp_path / "p").glob("department_id=*"):
+        assert len(list(folder.glob("*.parquet"))) == 1
+
+
 def test_clustering_spreads_a_hot_key(spark, conf):
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
     ids = spark.range(0, 60_000, 1, 8)
     df = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
-    sizes = cluster_by_key(df, "k", 8).groupBy(F.spark_partition_id()).count()
+    sizes = cluster_by_key(df, "k").groupBy(F.spark_partition_id()).count()
     assert sizes.agg(F.max("count")).first()[0] < 15_000
     assert sizes.agg(F.sum("count")).first()[0] == 60_000
 

@@ -60,7 +60,7 @@ def add_order_time(
         key="user_id",
         order_by=["order_number"],
         totals={"_days": F.coalesce(F.col("days_since_prior_order"), F.lit(0.0))},
-        blocks=[F.floor(F.col("order_number") / numbers_per_block), F.col("order_number")],
+        blocks=[F.floor(F.col("order_number") / numbers_per_block)],
         peers=True,
     )
     on = F.date_add(F.lit(base_date).cast("date"), F.col("_days").cast("int"))
@@ -94,20 +94,21 @@ def clean_tables(raw: Tables, hot: DataFrame | None = None) -> Tables:
 def wide_lines(t: Tables, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every prior line with its order, product, aisle and department; each key appears once.
 
-    Row-level by nature, so single lines take part in two joins and no more: one with the
-    orders and one with the products, which are given their aisle and department beforehand.
-    A small product table is broadcast. Otherwise, as for the orders, it is a sort-merge join
-    whose hot partitions adaptive execution splits.
+    Row-level by nature: single lines meet their order, and their product with its aisle and
+    department. Each of the three dimensions is measured by itself and broadcast if small.
+    A large product table gets its aisles and departments first; then, as for the orders, it
+    is a sort-merge join whose hot partitions adaptive execution splits.
     """
-    described = (
-        t["products"]
-        .join(broadcast_if_small(t["aisles"], max_bytes), "aisle_id")
-        .join(broadcast_if_small(t["departments"], max_bytes), "department_id")
-    )
-    if fits_broadcast(t["products"], max_bytes):
-        described = F.broadcast(described)
+    aisles = broadcast_if_small(t["aisles"], max_bytes)
+    departments = broadcast_if_small(t["departments"], max_bytes)
     lines = t["order_products_prior"]
-    wide = lines.join(t["orders"], "order_id").join(described, "product_id")
+    wide = lines.join(t["orders"], "order_id")
+    if fits_broadcast(t["products"], max_bytes):
+        wide = wide.join(F.broadcast(t["products"]), "product_id")
+        wide = wide.join(aisles, "aisle_id").join(departments, "department_id")
+    else:
+        described = t["products"].join(aisles, "aisle_id").join(departments, "department_id")
+        wide = wide.join(described, "product_id")
     keys = ["department_id", "aisle_id", "product_id", "order_id"]
     return wide.select(
         *keys,

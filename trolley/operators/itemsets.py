@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from trolley.sources.writers import write_parquet
 
 
-def baskets(items: DataFrame, min_support: float) -> DataFrame:
-    """One array of distinct items per ``order_id``, without the items that are too rare.
+def baskets(pairs: DataFrame, min_support: float) -> DataFrame:
+    """One array of items per ``order_id``, without the items that are too rare.
 
-    ``items`` has ``order_id`` and ``item``. No frequent set can hold a rare item, so dropping
-    those changes no result. It bounds every basket: the n kept items are each in
+    ``pairs`` has each ``order_id`` and ``item`` once. No frequent set can hold a rare item, so
+    dropping those changes no result. It bounds every basket: the n kept items are each in
     ``min_support`` of the baskets, so n is at most (mean basket size / ``min_support``),
-    however large a single order is. The same bound lets the kept items be broadcast (FP-growth
-    itself gathers them as well). Baskets left empty stay, since support counts them.
+    however large a single order is. Baskets left empty stay, since support counts them.
     """
-    pairs = items.distinct()
+    if not 0 < min_support <= 1:
+        raise ValueError(f"min_support must be above 0 and at most 1, not {min_support}")
     n_baskets = pairs.agg(F.count_distinct("order_id")).scalar()
     frequent = (
         pairs.groupBy("item")
@@ -27,30 +27,41 @@ def baskets(items: DataFrame, min_support: float) -> DataFrame:
         .select("item", F.col("item").alias("_frequent"))
     )
     return (
-        pairs.join(F.broadcast(frequent), "item", "left")
+        pairs.join(frequent, "item", "left")
         .groupBy("order_id")
-        .agg(F.collect_set("_frequent").alias("items"))
+        .agg(F.collect_list("_frequent").alias("items"))
     )
 
 
 def mine(
     items: DataFrame, min_support: float, path: str, min_confidence: float = 0.8
 ) -> FPGrowthModel:
-    """Fit FP-growth on the baskets of ``items``.
+    """Fit FP-growth on the baskets of ``items``, which has ``order_id`` and ``item``.
 
-    It passes over the baskets several times, and again when its results are read, so they are
-    written to ``path``, a folder that all executors share, and read from there.
+    The distinct pairs are written once to ``path``, a folder that all executors share; support
+    and baskets are taken from that copy. The baskets are written beside it, since FP-growth
+    passes over them several times, and again when its results are read.
     """
-    write_parquet(baskets(items, min_support), path)
+    spark = items.sparkSession
+    write_parquet(items.distinct(), f"{path}/pairs")
+    pairs = spark.read.parquet(f"{path}/pairs")
+    write_parquet(baskets(pairs, min_support), f"{path}/baskets")
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    return fp.fit(items.sparkSession.read.parquet(path))
+    return fp.fit(spark.read.parquet(f"{path}/baskets"))
+
+
+def frequent_itemsets(model: FPGrowthModel) -> DataFrame:
+    """The frequent itemsets of all sizes: sorted ``items`` and their basket count."""
+    return model.freqItemsets.select(
+        F.array_sort("items").alias("items"), F.col("freq").alias("baskets")
+    )
 
 
 def frequent_pairs(model: FPGrowthModel) -> DataFrame:
     """The frequent itemsets of two items, as ``item_a`` < ``item_b`` with their basket count."""
-    pair = F.array_sort("items")
-    return model.freqItemsets.where(F.size("items") == 2).select(
-        pair[0].alias("item_a"), pair[1].alias("item_b"), F.col("freq").alias("baskets")
+    pair = F.col("items")
+    return frequent_itemsets(model).where(F.size(pair) == 2).select(
+        pair[0].alias("item_a"), pair[1].alias("item_b"), "baskets"
     )
 
 

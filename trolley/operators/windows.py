@@ -16,20 +16,22 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task sorts without trouble; keys above it are cut into blocks.
 HOT_ROWS = 1_000_000
+# At most so many keys can be hot: those with a larger share of all rows than its inverse.
+MOST_HOT_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, max_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``max_rows`` rows in ``df``.
+    """The keys with more than ``max_rows`` rows in ``df``, and a share that stands out.
 
-    There are at most (rows / ``max_rows``) of them: a hundred thousand for 10^11 rows. That
-    bound is what allows broadcasting the list.
+    A hot key also has more than 1 / ``MOST_HOT_KEYS`` of all rows, so there are fewer of them
+    than that, however large ``df`` and small ``max_rows``. That bound is what allows
+    broadcasting the list.
     """
-    return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
-    )
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    least = counts.agg(F.sum("_rows") / MOST_HOT_KEYS).scalar()
+    return counts.where(
+        (F.col("_rows") > max_rows) & (F.col("_rows") > F.coalesce(least, F.lit(0.0)))
+    ).select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
 
 
 def mark_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
@@ -51,19 +53,23 @@ def running_totals(
     blocks: Sequence[Column],
     peers: bool = False,
     previous: Mapping[str, Column] | None = None,
+    max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running sums of ``totals`` per ``key`` along ``order_by``.
 
     The frame runs from the key's first row to the current row (ROWS). With ``peers`` it also
-    takes in the rows that tie with the current one (RANGE, the SQL default).
+    takes in the rows that tie with the current one (RANGE, the SQL default): tied rows are
+    summed first, the sums run over those, and every row takes what its ties have.
 
     ``marked`` comes from :func:`mark_hot`; the mark is dropped. ``key`` is an integer or a
-    string. ``blocks`` cuts a hot key's rows, from coarse to fine. Sorting by the blocks must
-    agree with ``order_by``, and with ``peers`` tied rows must share all blocks. ``previous``
-    adds columns holding an expression's value in the row before; such an expression must not
-    decrease along ``order_by``.
+    string. ``blocks`` cuts a hot key's rows, from coarse to fine; a finer cut applies only
+    within blocks of more than ``max_rows`` rows. Sorting by the blocks must agree with
+    ``order_by``. ``previous`` adds columns holding an expression's value in the row before;
+    such an expression must not decrease along ``order_by``.
     """
     previous = previous or {}
+    if peers:
+        return _with_ties(marked, key, order_by, totals, blocks, max_rows)
     # Key and blocks as columns that are never NULL in a hot key's rows (a struct of NULL is
     # not NULL): plain equality then finds them, and the join below keeps the window's shuffle.
     some_key = F.lit(0).cast(marked.schema[key].dataType)
@@ -72,11 +78,12 @@ def running_totals(
         "*",
         F.coalesce(F.col(key), some_key).alias("_key"),
         F.col(key).isNull().alias("_no_key"),
-        *[F.when(F.col("_hot"), F.struct(b)).alias(n) for n, b in zip(at[2:], blocks)],
     )
+    for depth, block in enumerate(blocks, 2):
+        cut = _cut(cut, at[:depth], at[depth], block, max_rows)
 
     along = Window.partitionBy(*at).orderBy(*order_by)
-    frame = along if peers else along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = cut.select(
         "*",
         *[F.sum(e).over(frame).alias(name) for name, e in totals.items()],
@@ -101,6 +108,62 @@ def running_totals(
     )
 
 
+def _cut(
+    df: DataFrame, around: list[str], name: str, block: Column, max_rows: int
+) -> DataFrame:
+    """Add the column ``name``: the block of a hot key's rows, or of a block that is too large.
+
+    There are at most (rows / ``max_rows``) such blocks, and only hot keys have any.
+    """
+    if len(around) == 2:
+        return df.withColumn(name, F.when(F.col("_hot"), F.struct(block)))
+    large = (
+        df.where("_hot")
+        .groupBy(*[F.col(c).alias(f"_large_{c}") for c in around])
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > max_rows)
+        .drop("_rows")
+        .withColumn("_large", F.lit(True))
+    )
+    same = [F.col(c) == F.col(f"_large_{c}") for c in around]
+    return (
+        df.join(F.broadcast(large), same, "left")
+        .withColumn(name, F.when(F.col("_large"), F.struct(block)))
+        .drop("_large", *[f"_large_{c}" for c in around])
+    )
+
+
+def _with_ties(
+    marked: DataFrame,
+    key: str,
+    order_by: Sequence[str],
+    totals: Mapping[str, Column],
+    blocks: Sequence[Column],
+    max_rows: int,
+) -> DataFrame:
+    """Running sums where tied rows share theirs.
+
+    However many rows tie, the windows see one row for each key and place in the order. The
+    join back is one of rows with those, which adaptive execution can split.
+    """
+    place = [key, *order_by]
+    ties = marked.groupBy(*place, "_hot").agg(*[F.sum(e).alias(n) for n, e in totals.items()])
+    running = running_totals(
+        ties,
+        key=key,
+        order_by=order_by,
+        totals={f"_run_{n}": F.col(n) for n in totals},
+        blocks=blocks,
+        max_rows=max_rows,
+    ).select(
+        *[F.col(c).alias(f"_tied_{c}") for c in place],
+        *[F.col(f"_run_{n}").alias(n) for n in totals],
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_tied_{c}")) for c in place]
+    columns = [c for c in marked.columns if c != "_hot"]
+    return marked.join(running, same).select(*columns, *totals)
+
+
 def _before_block(
     per_block: DataFrame, at: list[str], sums: list[str], maxima: list[str]
 ) -> DataFrame:
@@ -133,7 +196,10 @@ def _before_block(
 
 
 def _join_before(df: DataFrame, before: DataFrame, at: list[str], how: str) -> DataFrame:
-    return df.join(before, [F.col(c) == F.col(f"_before_{c}") for c in at], how)
+    """Key and outer block are never NULL in a hot key's rows; inner blocks may be."""
+    plain = [F.col(c) == F.col(f"_before_{c}") for c in at[:3]]
+    inner = [F.col(c).eqNullSafe(F.col(f"_before_{c}")) for c in at[3:]]
+    return df.join(before, plain + inner, how)
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -149,7 +215,8 @@ def top_n(
     ``ties`` keeps every row that ties with the n-th (RANK); otherwise exactly n remain
     (ROW_NUMBER), for which ``order`` should be a total order. The filter on the rank makes
     Spark drop the losers in every map task already (WindowGroupLimit), so only about n rows
-    per task and group are shuffled, however large the group.
+    per task and group are shuffled, however large the group. Rows that tie within the first n
+    all belong to the result of RANK, and meet in their group's task.
     """
     place = F.rank() if ties else F.row_number()
     within = Window.partitionBy(by).orderBy(*order)

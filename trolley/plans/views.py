@@ -6,13 +6,16 @@ from pyspark.sql import SparkSession
 
 from trolley.sources.readers import Tables
 
-# The view name under which each table is queried.
+# The view under which each table is queried; prefixed, to leave a caller's views alone.
 VIEW_NAMES = {
-    "order_products_prior": "prior",
-    "orders": "orders",
-    "products": "products",
-    "departments": "departments",
-    "aisles": "aisles",
+    table: f"trolley_{name}"
+    for table, name in {
+        "order_products_prior": "prior",
+        "orders": "orders",
+        "products": "products",
+        "departments": "departments",
+        "aisles": "aisles",
+    }.items()
 }
 
 

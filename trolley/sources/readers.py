@@ -12,14 +12,27 @@ from trolley.sources.schemas import CSV_FILES, table_schema
 Tables = dict[str, DataFrame]
 
 
+# No field of a CSV file is this string. With any null value but the empty string, Spark reads
+# a blank field as NULL and a quoted empty one as an empty string.
+NO_FIELD = "\0"
+
+
 def read_csv_table(
-    spark: SparkSession, path: str, name: str, wide_ids: bool = False, mode: str = "PERMISSIVE"
+    spark: SparkSession,
+    path: str,
+    name: str,
+    narrow_ids: bool = False,
+    mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """One headed CSV file with its explicit schema; nothing is inferred, so nothing is pre-read."""
+    """One headed CSV file with its explicit schema; nothing is inferred, so nothing is pre-read.
+
+    ``multi_line`` allows line breaks in quoted fields; a file is then read by one task.
+    """
     return (
-        spark.read.option("header", True)
-        .option("mode", mode)
-        .schema(table_schema(name, wide_ids))
+        spark.read.options(header=True, mode=mode, multiLine=multi_line, nullValue=NO_FIELD)
+        .options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .schema(table_schema(name, narrow_ids))
         .csv(path)
     )
 
@@ -30,15 +43,17 @@ def load_tables(
     format: str = "parquet",
     names: Iterable[str] = tuple(CSV_FILES),
     optional: Collection[str] = (),
-    wide_ids: bool = False,
-    mode: str = "PERMISSIVE",
+    narrow_ids: bool = False,
+    mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> Tables:
     """The named tables under ``root``, keyed by table name.
 
     The format is the caller's choice and is never switched silently: raw CSV lacks the
     columns that cleaning adds. A table that is not there raises, unless it is ``optional``.
-    For CSV, ``wide_ids`` reads ids and order numbers as bigint and ``mode`` says what becomes of a
-    malformed field: NULL (PERMISSIVE), the row dropped (DROPMALFORMED) or an error (FAILFAST).
+    For CSV, ids and order numbers are bigint unless ``narrow_ids`` asks for int, and ``mode``
+    says what becomes of a malformed field: an error (FAILFAST), NULL (PERMISSIVE) or the row
+    dropped (DROPMALFORMED). ``multi_line`` is for names with line breaks.
     """
     if format not in ("csv", "parquet"):
         raise ValueError(f"format must be 'csv' or 'parquet', not {format!r}")
@@ -47,7 +62,9 @@ def load_tables(
         try:
             if format == "csv":
                 path = f"{root}/{CSV_FILES[name]}"
-                tables[name] = read_csv_table(spark, path, name, wide_ids, mode)
+                tables[name] = read_csv_table(
+                    spark, path, name, narrow_ids, mode, multi_line
+                )
             else:
                 tables[name] = spark.read.parquet(f"{root}/{name}")
         except AnalysisException as error:

@@ -45,6 +45,7 @@ def number_orders(
         totals={"order_number": F.lit(1)},
         previous={"prior_day": day},
         blocks=[day, F.struct("order_ts", F.floor(F.col("order_id") / ids_per_block))],
+        max_rows=hot_rows,
     )
     return sequenced.select(
         "order_id",

@@ -30,14 +30,14 @@ CSV_FILES = {
 GROWING = frozenset({"order_id", "user_id", "product_id", "order_number"})
 
 
-def table_schema(name: str, wide_ids: bool = False) -> StructType:
-    """Schema of one table; ``wide_ids`` reads the growing columns as bigint.
+def table_schema(name: str, narrow_ids: bool = False) -> StructType:
+    """Schema of one table. The growing columns are bigint unless ``narrow_ids`` is set.
 
     Every column is nullable: Spark's file sources return nullable columns whatever the
     declared schema says, so a NOT NULL here would promise something nobody checks.
     """
     declared = StructType.fromDDL(TABLE_COLUMNS[name])
-    if not wide_ids:
+    if narrow_ids:
         return declared
     return StructType(
         [

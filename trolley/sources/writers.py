@@ -6,20 +6,34 @@ All of them overwrite, so a rerun never serves an older copy.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from trolley.operators.windows import HOT_ROWS, hot_keys, mark_hot
 
-def cluster_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+
+def cluster_by_key(
+    df: DataFrame, key: str, partitions: int | None = None, max_rows: int = HOT_ROWS
+) -> DataFrame:
     """Hash-partition ``df`` on ``key`` so that equal keys sit together.
 
-    Uses the REBALANCE hint: the rows are hashed on the key into ``partitions`` parts, then
-    adaptive execution splits a part swollen by a hot key and merges tiny ones. A plain
-    ``repartition(n, key)`` would leave a key with a third of all rows in one task. Without
-    ``partitions`` the session's ``spark.sql.shuffle.partitions`` applies, which should suit
-    the data: parts far above the advisory size are split too, and their keys with them.
+    With ``partitions`` there are exactly so many parts, whether adaptive execution is on or
+    not. A key with more than ``max_rows`` rows is spread over all of them; finding those keys
+    costs an aggregate. Without ``partitions`` the REBALANCE hint lets adaptive execution split
+    what is large and merge what is small; where that is off, the session's
+    ``spark.sql.shuffle.partitions`` is the number.
     """
+    conf = df.sparkSession.conf
     if partitions is None:
-        return df.hint("rebalance", key)
-    return df.hint("rebalance", partitions, key)
+        if conf.get("spark.sql.adaptive.enabled") == "true":
+            return df.hint("rebalance", key)
+        partitions = int(conf.get("spark.sql.shuffle.partitions"))
+    marked = mark_hot(df, key, hot_keys(df, key, max_rows))
+    spread = F.when(F.col("_hot"), F.monotonically_increasing_id() % partitions).otherwise(-1)
+    return (
+        marked.withColumn("_spread", spread)
+        .repartition(partitions, key, "_spread")
+        .select(*df.columns)
+    )
 
 
 def write_parquet(
@@ -47,6 +61,11 @@ def write_partitioned(df: DataFrame, path: str, column: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """Overwrite ``path`` with ``df`` as headed CSV."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Overwrite ``path`` with ``df`` as headed CSV.
+
+    NULL becomes a blank field and an empty string a quoted one; white space is kept and
+    quotes are doubled, so that :func:`trolley.sources.readers.read_csv_table` reads the same.
+    """
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
     return path
