@@ -106,7 +106,7 @@ def counted(
     pair_within = np.full((PAIRED, PAIRED), 1.0)
     pair_within[: len(top), : len(top)] = (
         pairs[: len(top), : len(top)] / (seen[top] + 3.0)[:, top_class]
-        + rest[top][:, top_class] * within[class_of[top]][:, top]
+        + rest[top][:, top_class] * within[np.ix_(top_class, top)]
     )
     logs = [np.log(values).astype(FLOAT) for values in (prior, within, pair_within, rest)]
     return Counted(class_of, by_count(counts, INPUTS - 1).astype(np.int16), paired, *logs)
