@@ -317,10 +317,11 @@ def small_model(rng, ids=300, n=4000):
     after_ids = (before * 7 + rng.integers(0, 5, n)) % ids
     counts = np.bincount(after_ids, minlength=ids).astype(float)
     class_of, place = attention.classes_of(counts), attention.by_count(counts, attention.PAIRED)
-    after, to_class = np.zeros((attention.CLASSES, ids)), np.zeros((ids, attention.CLASSES))
+    shapes = (attention.CLASSES, ids), (ids, attention.CLASSES)
+    after, to_class = (np.zeros(shape, np.float32) for shape in shapes)
     np.add.at(after, (class_of[before], after_ids), 1)
     np.add.at(to_class, (before, class_of[after_ids]), 1)
-    pairs = np.zeros((attention.PAIRED, attention.PAIRED))
+    pairs = np.zeros((attention.PAIRED, attention.PAIRED), np.float32)
     np.add.at(pairs, (place[before], place[after_ids]), 1)
     return attention.counted(counts, class_of, after, to_class, pairs)
 

@@ -91,24 +91,24 @@ def counted(
     classes, ids = after.shape
     size = np.bincount(class_of, minlength=classes)
     total = np.bincount(class_of, counts, classes)
-    alone = (counts + 0.1) / (total + 0.1 * size)[class_of]
+    alone = ((counts + 0.1) / (total + 0.1 * size)[class_of]).astype(FLOAT)
     of_pair = np.stack([np.bincount(class_of, row, classes) for row in after])
-    within = (after + 5.0 * alone) / (of_pair + 5.0)[:, class_of]
+    within = (after + 5.0 * alone) / (of_pair + 5.0).astype(FLOAT)[:, class_of]
     single = (total + 1) / (total.sum() + classes)
     broad = (of_pair + 5.0 * single) / (of_pair.sum(axis=1, keepdims=True) + 5.0)
-    prior = (to_class + 5.0 * broad[class_of]) / (to_class.sum(axis=1, keepdims=True) + 5.0)
+    prior = (to_class + 5.0 * broad.astype(FLOAT)[class_of]) / (to_class.sum(axis=1, keepdims=True) + 5.0)
     paired = by_count(counts, PAIRED)
     top = np.argsort(paired, kind="stable")[:PAIRED]
     top_class = class_of[top]
-    seen = np.zeros((ids, classes))
+    seen = np.zeros((ids, classes), FLOAT)
     seen[top] = np.stack([np.bincount(top_class, row[: len(top)], classes) for row in pairs[: len(top)]])
     rest = 3.0 / (seen + 3.0)
-    pair_within = np.full((PAIRED, PAIRED), 1.0)
+    pair_within = np.ones((PAIRED, PAIRED), FLOAT)
     pair_within[: len(top), : len(top)] = (
         pairs[: len(top), : len(top)] / (seen[top] + 3.0)[:, top_class]
         + rest[top][:, top_class] * within[np.ix_(top_class, top)]
     )
-    logs = [np.log(values).astype(FLOAT) for values in (prior, within, pair_within, rest)]
+    logs = [np.log(values, out=values) for values in (prior, within, pair_within, rest)]
     return Counted(class_of, by_count(counts, INPUTS - 1).astype(np.int16), paired, *logs)
 
 

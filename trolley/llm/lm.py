@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm import attention
-from trolley.llm.attention import CLASSES, PAIRED, WINDOW, Counted
+from trolley.llm.attention import CLASSES, FLOAT, PAIRED, WINDOW, Counted
 from trolley.llm.hashing import LOWER, WordHasher, mixed, text_chunks, word_bounds
 from trolley.llm.stages import buckets_for, staged
 
@@ -274,8 +274,9 @@ def known_counts(pairs: DataFrame, end: int) -> Counted:
     for end_of in ("a", "b"):
         own = {"id": end_of, "class": f"{end_of}_class", "place": f"{end_of}_place"}
         joined = joined.join(F.broadcast(names.withColumnsRenamed(own)), end_of)
-    after, to_class = np.zeros((CLASSES, size)), np.zeros((size, CLASSES))
-    between = np.zeros((PAIRED, PAIRED))
+    after, to_class, between = (
+        np.zeros(shape, FLOAT) for shape in ((CLASSES, size), (size, CLASSES), (PAIRED, PAIRED))
+    )
     both = joined.where((F.col("a_place") < PAIRED) & (F.col("b_place") < PAIRED))
     for table, source, row, column in (
         (after, joined, "a_class", "b"),
