@@ -60,10 +60,10 @@ def near_texts():
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows, n = list(EDGES), 100
     for size in (150, 7):
-        base = [word() for _ in range(120)]
+        base = [word() for _ in range(200)]
         for _ in range(size):
             own = list(base)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 2)):
                 own[rng.randrange(len(own))] = word()
             rows.append((n, " ".join(own)))
             n += 1

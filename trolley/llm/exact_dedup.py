@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions import scratch_path
 from trolley.llm.filters import maybe_in
-from trolley.llm.stages import keep_rows, staged
+from trolley.llm.stages import keep_rows, staged, unused
 
 #: Without preallocation a store takes the disk that its state needs, not 4 MB at least.
 STORE = {
@@ -186,8 +186,9 @@ def _told_apart(
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows that share id and text, one."""
     kept = exact_duplicates(docs).where("kept").withColumnRenamed("digest", "text_key")
-    marked = docs.withColumn("_digest", sha256(_text(docs)))
-    return keep_rows(marked, kept).dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    digest = unused(docs, "_digest")
+    marked = docs.withColumn(digest, sha256(_text(docs)))
+    return keep_rows(marked, kept).dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def _text(docs: DataFrame) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.llm.positions import running_start
-from trolley.llm.stages import staged
+from trolley.llm.stages import staged, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -200,16 +200,16 @@ def words_taken(docs: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFr
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of ``docs``, each as many times as the mix takes its words, rounded."""
-    copies = (
+    mixed_id, copies, copy = (unused(docs, name) for name in ("_id", "_copies", "_copy"))
+    taken = (
         words_taken(docs)
         .where("taken > 0")
-        .groupBy("doc_id")
-        .agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-        .where("_copies > 0")
-        .withColumnRenamed("doc_id", "_id")
+        .groupBy(F.col("doc_id").alias(mixed_id))
+        .agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(copies))
+        .where(F.col(copies) > 0)
     )
     return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.join(taken, docs["doc_id"].eqNullSafe(taken[mixed_id]))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*docs.columns)
     )

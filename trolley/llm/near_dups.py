@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trolley.llm.components import components
 from trolley.llm.filters import maybe_in
 from trolley.llm.hashing import WordHasher, minhashes, mixed, shingles, text_chunks, word_bounds
-from trolley.llm.stages import staged
+from trolley.llm.stages import staged, unused
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -298,12 +298,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their group."""
+    kept_id = unused(docs, "_id")
     kept = (
         near_duplicates(docs)
         .where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-        .select(F.col("doc_id").alias("_id"))
+        .select(F.col("doc_id").alias(kept_id))
         .distinct()
     )
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(
-        *docs.columns
-    )
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept_id]), "left_semi")

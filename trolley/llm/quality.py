@@ -88,7 +88,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     sample = (
         docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"])
-        .select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], "good")
+        .select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], ids["good"])
         .mapInArrow(take, "doc_id long, buckets binary, good boolean")
         .toArrow()
         .sort_by([("doc_id", "ascending")])

@@ -34,15 +34,26 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df``."""
+    taken = {column.lower() for column in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and digest of the text are in ``kept``.
 
     ``kept`` has doc_id and text_key, the SHA-256 of the text, where null counts as empty.
     """
-    wanted = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    kept_id, kept_key = unused(docs, "_id"), unused(docs, "_key")
+    wanted = kept.select(
+        kept["doc_id"].alias(kept_id), kept["text_key"].alias(kept_key)
+    ).distinct()
     return docs.join(
-        wanted.distinct(),
-        docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-        & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_key")),
+        wanted,
+        docs["doc_id"].cast("long").eqNullSafe(wanted[kept_id])
+        & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == wanted[kept_key]),
         "left_semi",
     )
