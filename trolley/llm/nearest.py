@@ -12,8 +12,8 @@ The rotation and the radius come from a sample of ``FIT_ROWS`` vectors at most;
 indexed and searched. Queries go in blocks of bounded size, each of which meets all vectors
 where they are read, so vectors are never shuffled; tasks return the nearest few per query.
 
-Defined results: vectors that are null, zero, of another length than most or that hold a null
-or a non-finite number take no part. A query does not find rows with its own id. Where fewer
+Defined results: vectors that are null, zero, of another length than most, that hold a null
+or a non-finite number or that have no id take no part. A query does not find rows with its own id. Where fewer
 than ``k`` codes of a batch lie within the radius, the radius grows for it, so a query finds
 ``k`` vectors or all. Ties go to the smaller id. Repeated rows each count. A vector that many
 rows share costs what others cost. An empty table gives an empty result. Columns besides
@@ -105,7 +105,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
-    rows = rows.where(good)
+    rows = rows.where(good & F.col("vec_id").isNotNull())
     most = (
         rows.groupBy(F.size("embedding").alias("length"))
         .count()
