@@ -217,9 +217,9 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
     if find_spec("trolley.llm"):
-        from trolley.llm.queries import ORACLES, QUERIES
+        from trolley.llm.queries import FURTHER, ORACLES, QUERIES
 
-        found.update(QUERIES)
+        found.update(QUERIES | FURTHER)
         sql.update(ORACLES)
     if find_spec("corpus_pipeline"):
         import corpus_pipeline

@@ -14,6 +14,7 @@ from trolley.llm import (
     mixing,
     near_dups,
     nearest,
+    passages,
     pieces,
     quality,
     sharding,
@@ -94,8 +95,17 @@ def op9_lm_scoring(spark: SparkSession, root: str, vocabulary: str = BYTE_PIECES
 
 def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """All documents without lines that occurred before."""
+    return _with_places(line_dedup.remove_repeats(table(spark, root, "documents")))
+
+
+def op10_passage_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """All documents without passages of 50 words and lines that occurred before."""
+    return _with_places(passages.remove_passages(table(spark, root, "documents")))
+
+
+def _with_places(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
-    return line_dedup.remove_repeats(table(spark, root, "documents")).select(
+    return found.select(
         "doc_id",
         "text",
         F.size("removed").cast("long").alias("n_removed"),
@@ -116,6 +126,9 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+#: Operators whose number has a query with SQL above.
+FURTHER: dict[str, Query] = {"op10_passage_dedup": op10_passage_dedup}
+
 ORACLES: dict[str, str] = {
     "op2_url_filters": judge_urls_sql(),
     "op4_near_duplicates": NEAR_DUPLICATES_SQL,
