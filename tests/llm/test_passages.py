@@ -96,3 +96,10 @@ def test_passage_within_a_line_in_the_registered_query(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     found = driver.queries()["op10_passage_dedup"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in found} == {0: rows[0][1], 1: "second  second 1"}
+
+
+def test_short_lines_in_the_registered_query(spark, tmp_path):
+    rows = [(1, "menu\nthe first text\n\nread more"), (2, "Menu\n\nthe second text\nread  more")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = driver.queries()["op10_passage_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in found} == {1: rows[0][1], 2: "\nthe second text\n"}

@@ -184,8 +184,11 @@ def _merged(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
 
 def remove_passages(docs: DataFrame, passage: int = PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without what is repeated, and ``removed``, its places in the original."""
-    line = repeated_units(staged(units(docs, min_words=min_words), "units")).select(
-        "doc_id", F.xxhash64("text_key").alias("key"), F.lit(True).alias("line"), "start", "end"
+    placed = units(docs, min_words=min_words).select(
+        "doc_id", F.xxhash64("text_key").alias("text_key"), "high", "low", "start", "end"
+    )
+    line = repeated_units(staged(placed, "units")).select(
+        "doc_id", F.col("text_key").alias("key"), F.lit(True).alias("line"), "start", "end"
     )
     window = repeated_passages(docs, passage).select(
         "doc_id", "key", F.lit(False).alias("line"), "start", "end"

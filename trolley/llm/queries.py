@@ -99,8 +99,8 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_passage_dedup(spark: SparkSession, root: str) -> DataFrame:
-    """All documents without passages of 50 words and lines that occurred before."""
-    return _with_places(passages.remove_passages(table(spark, root, "documents")))
+    """All documents without passages of 50 words and lines of any length that occurred before."""
+    return _with_places(passages.remove_passages(table(spark, root, "documents"), min_words=1))
 
 
 def _with_places(found: DataFrame) -> DataFrame:
