@@ -1,7 +1,7 @@
 """Judge URLs by rules, and by a tree of path templates where no rule fits.
 
-The tree is built level by level for each host. A segment that too few pages of its parent
-share becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
+The tree is built level by level for each host. A segment that too few pages share
+becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
 ``/user/*/posts``. Then, from the top, a literal branch whose share of bad labelled pages does
 not differ from its parent's by more than ``similar`` standard errors is merged into the
 wildcard branch beside it. A template is blocked if its smoothed share of bad pages, shrunk
@@ -24,6 +24,8 @@ from trolley.llm.stages import staged
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEVELS = 3
 MIN_PAGES = 20
+#: Read by the SQL only, which also wants this share of the parent's pages: they agree where no
+#: parent has more than 2,000 pages.
 MIN_SHARE = 0.01
 SIMILAR = 2.58
 WEIGHT = 10.0
@@ -59,7 +61,6 @@ def judge_urls(
     labels: DataFrame,
     rules: dict[str, str],
     min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
     similar: float = SIMILAR,
     weight: float = WEIGHT,
     block_from: float = BLOCK_FROM,
@@ -67,8 +68,8 @@ def judge_urls(
     """One row for each page: page_id, host, path, rule, verdict, template and badness.
 
     ``labels`` has ``page_id`` and a boolean ``bad``. A branch stays literal if at least
-    ``min_pages`` pages and the share ``min_share`` of its parent's have it. ``weight`` is how
-    many labelled pages the opinion of the next level up is worth.
+    ``min_pages`` pages have it, however many its parent has. ``weight`` is how many labelled
+    pages the opinion of the next level up is worth.
     """
     known = labels.groupBy("page_id").agg(F.max("bad").alias("bad"))
     host, path = url_parts(pages["url"])
@@ -80,7 +81,7 @@ def judge_urls(
         "rows",
     )
     for k in range(1, LEVELS + 1):
-        rows = staged(_generalised(rows, k, min_pages, min_share), f"generalised{k}")
+        rows = staged(_generalised(rows, k, min_pages), f"generalised{k}")
     node = ["host", *(f"t{k}" for k in range(1, LEVELS + 1))]
     tree = staged(
         rows.groupBy(*node)
@@ -128,13 +129,11 @@ def _segment(k: int) -> Column:
     return F.coalesce(F.get(segments, F.lit(k - 1)), F.lit(""))
 
 
-def _generalised(rows: DataFrame, k: int, min_pages: int, min_share: float) -> DataFrame:
+def _generalised(rows: DataFrame, k: int, min_pages: int) -> DataFrame:
     parent = ["host", *(f"t{i}" for i in range(1, k))]
     sizes = rows.where(f"t{k} <> ''").groupBy(*parent, f"t{k}").agg(F.count("*").alias("n"))
     literal = (
         sizes.where(F.col("n") >= min_pages)
-        .join(sizes.groupBy(*parent).agg(F.sum("n").alias("of")), parent)
-        .where(F.col("n") >= min_share * F.col("of"))
         .select(*parent, f"t{k}", F.lit(True).alias("literal"))
     )
     name = F.when(F.col("literal") | (F.col(f"t{k}") == ""), F.col(f"t{k}")).otherwise("*")
