@@ -24,3 +24,16 @@ def test_a_section_is_judged_at_every_host_size(spark):
     large = [(f"http://big.com/p{i}/x", False) for i in range(6000)]
     for others in (small, large):
         assert verdicts(spark, section + others)[0] == {True: {"block"}, False: {"allow"}}
+
+
+def test_a_section_below_the_third_segment(spark):
+    urls = [
+        (f"http://deep.com/en/2024/{i % 3}/a/{kind}/{i}", kind == "casino")
+        for kind in ("casino", "news")
+        for i in range(90)
+    ]
+    urls += [("http://deep.com/" + "/".join(f"s{i}" for i in range(200)), None)]
+    seen, templates = verdicts(spark, urls)
+    assert (seen[True], seen[False]) == ({"block"}, {"allow"})
+    assert any(t.endswith("/casino/*") for t in templates)
+    assert all(t.count("/") <= 6 for t in templates)

@@ -1,14 +1,15 @@
 """Judge URLs by rules, and by a tree of path templates where no rule fits.
 
-The tree is built level by level for each host. A segment that too few pages share
-becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
+The tree is built level by level for each host, as deep as some node has ``min_pages`` pages
+with a further segment. A segment that too few pages share becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
 ``/user/*/posts``. Then, from the top, a literal branch whose share of bad labelled pages does
 not differ from its parent's by more than ``similar`` standard errors is merged into the
 wildcard branch beside it. A template is blocked if its smoothed share of bad pages, shrunk
 towards its host and the host towards all pages, reaches ``block_from``.
 
 Defined results: a url that is null or lacks ``://`` has an empty host and path; such rows form
-one host of their own. Empty segments do not count; segments beyond ``LEVELS`` are one tail.
+one host of their own. Empty segments do not count. Segments below the deepest level, where no node has enough pages
+to tell any of them apart, do not count either.
 Pages without a label count for support only, and without any label every template is allowed.
 A page with several labels is bad if one of them is. Repeated rows each get their verdict; an
 empty table gives an empty result. Other columns take no part.
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from trolley.llm.stages import staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A template has so many levels at least, empty below the end of the path.
 LEVELS = 3
 MIN_PAGES = 20
-#: Read by the SQL only, which also wants this share of the parent's pages: they agree where no
-#: parent has more than 2,000 pages.
+#: Read by the SQL only, which also wants this share of the parent's pages and stops at ``LEVELS``:
+#: they agree where no parent has more than 2,000 pages and no supported node is deeper.
 MIN_SHARE = 0.01
 SIMILAR = 2.58
 WEIGHT = 10.0
@@ -75,25 +77,27 @@ def judge_urls(
     host, path = url_parts(pages["url"])
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = staged(
-        parsed.join(known, "page_id", "left").withColumns(
-            {f"t{k}": _segment(k) for k in range(1, LEVELS + 1)}
+        parsed.join(known, "page_id", "left").withColumn(
+            "segments", F.filter(F.split("path", "/"), lambda s: s != "")
         ),
         "rows",
     )
-    for k in range(1, LEVELS + 1):
-        rows = staged(_generalised(rows, k, min_pages), f"generalised{k}")
-    node = ["host", *(f"t{k}" for k in range(1, LEVELS + 1))]
+    depth = 0
+    while depth < LEVELS or _goes_on(rows, depth, min_pages):
+        depth += 1
+        rows = staged(_generalised(rows, depth, min_pages), f"generalised{depth}")
+    node = ["host", *(f"t{k}" for k in range(1, depth + 1))]
     tree = staged(
         rows.groupBy(*node)
         .agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
-        .withColumns({f"m{k}": F.col(f"t{k}") for k in range(1, LEVELS + 1)}),
+        .withColumns({f"m{k}": F.col(f"t{k}") for k in range(1, depth + 1)}),
         "tree",
     )
     everywhere = tree.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n")).first()
     overall = everywhere["bad"] / everywhere["n"] if everywhere["n"] else 0.0
-    for k in range(1, LEVELS + 1):
+    for k in range(1, depth + 1):
         tree = staged(_merged(tree, k, overall, similar, weight), f"merged{k}")
-    merged = ["host", *(f"m{k}" for k in range(1, LEVELS + 1))]
+    merged = ["host", *(f"m{k}" for k in range(1, depth + 1))]
     of_host = tree.groupBy("host").agg(_smoothed(overall, weight).alias("host_badness"))
     scored = (
         tree.groupBy(*merged)
@@ -107,7 +111,12 @@ def judge_urls(
     )
     verdicts = tree.select(*node, *merged[1:]).join(scored, merged).select(
         *node,
-        F.concat_ws("/", F.col("host"), *merged[1:]).alias("template"),
+        F.concat_ws(
+            "/",
+            F.col("host"),
+            *merged[1 : LEVELS + 1],
+            *(F.nullif(F.col(m), F.lit("")) for m in merged[LEVELS + 1 :]),
+        ).alias("template"),
         "badness",
     )
     rule, by_rule = longest_rule(F.col("host"), F.col("path"), rules)
@@ -123,21 +132,26 @@ def judge_urls(
     )
 
 
-def _segment(k: int) -> Column:
-    """The k-th segment that is not empty, or an empty string."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    return F.coalesce(F.get(segments, F.lit(k - 1)), F.lit(""))
+def _goes_on(rows: DataFrame, depth: int, min_pages: int) -> bool:
+    """Whether a node of the last level has enough pages with a further segment."""
+    node = ["host", *(f"t{k}" for k in range(1, depth + 1))]
+    further = rows.where(F.size("segments") > depth).groupBy(*node).agg(F.count("*").alias("n"))
+    return not further.where(F.col("n") >= min_pages).isEmpty()
 
 
 def _generalised(rows: DataFrame, k: int, min_pages: int) -> DataFrame:
-    parent = ["host", *(f"t{i}" for i in range(1, k))]
-    sizes = rows.where(f"t{k} <> ''").groupBy(*parent, f"t{k}").agg(F.count("*").alias("n"))
+    """With the k-th segment that is not empty, or a wildcard for it, or an empty string."""
+    rows = rows.withColumn(f"t{k}", F.coalesce(F.get("segments", F.lit(k - 1)), F.lit("")))
+    branch = ["host", *(f"t{i}" for i in range(1, k + 1))]
     literal = (
-        sizes.where(F.col("n") >= min_pages)
-        .select(*parent, f"t{k}", F.lit(True).alias("literal"))
+        rows.where(f"t{k} <> ''")
+        .groupBy(*branch)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= min_pages)
+        .select(*branch, F.lit(True).alias("literal"))
     )
     name = F.when(F.col("literal") | (F.col(f"t{k}") == ""), F.col(f"t{k}")).otherwise("*")
-    return rows.join(literal, [*parent, f"t{k}"], "left").select(
+    return rows.join(literal, branch, "left").select(
         *(name.alias(c) if c == f"t{k}" else F.col(c) for c in rows.columns)
     )
 
