@@ -2,8 +2,8 @@
 
 One pass over the training documents counts words, counts pairs of subword ids and draws a
 fixed share of all windows. The counts give the model its prior (see ``attention``). Each
-trainer makes a pass over its part of the drawn windows, starting from common weights; the mean
-of the trainers' weights is where the next round starts. Both the counts and the drawn windows
+trainer makes a pass over its part of all windows, starting from common weights; the mean
+of the trainers' weights is where the next round starts. Both the counts and the windows
 grow with the corpus. Another pass scores all documents: windows overlap, every id is scored
 once, and a batch of windows is one masked attention.
 
@@ -40,8 +40,7 @@ from trolley.llm.hashing import LOWER, WordHasher, mixed, text_chunks, word_boun
 from trolley.llm.stages import buckets_for, staged
 
 FREQUENT = 5e-7
-#: One window in so many is trained on, and so many windows make a trainer's part.
-DRAWN = 24
+#: Every window is trained on; so many make a trainer's part.
 PART = 1 << 15
 RATES = (1e-2, 3e-3)
 #: The weight of whole words: a frequent word is drawn by its count this often, else spelt by the
@@ -174,7 +173,7 @@ WORD, PAIR, SAMPLE = 0, 1, 2
 
 
 def gathered(docs: DataFrame, ranks) -> DataFrame:
-    """Counts of words and of pairs of ids, and drawn windows, told apart by ``kind``.
+    """Counts of words and of pairs of ids, and all windows, told apart by ``kind``.
 
     ``key`` and ``n`` are what is counted and how often, or the hash and the ids of a window.
     ``ranks`` is the broadcast vocabulary.
@@ -208,7 +207,7 @@ def gathered(docs: DataFrame, ranks) -> DataFrame:
                 before = _before(ids, sizes, subwords.end)
                 key = before.astype(np.uint64) * np.uint64(subwords.end + 1)
                 pairs.add(*np.unique(key + ids.astype(np.uint64), return_counts=True))
-                yield _drawn(names[first:last], ids, before, sizes, fields)
+                yield _trained_on(names[first:last], ids, before, sizes, fields)
                 for kind, tally in ((WORD, words), (PAIR, pairs)):
                     if tally.full():
                         yield counts(kind, tally)
@@ -227,25 +226,23 @@ def _before(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def _drawn(
+def _trained_on(
     names: np.ndarray, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray, fields: list[str]
 ) -> pa.RecordBatch:
-    """The windows whose hash, of the document's id and the place in it, is drawn."""
+    """All windows, with a hash of the document's id and the place in it, which deals them out."""
     start, size, _ = attention.windows(sizes)
     text = np.searchsorted(np.cumsum(sizes), start, side="right")
     place = start - (np.cumsum(sizes) - sizes)[text]
     key = mixed(mixed(names[text].astype(np.uint64)) + place.astype(np.uint64))
-    some = np.flatnonzero(key % np.uint64(DRAWN) == 0)
-    start, size, key = start[some], size[some], key[some]
     spot = np.arange(WINDOW)
-    held = np.full((len(some), WINDOW + 1), -1, np.int32)
+    held = np.full((len(start), WINDOW + 1), -1, np.int32)
     held[:, 0] = before[start]
     held[:, 1:] = np.where(
         spot < size[:, None], ids[np.minimum(start[:, None] + spot, len(ids) - 1)], -1
     )
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(len(some), SAMPLE, np.int32)),
+            pa.array(np.full(len(start), SAMPLE, np.int32)),
             pa.array((key >> np.uint64(1)).astype(np.int64)),
             pa.array(size.astype(np.int64)),
             pa.array([row.tobytes() for row in held], pa.binary()),
@@ -357,7 +354,7 @@ def score(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         stats.where(F.col("kind") == PAIR).groupBy("key").agg(F.sum("n").alias("n")), "pairs"
     )
     known = context.broadcast(known_counts(pairs, max(ranks.values()) + 1))
-    samples = staged(stats.where(F.col("kind") == SAMPLE).select("key", "ids"), "samples")
+    samples = stats.where(F.col("kind") == SAMPLE).select("key", "ids")
     weights = context.broadcast(attention.unflat(trained(samples, known)))
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, different = totals["n"] or 0, totals["v"]
