@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.llm import (
+    alignment,
     exact_dedup,
     line_dedup,
     lm,
@@ -29,6 +30,8 @@ from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: A byte-level vocabulary; read by the driver.
 BYTE_PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The same vocabulary with its merges; read by the driver.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +106,14 @@ def op10_passage_dedup(spark: SparkSession, root: str) -> DataFrame:
     return _with_places(passages.remove_passages(table(spark, root, "documents"), min_words=1))
 
 
+def op11_token_alignment(
+    spark: SparkSession, root: str, a: str = BYTE_BPE, b: str = PIECES
+) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies in all documents."""
+    tokenizers = alignment.read_tokenizers(a, b)
+    return alignment.aligned_documents(alignment.align(table(spark, root, "documents"), tokenizers))
+
+
 def _with_places(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(
@@ -124,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 #: Operators whose number has a query with SQL above.
