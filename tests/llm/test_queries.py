@@ -47,7 +47,7 @@ def test_query_matches_duckdb(spark, name):
 def test_all_are_registered():
     names = driver.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 12))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_targets_of_mixing_and_shards_at_small_scale(spark):

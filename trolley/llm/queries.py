@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from trolley.llm import (
     alignment,
+    clusters,
     exact_dedup,
+    languages,
     line_dedup,
     lm,
     mixing,
@@ -21,6 +23,7 @@ from trolley.llm import (
     sharding,
     url_filters,
 )
+from trolley.llm.clusters_sql import cluster_sql
 from trolley.llm.line_dedup_sql import REMOVE_REPEATS_SQL
 from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
 from trolley.llm.stages import table
@@ -114,6 +117,19 @@ def op11_token_alignment(
     return alignment.aligned_documents(alignment.align(table(spark, root, "documents"), tokenizers))
 
 
+def op12_centroids(spark: SparkSession, root: str) -> DataFrame:
+    """All vectors in eight clusters after ten rounds."""
+    return clusters.with_inertia(clusters.cluster(table(spark, root, "embeddings")))
+
+
+def op13_language(spark: SparkSession, root: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, root, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = languages.predict(docs, languages.fit(docs.where(~held_out)))
+    return found.withColumn("held_out", held_out)
+
+
 def _with_places(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(
@@ -136,6 +152,8 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_centroids": op12_centroids,
+    "op13_language": op13_language,
 }
 
 #: Operators whose number has a query with SQL above.
@@ -151,4 +169,5 @@ ORACLES: dict[str, str] = {
                doc_id = MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS kept
         FROM documents""",
     "op10_line_dedup": REMOVE_REPEATS_SQL,
+    "op12_centroids": cluster_sql(),
 }
