@@ -18,7 +18,8 @@ from trolley.operators import cleaning, itemsets
 from trolley.operators.lines import basket_sizes
 from trolley.operators.windows import HOT_ROWS, hot_keys, mark_hot, running_totals
 from trolley.plans import reports, sqltext
-from trolley.sources import load_tables, sample_tables, write_csv, write_parquet
+from trolley.plans.views import own_name
+from trolley.sources import load_tables, sample_tables, write_bucketed, write_csv, write_parquet
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,9 @@ MIN_CONFIDENCE = 0.148
 # Small enough that the test tables take the way of hot users and of too large blocks.
 CUT = {"numbers_per_block": 5, "ids_per_block": 1000, "max_rows": 3}
 CUT_USERS = 12
+# Every so many orders one has a malformed number in the file.
+BAD_EVERY = 50
+BUCKETS = 8
 # Added to ids, which then exceed 32 bits.
 FAR = 5_000_000_000
 
@@ -94,9 +98,9 @@ def _from_cache(
 
 
 def _sql_from_cache(spark: SparkSession, root: str) -> DataFrame:
-    counts = sqltext.cached_user_line_counts(spark, sample_tables(spark, root))
-    path = write_parquet(counts, scratch_path(spark, "sql-counts"))
-    sqltext.release_cached_view(spark)
+    with sqltext.cached_order_sizes(spark, sample_tables(spark, root)) as view:
+        counts = sqltext.user_line_counts(spark, view)
+        path = write_parquet(counts, scratch_path(spark, "sql-counts"))
     return spark.read.parquet(path)
 
 
@@ -156,6 +160,43 @@ def _csv_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _csv_with_bad_lines(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Orders through CSV, where some numbers have a letter before them."""
+    number = F.col("order_number").cast("string")
+    bad = F.when(F.col("order_id") % BAD_EVERY == 7, F.concat(F.lit("x"), number)).otherwise(number)
+    folder = scratch_path(spark, "csv")
+    orders = _raw_orders(spark, root).withColumn("order_number", bad)
+    write_csv(orders, f"{folder}/{CSV_FILES['orders']}")
+    return load_tables(spark, folder, "csv", ["orders"], quarantine=scratch_path(spark, "parsed"))
+
+
+def _bucketed(report: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    """A report over lines and orders in buckets of their order, which leave the catalog again."""
+
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        t, tables = sample_tables(spark, root, numbered=True), []
+        for name in ("order_products_prior", "orders"):
+            tables.append(own_name(name))
+            path = scratch_path(spark, name)
+            t[name] = write_bucketed(t[name], tables[-1], path, "order_id", BUCKETS)
+        result = report(t)
+        for table in tables:
+            spark.sql(f"DROP TABLE {table}")
+        return result
+
+    return query
+
+
+def _published(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the second of two published sets."""
+    raw = {**sample_tables(spark, root), "orders": _raw_orders(spark, root)}
+    shared, hot = scratch_path(spark, "shop"), _hot_users(spark, root)
+    fewer = raw["order_products_prior"].where("order_id % 2 = 0")
+    cleaning.preprocess({**raw, "order_products_prior": fewer}, shared, hot=hot, publish=True)
+    cleaning.preprocess(raw, shared, hot=hot, publish=True)
+    return load_tables(spark, shared, names=["order_products_prior"])["order_products_prior"]
+
+
 def _parquet_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     path = scratch_path(spark, "prior")
     write_parquet(_lines(spark, root), path, cluster_key="order_id", partitions=16)
@@ -216,11 +257,14 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the subpackage and the pipeline that may be absent."""
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    if find_spec("trolley.llm"):
-        from trolley.llm.queries import FURTHER, ORACLES, QUERIES
-
-        found.update(QUERIES | FURTHER)
-        sql.update(ORACLES)
+    subpackage = find_spec("trolley.llm")
+    if subpackage is None or subpackage.origin is None:
+        # Not there, or a folder without modules. The pipeline is built from its operators.
+        return found, sql
+    from trolley.llm.queries import FURTHER, ORACLES, QUERIES
+
+    found.update(QUERIES | FURTHER)
+    sql.update(ORACLES)
     if find_spec("corpus_pipeline"):
         import corpus_pipeline
 
@@ -284,6 +328,12 @@ def order_queries() -> dict[str, Query]:
         "src_csv_typed": _csv_typed,
         "src_csv_products": _csv_products,
         "src_csv_lines": _csv_lines,
+        "src_csv_quarantine": lambda spark, root: _csv_with_bad_lines(spark, root)["orders"],
+        "src_csv_rejected": lambda spark, root: _csv_with_bad_lines(spark, root)["orders_rejected"],
+        "q1_bucketed": _bucketed(lambda t: reports.weekend_lunch_baskets(t, MIN_ITEMS)),
+        "q5_bucketed": _bucketed(reports.running_basket),
+        "q8_bucketed": _bucketed(reports.reorder_rate_by_day),
+        "etl_published": _published,
         "sink_parquet_roundtrip": _parquet_roundtrip,
         "window_default_frame": _default_frame,
         "fp_frequent_pairs": _frequent_pairs,
@@ -432,6 +482,9 @@ def oracle_sql() -> dict[str, str]:
         "q3_large": department_hours,
         "sql_q3_large": department_hours,
         "q5_cut_users": running,
+        "q1_bucketed": weekend_lunch,
+        "q5_bucketed": running,
+        "q8_bucketed": per_day,
         "sql_q5_cut_users": running,
         "q7_large": per_aisle,
         "sql_q7_large": per_aisle,
@@ -496,6 +549,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT order_id + {FAR} AS order_id, product_id + {FAR} AS product_id,
                    add_to_cart_order, reordered
             FROM prior""",
+        "src_csv_quarantine": f"""
+            SELECT {RAW_ORDERS} FROM shop_orders WHERE order_id % {BAD_EVERY} <> 7""",
+        "src_csv_rejected": f"""
+            SELECT concat(order_id, ',', user_id, ',', eval_set, ',x', order_number, ',',
+                          order_dow, ',', order_hour_of_day, ',',
+                          COALESCE(CAST(days_since_prior_order AS VARCHAR), '')) AS line
+            FROM shop_orders WHERE order_id % {BAD_EVERY} = 7""",
+        "etl_published": "SELECT DISTINCT * FROM prior",
         "src_csv_typed": f"SELECT {RAW_ORDERS} FROM shop_orders",
         "sink_parquet_roundtrip": "SELECT * FROM prior",
         "window_default_frame": """

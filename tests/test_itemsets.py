@@ -35,8 +35,8 @@ def by_order(bought):
     return list(sets.values())
 
 
-def test_baskets_leave_out_rare_items_only(bought):
-    found = itemsets.baskets(bought.distinct(), 0.05).collect()
+def test_baskets_leave_out_rare_items_only(bought, tmp_path):
+    found = itemsets.baskets(bought.distinct(), 0.05, str(tmp_path / "items")).collect()
     assert len(found) == 200
     assert all(len(r["items"]) == len(set(r["items"])) for r in found)
     hot = next(r for r in found if r.order_id == 0)
@@ -69,7 +69,7 @@ def test_larger_itemsets(bought, tmp_path):
 def test_support_is_checked(bought):
     for support in (0, -1, 1.5):
         with pytest.raises(ValueError):
-            itemsets.baskets(bought, support)
+            itemsets.baskets(bought, support, "unused")
 
 
 def test_rules(bought, tmp_path):

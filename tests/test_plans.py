@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tests.data import make_tables, plan_of
-from trolley.functions import broadcast_if_small, fits_broadcast
+from tests.data import make_tables, plan_of, rows
+from trolley.functions import broadcast_if_small, fits_broadcast, sizing
+from trolley.operators import itemsets
 from trolley.plans import reports, sqltext
 from trolley.sources import load_tables, sample_tables, write_parquet
 
@@ -167,3 +168,40 @@ def test_a_hot_order_is_split_by_the_adaptive_join(conf, spark):
         .agg(F.count("*"), F.avg("reordered"))
     )
     assert found == {tuple(r) for r in plain.collect()}
+
+
+def test_without_a_handle_on_the_plan_nothing_is_hinted(conf, monkeypatch, shop):
+    """As on a client apart from its driver: sizes are not known, joins are shuffled."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    class Apart:
+        @property
+        def _jdf(self):
+            raise AttributeError("_jdf")
+
+    assert sizing.estimated_bytes(Apart()) is None and not sizing.fits_broadcast(Apart())
+    expected = rows(reports.department_hours(shop))
+    assert "BroadcastHashJoin" in plan_of(reports.department_hours(shop))
+    monkeypatch.setattr(sizing, "estimated_bytes", lambda df: None)
+    found = reports.department_hours(shop)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert rows(found) == expected
+
+
+def test_a_hot_item_is_split(conf, spark, tmp_path):
+    """Pairs of an item that most baskets have, with an item list too large to broadcast."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    pairs = spark.range(0, 90_000, 1, 8).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 5_000))
+        .alias("item"),
+    )
+    found = itemsets.baskets(pairs, 1e-6, str(tmp_path / "items"), max_bytes=0)
+    assert found.where(F.array_contains("items", "hot")).count() == 30_000
+    made = itemsets.baskets(pairs, 1e-6, str(tmp_path / "again"), max_bytes=0)
+    made.write.format("noop").mode("overwrite").save()
+    made.collect()
+    assert "SortMergeJoin(skew=true)" in plan_of(made)

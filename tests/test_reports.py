@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tests.data import lines_frame, orders_frame, rows
+from tests.data import lines_frame, orders_frame, plan_of, rows
 from trolley.functions import cached
 from trolley.operators.windows import hot_keys
 from trolley.plans import reports, sqltext
@@ -311,8 +311,12 @@ SQL_TWINS = [
     (sqltext.lines_per_aisle, reports.lines_per_aisle),
     (lambda s, t: sqltext.lines_per_aisle(s, t, max_bytes=0), reports.lines_per_aisle),
     (sqltext.reorder_rate_by_day, reports.reorder_rate_by_day),
-    (sqltext.cached_user_line_counts,
-     lambda t: reports.user_line_counts(reports.orders_with_line_counts(t))),
+    (lambda s, t: sqltext.weekend_lunch_baskets(s, t, 2, days=(3, 6), hours=(0, 20)),
+     lambda t: reports.weekend_lunch_baskets(t, 2, days=(3, 6), hours=(0, 20))),
+    (lambda s, t: sqltext.weekend_lunch_baskets(s, t, 2, days=()),
+     lambda t: reports.weekend_lunch_baskets(t, 2, days=())),
+    (lambda s, t: sqltext.order_profile(s, t, days=(2,)),
+     lambda t: reports.order_profile(t, days=(2,))),
 ]
 
 
@@ -323,9 +327,56 @@ def test_sql_text_equals_dataframe(spark, shop, as_sql, as_frame):
     assert rows(sql) == rows(frame)
 
 
-def test_cached_view_is_cached_and_released(spark, shop):
-    sqltext.cached_user_line_counts(spark, shop).collect()
-    assert spark.catalog.isCached(sqltext.CACHED_VIEW)
-    sqltext.release_cached_view(spark)
-    assert not spark.catalog.tableExists(sqltext.CACHED_VIEW)
-    sqltext.release_cached_view(spark)
+def test_two_cached_views_at_once(spark, shop):
+    """Each caller has a view of its own over its own tables, and leaves nothing behind."""
+    fewer = {**shop, "orders": shop["orders"].where("user_id > 1")}
+    before = {t.name for t in spark.catalog.listTables()}
+    with (
+        sqltext.cached_order_sizes(spark, shop) as one,
+        sqltext.cached_order_sizes(spark, fewer) as two,
+    ):
+        assert spark.catalog.isCached(one) and spark.catalog.isCached(two)
+        for view, tables in ((one, shop), (two, fewer)):
+            expected = reports.user_line_counts(reports.orders_with_line_counts(tables))
+            found = sqltext.user_line_counts(spark, view)
+            assert rows(found) == rows(expected)
+            assert "InMemoryTableScan" in plan_of(found)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_results_over_two_table_sets_at_once(spark, shop):
+    """Lazy results keep their tables when others are asked about, and caches stay cached."""
+    fewer = {**shop, "orders": shop["orders"].where("user_id > 1")}
+    hot = [hot_keys(t["orders"], "user_id", 10) for t in (shop, fewer)]
+    both = [
+        sqltext.running_basket(spark, t, hot=h, numbers_per_block=7, max_rows=3)
+        for t, h in zip((shop, fewer), hot)
+    ]
+    for found, t in zip(both, (shop, fewer)):
+        assert rows(found) == rows(reports.running_basket(t))
+    assert shop["orders"].storageLevel.useMemory
+    assert "InMemoryTableScan" in plan_of(shop["orders"].select("order_id"))
+
+
+def test_days_reach_the_scan(spark, shop, tmp_path):
+    for name, df in shop.items():
+        df.write.parquet(str(tmp_path / name))
+    t = {name: spark.read.parquet(str(tmp_path / name)) for name in shop}
+    plan = plan_of(sqltext.weekend_lunch_baskets(spark, t))
+    assert "In(order_dow, [0,1])" in plan
+
+
+@pytest.mark.parametrize("form", ["frame", "sql"])
+def test_running_totals_need_one_shuffle_of_the_orders(conf, spark, shop, form):
+    """The window's shuffle serves the join with the totals of earlier blocks."""
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    hot = hot_keys(shop["orders"], "user_id", 10)
+    cut = {"hot": hot, "numbers_per_block": 7, "max_rows": 3}
+    found = (
+        reports.running_basket(shop, **cut)
+        if form == "frame"
+        else sqltext.running_basket(spark, shop, **cut)
+    )
+    rows_side = plan_of(found).split("SortMergeJoin")[1].split("Exchange")[0]
+    assert "LeftOuter" in rows_side and "Window [" in rows_side

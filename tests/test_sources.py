@@ -199,3 +199,57 @@ def test_sample_departments_are_ranked_types(spark):
     names = [r.department for r in t["departments"].orderBy("department_id").collect()]
     assert names == sorted(names) and len(names) == 6
     assert t["products"].where("department_id IS NULL OR aisle_id IS NULL").count() == 0
+
+
+def test_equal_rows_go_to_equal_parts_in_any_order(conf, spark):
+    """What a task that runs again writes does not depend on the order of its input."""
+    rows_in = [(1, i, f"row {i}", {"k": i}, [float(i)]) for i in range(400)]
+    schema = "k INT, i INT, s STRING, m MAP<STRING, INT>, a ARRAY<DOUBLE>"
+
+    def parts(data, slices):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(data, slices), schema)
+        dealt = cluster_by_key(df, "k", 5, max_rows=100)
+        return {r.i: r.part for r in dealt.select("i", F.spark_partition_id().alias("part")).collect()}
+
+    one = parts(rows_in, 3)
+    assert one == parts(rows_in[::-1], 7)
+    assert len(set(one.values())) == 5
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "products.csv").write_text(
+        "product_id,product_name,aisle_id,department_id\n"
+        '1,"a, ""b""",2,3\n'
+        "x2,c,2,3\n"
+        "3,d,2\n"
+        "4,,2,\n"
+        '5,"",2,3,9\n'
+        "6,e,2,3\n"
+    )
+    into = str(tmp_path / "parsed")
+    found = load_tables(spark, str(tmp_path), "csv", ["products"], quarantine=into)
+    assert rows(found["products"]) == [
+        (1, 'a, "b"', 2, 3),
+        (4, None, 2, None),
+        (6, "e", 2, 3),
+    ]
+    assert found["products"].schema == table_schema("products")
+    assert found["products_rejected"].count() == 3
+    assert rows(found["products_rejected"]) == [('5,"",2,3,9',), ("3,d,2",), ("x2,c,2,3",)] or {
+        r.line for r in found["products_rejected"].collect()
+    } == {"3,d,2", '5,"",2,3,9', "x2,c,2,3"}
+
+
+def test_quarantine_of_a_good_and_of_an_empty_file(spark, tmp_path):
+    header = "aisle_id,aisle\n"
+    for text, n in ((header + "1,bread\n", 1), (header, 0)):
+        (tmp_path / "aisles.csv").write_text(text)
+        into = scratch_path(spark, "parsed")
+        found = load_tables(spark, str(tmp_path), "csv", ["aisles"], quarantine=into)
+        assert (found["aisles"].count(), found["aisles_rejected"].count()) == (n, 0)
+    with pytest.raises(AnalysisException):
+        load_tables(spark, str(tmp_path), "csv", ["orders"], quarantine=into)
+    found = load_tables(
+        spark, str(tmp_path), "csv", ["orders"], optional=["orders"], quarantine=into
+    )
+    assert found == {}

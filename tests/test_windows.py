@@ -107,6 +107,15 @@ def test_without_hot_keys_only_one_window_runs(events):
     assert "Join" not in plan
 
 
+def test_peers_without_hot_keys_need_one_window_and_shuffle(events):
+    result = running(events, 10**6, True, ["at"])
+    result.collect()
+    plan = plan_of(result)
+    assert plan.count("Window [") == 1
+    assert "SortMergeJoin" not in plan and "HashAggregate" not in plan.split("InMemory")[0]
+    assert plan.count("Exchange hashpartitioning(k#") == 1
+
+
 @pytest.mark.parametrize("ties, kept", [(True, 6), (False, 5)])
 def test_top_n_with_and_without_ties(spark, ties, kept):
     """Seven rows; the sixth ties with the fifth."""

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 10 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for ``df``.
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate for ``df``; None where a session has no way to ask for it.
 
     For a file scan it is the file size scaled to the columns read. Filters and grouping do
-    not lower it and joins multiply it, so it errs on the large side.
+    not lower it and joins multiply it, so it errs on the large side. A client that is apart
+    from its driver (Spark Connect) has no handle on the plan.
     """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    handle = getattr(df, "_jdf", None)
+    if handle is None:
+        return None
+    return int(str(handle.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    return estimated_bytes(df) <= max_bytes
+    """Whether ``df`` is known to be small. What is not known gets no hint and is shuffled."""
+    size = estimated_bytes(df)
+    return size is not None and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

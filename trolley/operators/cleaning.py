@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions.sizing import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
 from trolley.operators.windows import hot_keys, mark_hot, running_totals
+from trolley.sources.publishing import new_set, publish_set
 from trolley.sources.readers import Tables, load_tables
 from trolley.sources.writers import write_parquet
 
@@ -141,15 +142,24 @@ def write_wide(t: Tables, path: str, partitions: int | None = None) -> str:
 
 
 def preprocess(
-    raw: Tables, root: str, partitions: int | None = None, hot: DataFrame | None = None
+    raw: Tables,
+    root: str,
+    partitions: int | None = None,
+    hot: DataFrame | None = None,
+    publish: bool = False,
 ) -> Tables:
     """The whole preparation: clean, write the tables, build the wide table from what was written.
 
     Returns the written tables plus ``wide``. Reading them back means that nothing is cleaned
-    twice and that the wide join starts from small lineage.
+    twice and that the wide join starts from small lineage. The tables under ``root`` are
+    overwritten one by one; with ``publish`` they are written beside the old ones, which readers
+    of ``root`` see until all new tables are there.
     """
     spark = next(iter(raw.values())).sparkSession
-    write_clean(raw, root, partitions, hot)
-    tables = load_tables(spark, root, names=raw)
-    write_wide(tables, f"{root}/wide", partitions)
-    return {**tables, "wide": spark.read.parquet(f"{root}/wide")}
+    folder = new_set(root) if publish else root
+    write_clean(raw, folder, partitions, hot)
+    tables = load_tables(spark, folder, names=raw)
+    write_wide(tables, f"{folder}/wide", partitions)
+    if publish:
+        publish_set(spark, root, folder)
+    return {**tables, "wide": spark.read.parquet(f"{folder}/wide")}

@@ -6,12 +6,19 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.functions.sizing import BROADCAST_BYTES, broadcast_if_small
 from trolley.sources.writers import write_parquet
 
 
-def baskets(pairs: DataFrame, min_support: float) -> DataFrame:
+def baskets(
+    pairs: DataFrame, min_support: float, path: str, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """One array of items per ``order_id``, without the items that are too rare.
 
+    The list of frequent items is written to ``path`` first. A small list is then broadcast, by
+    the size of its files, and with a large one adaptive execution can split the pairs of a hot
+    item, which it could not if the other side were still an aggregate.
+
     ``pairs`` has each ``order_id`` and ``item`` once. No frequent set can hold a rare item, so
     dropping those changes no result. It bounds every basket: the n kept items are each in
     ``min_support`` of the baskets, so n is at most (mean basket size / ``min_support``),
@@ -20,14 +27,16 @@ def baskets(pairs: DataFrame, min_support: float) -> DataFrame:
     if not 0 < min_support <= 1:
         raise ValueError(f"min_support must be above 0 and at most 1, not {min_support}")
     n_baskets = pairs.agg(F.count_distinct("order_id")).scalar()
-    frequent = (
+    write_parquet(
         pairs.groupBy("item")
         .agg(F.count("*").alias("_baskets"))
         .where(F.col("_baskets") >= F.ceil(F.lit(min_support) * n_baskets))
-        .select("item", F.col("item").alias("_frequent"))
+        .select("item", F.col("item").alias("_frequent")),
+        path,
     )
+    frequent = pairs.sparkSession.read.parquet(path)
     return (
-        pairs.join(frequent, "item", "left")
+        pairs.join(broadcast_if_small(frequent, max_bytes), "item", "left")
         .groupBy("order_id")
         .agg(F.collect_list("_frequent").alias("items"))
     )
@@ -45,7 +54,7 @@ def mine(
     spark = items.sparkSession
     write_parquet(items.distinct(), f"{path}/pairs")
     pairs = spark.read.parquet(f"{path}/pairs")
-    write_parquet(baskets(pairs, min_support), f"{path}/baskets")
+    write_parquet(baskets(pairs, min_support, f"{path}/items"), f"{path}/baskets")
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
     return fp.fit(spark.read.parquet(f"{path}/baskets"))
 

@@ -58,8 +58,8 @@ def running_totals(
     """Add running sums of ``totals`` per ``key`` along ``order_by``.
 
     The frame runs from the key's first row to the current row (ROWS). With ``peers`` it also
-    takes in the rows that tie with the current one (RANGE, the SQL default): tied rows are
-    summed first, the sums run over those, and every row takes what its ties have.
+    takes in the rows that tie with the current one (RANGE, the SQL default): a hot key's tied
+    rows are summed first, the sums run over those, and every row takes what its ties have.
 
     ``marked`` comes from :func:`mark_hot`; the mark is dropped. ``key`` is an integer or a
     string. ``blocks`` cuts a hot key's rows, from coarse to fine; a finer cut applies only
@@ -70,8 +70,8 @@ def running_totals(
     previous = previous or {}
     if peers:
         return _with_ties(marked, key, order_by, totals, blocks, max_rows)
-    # Key and blocks as columns that are never NULL in a hot key's rows (a struct of NULL is
-    # not NULL): plain equality then finds them, and the join below keeps the window's shuffle.
+    # Key and blocks as columns that are never NULL (a struct of NULL is not NULL): plain
+    # equality then finds them, and the join below keeps the window's shuffle and sort.
     some_key = F.lit(0).cast(marked.schema[key].dataType)
     at = ["_key", "_no_key", *[f"_block{i}" for i in range(len(blocks))]]
     cut = marked.select(
@@ -116,7 +116,7 @@ def _cut(
     There are at most (rows / ``max_rows``) such blocks, and only hot keys have any.
     """
     if len(around) == 2:
-        return df.withColumn(name, F.when(F.col("_hot"), F.struct(block)))
+        return df.withColumn(name, F.struct(F.when(F.col("_hot"), block).alias("at")))
     large = (
         df.where("_hot")
         .groupBy(*[F.col(c).alias(f"_large_{c}") for c in around])
@@ -128,7 +128,7 @@ def _cut(
     same = [F.col(c) == F.col(f"_large_{c}") for c in around]
     return (
         df.join(F.broadcast(large), same, "left")
-        .withColumn(name, F.when(F.col("_large"), F.struct(block)))
+        .withColumn(name, F.struct(F.when(F.col("_large"), block).alias("at")))
         .drop("_large", *[f"_large_{c}" for c in around])
     )
 
@@ -141,13 +141,20 @@ def _with_ties(
     blocks: Sequence[Column],
     max_rows: int,
 ) -> DataFrame:
-    """Running sums where tied rows share theirs.
+    """Running sums where tied rows share theirs: a plain window, but for hot keys.
 
-    However many rows tie, the windows see one row for each key and place in the order. The
-    join back is one of rows with those, which adaptive execution can split.
+    However many rows of a hot key tie, the windows see one row for each key and place in the
+    order. The join back is one of rows with those, which adaptive execution can split. Without
+    hot keys it drops their branch before it runs.
     """
     place = [key, *order_by]
-    ties = marked.groupBy(*place, "_hot").agg(*[F.sum(e).alias(n) for n, e in totals.items()])
+    columns = [c for c in marked.columns if c != "_hot"]
+    with_peers = Window.partitionBy(key).orderBy(*order_by)
+    others = marked.where(F.col("_hot").isNull()).select(
+        *columns, *[F.sum(e).over(with_peers).alias(n) for n, e in totals.items()]
+    )
+    hot = marked.where("_hot")
+    ties = hot.groupBy(*place, "_hot").agg(*[F.sum(e).alias(n) for n, e in totals.items()])
     running = running_totals(
         ties,
         key=key,
@@ -160,8 +167,7 @@ def _with_ties(
         *[F.col(f"_run_{n}").alias(n) for n in totals],
     )
     same = [F.col(c).eqNullSafe(F.col(f"_tied_{c}")) for c in place]
-    columns = [c for c in marked.columns if c != "_hot"]
-    return marked.join(running, same).select(*columns, *totals)
+    return others.unionByName(hot.join(running, same).select(*columns, *totals))
 
 
 def _before_block(
@@ -196,10 +202,8 @@ def _before_block(
 
 
 def _join_before(df: DataFrame, before: DataFrame, at: list[str], how: str) -> DataFrame:
-    """Key and outer block are never NULL in a hot key's rows; inner blocks may be."""
-    plain = [F.col(c) == F.col(f"_before_{c}") for c in at[:3]]
-    inner = [F.col(c).eqNullSafe(F.col(f"_before_{c}")) for c in at[3:]]
-    return df.join(before, plain + inner, how)
+    """Neither key nor blocks are NULL, so plain equality does."""
+    return df.join(before, [F.col(c) == F.col(f"_before_{c}") for c in at], how)
 
 
 def _add(a: Column, b: Column) -> Column:

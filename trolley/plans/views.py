@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from trolley.sources.readers import Tables
 
 # The view under which each table is queried; prefixed, to leave a caller's views alone.
-VIEW_NAMES = {
-    table: f"trolley_{name}"
-    for table, name in {
-        "order_products_prior": "prior",
-        "orders": "orders",
-        "products": "products",
-        "departments": "departments",
-        "aisles": "aisles",
-    }.items()
+SHORT_NAMES = {
+    "order_products_prior": "prior",
+    "orders": "orders",
+    "products": "products",
+    "departments": "departments",
+    "aisles": "aisles",
 }
+VIEW_NAMES = {table: f"trolley_{name}" for table, name in SHORT_NAMES.items()}
 
 
 def register_views(t: Tables) -> None:
@@ -26,21 +28,50 @@ def register_views(t: Tables) -> None:
             t[table].createOrReplaceTempView(view)
 
 
-def register_file_view(spark: SparkSession, name: str, path: str) -> None:
-    """A view over Parquet files, by DDL."""
-    quoted = path.replace("'", "\\'")
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} USING parquet OPTIONS (path '{quoted}')")
+def own_name(name: str) -> str:
+    """A view name that no other call has."""
+    return f"trolley_{name}_{uuid.uuid4().hex}"
+
+
+@contextmanager
+def own_views(spark: SparkSession, frames: Mapping[str, DataFrame]) -> Iterator[dict[str, str]]:
+    """Views of their own names over ``frames``, for the length of a ``with`` block.
+
+    Gives the name of each. A result of ``spark.sql`` is resolved when it is made, so it may be
+    used after the block, and any number of table sets can be in use at once.
+    """
+    names = {name: own_name(name) for name in frames}
+    try:
+        for name, view in names.items():
+            frames[name].createTempView(view)
+        yield names
+    finally:
+        for view in names.values():
+            spark.sql(f"DROP VIEW IF EXISTS {view}")
+
 
+@contextmanager
+def file_view(spark: SparkSession, path: str) -> Iterator[str]:
+    """The name of a view over Parquet files, made by DDL, for the length of a block."""
+    name, quoted = own_name("files"), path.replace("'", "\\'")
+    spark.sql(f"CREATE TEMP VIEW {name} USING parquet OPTIONS (path '{quoted}')")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP VIEW IF EXISTS {name}")
 
-def cache_query_as_view(spark: SparkSession, name: str, query: str) -> None:
-    """Define view ``name`` over ``query`` and fill its cache; replaces an earlier one."""
-    release_view(spark, name)
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {query}")
-    spark.sql(f"CACHE TABLE {name}")
 
+@contextmanager
+def cached_view(spark: SparkSession, query: DataFrame) -> Iterator[str]:
+    """The name of a view over ``query`` whose rows stay cached for the length of a block.
 
-def release_view(spark: SparkSession, name: str) -> None:
-    """Drop a view together with its cache, if it exists."""
-    if spark.catalog.tableExists(name):
+    Run the actions inside the block: what is used after it is computed without the cache.
+    """
+    name = own_name("cached")
+    query.createTempView(name)
+    try:
+        spark.sql(f"CACHE TABLE {name}")
+        yield name
+    finally:
         spark.sql(f"UNCACHE TABLE IF EXISTS {name}")
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
+        spark.sql(f"DROP VIEW IF EXISTS {name}")

@@ -5,22 +5,47 @@ All of them overwrite, so a rerun never serves an older copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from trolley.operators.windows import HOT_ROWS, hot_keys, mark_hot
 
 
+# A hot key gets so many salts for each part. They are hashed with the key, so with one for each
+# part a third of the parts would get none.
+SALTS_PER_PART = 32
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(field.dataType) for field in kind)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def salt(df: DataFrame, parts: int) -> Column:
+    """A number from what a row holds, to spread the rows of a key over ``parts``.
+
+    A task that runs again, with its input in another order, gives each row the number it had;
+    a number from the row's place in the task would lose some rows and repeat others. Columns
+    that Spark cannot hash (maps, variants) take no part.
+    """
+    columns = [field.name for field in df.schema if _hashable(field.dataType)]
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(parts * SALTS_PER_PART))
+
+
 def cluster_by_key(
     df: DataFrame, key: str, partitions: int | None = None, max_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Hash-partition ``df`` on ``key`` so that equal keys sit together.
 
     With ``partitions`` there are exactly so many parts, whether adaptive execution is on or
-    not. A key with more than ``max_rows`` rows is spread over all of them; finding those keys
-    costs an aggregate. Without ``partitions`` the REBALANCE hint lets adaptive execution split
-    what is large and merge what is small; where that is off, the session's
-    ``spark.sql.shuffle.partitions`` is the number.
+    not. A key with more than ``max_rows`` rows is spread over all of them by :func:`salt`;
+    finding those keys costs an aggregate. Without ``partitions`` the REBALANCE hint lets
+    adaptive execution split what is large and merge what is small; where that is off, the
+    session's ``spark.sql.shuffle.partitions`` is the number.
     """
     conf = df.sparkSession.conf
     if partitions is None:
@@ -28,7 +53,7 @@ def cluster_by_key(
             return df.hint("rebalance", key)
         partitions = int(conf.get("spark.sql.shuffle.partitions"))
     marked = mark_hot(df, key, hot_keys(df, key, max_rows))
-    spread = F.when(F.col("_hot"), F.monotonically_increasing_id() % partitions).otherwise(-1)
+    spread = F.when(F.col("_hot"), salt(df, partitions)).otherwise(-1)
     return (
         marked.withColumn("_spread", spread)
         .repartition(partitions, key, "_spread")
