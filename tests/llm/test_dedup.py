@@ -116,6 +116,18 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
 
 
+def test_near_stage_with_repeated_ids(spark):
+    """An id that stays for one text does not keep the near copy that shares it."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = f"{base} end", "quite another text of some words"
+    rows = [(0, base), (1, other), (1, near), (5, f"{base} x"), (5, f"{base} y"), (None, base)]
+    kept = near_dups.keep_one_of_each_group(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, base), (1, other)]
+    same = [(7, near), (7, base)]
+    kept = near_dups.keep_one_of_each_group(frame(spark, same)).collect()
+    assert len(kept) == 1 and kept[0].text in (near, base)
+
+
 def test_prefixes_are_as_long_as_the_recall_allows():
     length = near_dups.prefix_length()
     reach = lambda n: 1 - (1 - 0.8**n) ** near_dups.TREES

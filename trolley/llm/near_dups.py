@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trolley.llm.components import components
 from trolley.llm.filters import maybe_in
 from trolley.llm.hashing import WordHasher, minhashes, mixed, shingles, text_chunks, word_bounds
-from trolley.llm.stages import staged, unused
+from trolley.llm.stages import keep_rows, staged
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -234,13 +234,8 @@ def _links(held: list[tuple], threshold: float) -> Iterator[pa.RecordBatch]:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``.
-
-    doc_id, class_id and class_size (rows with its text), n_links (other texts that are
-    similar), n_linked_rows (rows with those texts) and group_id (linked directly or through
-    others).
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """As :func:`near_duplicates`, with each row's text_key and whether its text stands for the group."""
     rows = staged(signed(docs), "signed")
     classes = staged(
         rows.groupBy("text_key")
@@ -279,8 +274,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .drop("node"),
         "grouped",
     )
+    # Of texts with the group's smallest id the one with the smallest key stands for it.
+    first = F.min(F.struct(F.col("class_id").isNull(), "class_id", "text_key"))
     smallest = staged(
-        grouped.groupBy("root").agg(F.min("class_id").alias("group_id")), "smallest"
+        grouped.groupBy("root")
+        .agg(first.alias("first"))
+        .select("root", F.col("first.class_id").alias("group_id"), F.col("first.text_key").alias("group_key")),
+        "smallest",
     )
     return (
         rows.select("doc_id", "text_key")
@@ -292,17 +292,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("n_linked_rows", F.lit(0)).alias("n_linked_rows"),
             "group_id",
+            "text_key",
+            (F.col("text_key") == F.col("group_key")).alias("stands"),
         )
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``.
+
+    doc_id, class_id and class_size (rows with its text), n_links (other texts that are
+    similar), n_linked_rows (rows with those texts) and group_id (linked directly or through
+    others).
+    """
+    return _grouped(docs).drop("text_key", "stands")
+
+
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group."""
-    kept_id = unused(docs, "_id")
-    kept = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-        .select(F.col("doc_id").alias(kept_id))
-        .distinct()
+    """Of each group the rows with its smallest doc_id and, of several texts, one of these."""
+    chosen = _grouped(docs).where(
+        F.col("stands") & F.col("doc_id").eqNullSafe(F.col("group_id"))
     )
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept_id]), "left_semi")
+    return keep_rows(docs, chosen.select("doc_id", "text_key"))
