@@ -132,6 +132,67 @@ def test_schedule_spreads_sources(spark):
         assert sorted(r["rank"] for r in plan if r.source == source) == list(range(n))
 
 
+def test_pieces_are_the_blocks_of_the_schedule(spark):
+    """Each slot has the words of one block, of the source that the golden ratio's point names."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice("aaabc")) for i in range(400)]
+    pieces = [r for r in mixing.mix(frame(spark, rows), slots=300).collect() if r.slot is not None]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    needs = {s: round(t) for s, t in targets_by_hand(sizes).items()}
+    words = -(-sum(needs.values()) // 300)
+    blocks = {s: -(-n // words) for s, n in needs.items()}
+    total, upto, slots = sum(blocks.values()), 0, defaultdict(list)
+    for s in sorted(blocks):
+        low, upto = upto, upto + blocks[s]
+        points = (((n + 0.5) * mixing.GOLDEN) % 1.0 * total for n in range(4 * total))
+        slots[s] = [n for n, x in enumerate(points) if low <= x < upto][: blocks[s]]
+    of, found = {}, defaultdict(int)
+    for r in pieces:
+        assert of.setdefault(r.slot, r.source) == r.source
+        found[r.slot] += r.to_word - r.from_word
+        assert 0 <= r.from_word < r.to_word <= r.size
+    for s, n in needs.items():
+        own = sorted(slot for slot, source in of.items() if source == s)
+        assert own == slots[s]
+        assert [found[x] for x in own[:-1]] == [words] * (len(own) - 1)
+        assert found[own[-1]] == n - words * (len(own) - 1)
+
+
+def test_another_sequence_gives_other_slots(spark):
+    rows = [(i, "w " * 9, s) for i, s in enumerate("abc" * 60)]
+    one, two = (
+        {r.doc_id: (r.taken, r.first_slot) for r in mixing.words_taken(frame(spark, rows), golden=g).collect()}
+        for g in (mixing.GOLDEN, 0.0001)
+    )
+    assert [t for t, _ in one.values()] != [] and one != two
+
+
+def test_mixed_documents_follow_the_slots(spark):
+    rows = [(i, f"word{i} " * 20, s) for i, s in enumerate("ab" * 100)]
+    docs = frame(spark, rows).coalesce(1)
+    order = [r.source for r in mixing.mixed_documents(docs).collect()]
+    share = order.count("a") / len(order)
+    for n in (30, 60, 120, len(order)):
+        assert abs(order[:n].count("a") - share * n) <= 3
+
+
+def test_rows_that_share_an_id_have_their_own_places(spark):
+    rows = [(i % 40, f"t{i} " * (1 + i % 7), s) for i, s in enumerate("ab" * 60)] + [(5, "same text", "a")] * 9
+    docs = frame(spark, rows).coalesce(1)
+    found = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs).collect())
+    given = Counter((i, t, s) for i, t, s in rows)
+    assert all(n <= 2 * given[k] for k, n in found.items())
+    words, sizes = Counter(), Counter()
+    for (_, t, s), n in found.items():
+        words[s] += n * len(t.split())
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for s, target in targets_by_hand(sizes).items():
+        assert abs(words[s] - target) <= 14
+
+
 def test_mixed_documents_keep_their_columns(spark):
     rows = [(i, "w " * 20, s) for i, s in enumerate("ab" * 30)]
     docs = frame(spark, rows)

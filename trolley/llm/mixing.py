@@ -2,8 +2,10 @@
 
 Each source's documents, shuffled by a hash, form a stream of words that is cut into blocks of
 equal length. The points of a golden-ratio sequence, mapped through the cumulative weights of
-the sources, say whose block comes next; the n-th slot of a source takes its n-th block. A
-source that must give more words than it has starts over, at most once.
+the sources, say whose block comes next: the n-th point of a source is the slot of its n-th
+block. The sequence goes on until every source has the blocks of its target; points of a source
+that has them are passed over. A source that must give more words than it has starts over, at
+most once.
 
 Defined results: a null text has no words, and a document without words takes part with none.
 A null source is a source. Repeated rows each take their part. An empty table gives an empty
@@ -26,19 +28,18 @@ SLOTS = 1 << 16
 SEED = 8
 GOLDEN = 0.6180339887498949
 CELLS = 1024
+ROUNDS = 4
 
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
+def sized_documents(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, source and size of each row, with a number for the row."""
+    number = F.monotonically_increasing_id() if row is None else row
     return staged(
-        docs.select("doc_id", "source", word_count().alias("size")).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "sized",
+        docs.select("doc_id", "source", word_count().alias("size"), number.alias("row")), "sized"
     )
 
 
@@ -82,12 +83,14 @@ def source_targets(
     )
 
 
-def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
+def schedule(targets: DataFrame, slots: int = SLOTS, golden: float = GOLDEN) -> DataFrame:
     """source, rank, first and end of each block to take, and its slot in the mix.
 
     A block has the targets' sum divided by ``slots`` words, so there are about ``slots`` of
     them however large the corpus. ``first`` and ``end`` count along the source's repeated
-    stream; its last block ends at the target.
+    stream; its last block ends at the target. Gaps between the points are so even that
+    ``ROUNDS`` times as many points as blocks have each source's blocks; should a sequence leave
+    some out, they follow at the end.
     """
     everything = Window.partitionBy()
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -107,8 +110,8 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     total = blocks.agg(F.max("total")).first()[0] or 0
     cell = F.floor(F.col("point") * CELLS / total)
     points = (
-        targets.sparkSession.range(total)
-        .withColumn("point", (((F.col("id") + 0.5) * GOLDEN) % 1.0) * total)
+        targets.sparkSession.range(ROUNDS * total)
+        .withColumn("point", (((F.col("id") + 0.5) * golden) % 1.0) * total)
         .withColumn("cell", cell)
     )
     intervals = blocks.where("blocks > 0").withColumn(
@@ -124,7 +127,7 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     wanted = blocks.where("blocks > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("rank")
     )
-    late = F.lit(total) + F.col("rank") * F.col("sources") + F.col("at")
+    late = F.lit(ROUNDS * total) + F.col("rank") * F.col("sources") + F.col("at")
     return wanted.join(ranked, ["at", "rank"], "left").select(
         "source",
         "rank",
@@ -135,15 +138,22 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, slots: int = SLOTS, seed: int = SEED, **shares: float) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    slots: int = SLOTS,
+    seed: int = SEED,
+    golden: float = GOLDEN,
+    row: Column | None = None,
+    **shares: float,
+) -> DataFrame:
     """The pieces of documents in the mix, and documents without one.
 
     A row has row, doc_id, source, size, source_size, target and, for a piece, its slot, the
     pass over the source and the words ``from_word`` to ``to_word`` of the document.
     """
-    sized = sized_documents(docs)
+    sized = sized_documents(docs, row)
     targets = staged(source_targets(sized, **shares), "targets")
-    plan = staged(schedule(targets, slots), "schedule")
+    plan = staged(schedule(targets, slots, golden), "schedule")
     words = plan.agg(F.max("words")).first()[0] or 1
     limit = targets.withColumnRenamed("source", "_source").drop("weight")
     placed = running_start(sized, "source", "size", "row", seed).join(
@@ -187,29 +197,49 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = SEED, **shares: float)
     )
 
 
-def words_taken(docs: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken."""
+def words_taken(
+    docs: DataFrame, slots: int = SLOTS, seed: int = SEED, golden: float = GOLDEN
+) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken.
+
+    ``first_slot`` is the slot of the first block with words of the document, and ``blocks`` how
+    many there are; null and 0 if the mix takes none.
+    """
     words = F.col("to_word") - F.col("from_word")
     return (
-        mix(docs, slots, seed)
+        mix(docs, slots, seed, golden)
         .groupBy("row", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+        .agg(
+            F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"),
+            F.min("slot").alias("first_slot"),
+            F.count("slot").alias("blocks"),
+        )
         .drop("row")
     )
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs``, each as many times as the mix takes its words, rounded."""
-    mixed_id, copies, copy = (unused(docs, name) for name in ("_id", "_copies", "_copy"))
-    taken = (
-        words_taken(docs)
-        .where("taken > 0")
-        .groupBy(F.col("doc_id").alias(mixed_id))
-        .agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(copies))
-        .where(F.col(copies) > 0)
+def mixed_documents(docs: DataFrame, golden: float = GOLDEN) -> DataFrame:
+    """The documents of ``docs`` in the order of the schedule.
+
+    A document is in the mix once for each pass over its source that takes at least half of its
+    words, at the slot where these begin. Rows are numbered and written first, so that rows that
+    share an id, or are equal, each have their own place.
+    """
+    row, own, slot = (unused(docs, name) for name in ("_row", "_own", "_slot"))
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    words = F.col("to_word") - F.col("from_word")
+    taken = staged(
+        mix(numbered, golden=golden, row=F.col(row))
+        .where("slot is not null")
+        .groupBy(F.col("row").alias(own), "pass", "size")
+        .agg(F.sum(words).alias("taken"), F.min("slot").alias(slot))
+        .where("taken * 2 >= size")
+        .select(own, slot),
+        "taken",
     )
     return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken[mixed_id]))
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+        numbered.join(taken, F.col(row) == F.col(own))
+        .repartitionByRange(slot, row)
+        .sortWithinPartitions(slot, row)
         .select(*docs.columns)
     )
