@@ -172,14 +172,51 @@ def test_recall_and_exact_scores(spark):
     assert hits / (10 * len(by_query)) >= 0.9
 
 
-def test_every_code_within_the_radius_is_retrieved():
+def test_every_code_within_the_radius_is_retrieved(spark, monkeypatch):
+    """Each pair once, also where a bucket has several chunks; few pairs for a small radius."""
+    monkeypatch.setattr(nearest, "CHUNK", 7)
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
-    for radius in (0, 3, 9, 12):
-        found = nearest.retrieved(codes[:20], codes, radius, 1)
-        bits = np.unpackbits(codes, axis=1)
-        apart = (bits[:20, None] != bits[None]).sum(axis=2)
-        assert (found == (apart <= radius)).all()
+    codes = rng.integers(0, 256, (300, 4), dtype=np.uint8)
+    codes[100:160] = codes[100]
+    rows = [(i, c.tobytes()) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "class LONG, code BINARY")
+    bits = np.unpackbits(codes, axis=1)
+    apart = (bits[:20, None] != bits[None]).sum(axis=2)
+    for radius in (0, 3, 9, 32):
+        asked = nearest.probes(df.where("class < 20"), 4, radius)
+        found = nearest.retrieved(nearest.indexed(df, 4), asked, 4, radius).collect()
+        assert len(found) == len(set(found)) == (apart <= radius).sum()
+        assert all(apart[r.query, r["class"]] <= radius for r in found)
+
+
+def test_clustered_vectors_meet_few_candidates(spark):
+    """The index leads to a small share of all pairs where vectors have structure."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(40, 64)) * 3
+    data = middles[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 64))
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])
+    codes = nearest.learn_codes(data, 10)
+    held = spark.sparkContext.broadcast(codes)
+    classes = nearest.coded_classes(nearest.valid_vectors(df), held, 10, "c").cache()
+    asked = nearest.probes(classes.where("ids[0].vec_id % 50 = 0"), codes.bytes, codes.radius)
+    index = nearest.indexed(classes, codes.bytes)
+    pairs = nearest.retrieved(index, asked, codes.bytes, codes.radius).count()
+    assert pairs < 0.1 * 80 * 4000
+    found = nearest.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    hits = 0
+    for query in range(0, 4000, 50):
+        far = np.square(data.astype(np.float32).astype(float) - data[query].astype(np.float32)).sum(axis=1)
+        far[query] = np.inf
+        hits += len({r.vec_id for r in found if r.query_id == query} & set(np.argsort(far)[:10].tolist()))
+    assert hits >= 0.9 * 800
+
+
+def test_an_id_that_fills_its_class(spark):
+    """A query whose own id is repeated still finds the other rows of its vector."""
+    rows = [(1, [1.0, 0.0])] * 30 + [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [0.0, 1.0])]
+    df = vectors(spark, rows)
+    found = nearest.nearest(df, df.where("vec_id = 1"), k=3).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 5), (2, 5), (3, 7)]
 
 
 # ---------------------------------------------------------------- URL filters

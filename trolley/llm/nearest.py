@@ -2,40 +2,44 @@
 
 Vectors are centred, rotated onto principal axes and rotated again so that their signs lose the
 least (iterative quantisation), which gives binary codes. Codes are cut into substrings of
-eight bits, and each substring has an index of its 256 buckets. Two codes within a Hamming
-radius ``r`` agree up to ``r // m`` bits in one of ``m`` substrings, so probing the buckets that
-near a query's substrings retrieves every code within the radius. Those are ranked by their
-exact distances. The radius is learned too: the least one that reaches the wanted recall for
-queries within the sample.
+eight bits, and each substring has an index: a row for each vector under the substring's value.
+Two codes within a Hamming radius ``r`` agree up to ``r // m`` bits in one of ``m`` substrings, so
+joining a query's probes, the values that near its own, to the index retrieves every code within
+the radius. A pair that several substrings retrieve is taken from the first of them. Retrieved
+vectors are ranked by their exact distances. The radius is learned too: the least one that
+reaches the wanted recall for queries within the sample.
 
 The rotation and the radius come from a sample of ``FIT_ROWS`` vectors at most; every vector is
-indexed and searched. Queries go in blocks of bounded size, each of which meets all vectors
-where they are read, so vectors are never shuffled; tasks return the nearest few per query.
+indexed and searched. Equal vectors are one, with the ``k + 1`` smallest of their ids and how often
+each occurs, which is all that a query can return of them. Large buckets are cut into chunks, and every chunk is probed.
+Queries whose vectors within the radius are fewer than ``k`` search again with a larger one, up
+to that of all codes. No query or vector passes through the driver, but for the sample.
 
 Defined results: vectors that are null, zero, of another length than most, that hold a null
-or a non-finite number or that have no id take no part. A query does not find rows with its own id. Where fewer
-than ``k`` codes of a batch lie within the radius, the radius grows for it, so a query finds
-``k`` vectors or all. Ties go to the smaller id. Repeated rows each count. A vector that many
-rows share costs what others cost. An empty table gives an empty result. Columns besides
-``vec_id`` and ``embedding`` take no part.
+or a non-finite number or that have no id take no part. A query does not find rows with its own
+id. A query finds ``k`` rows, or all if there are fewer. Ties go to the smaller id. Repeated rows each
+count, as queries once. An empty table gives an empty result. Columns besides ``vec_id``
+and ``embedding`` take no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trolley.llm.stages import buckets_for
+from trolley.llm.stages import buckets_for, staged
 
 FIT_ROWS = 20_000
-QUERY_BLOCK = 4096
-#: Of the vectors that a query meets at once.
-VECTOR_BLOCK = 8192
+#: Vectors of a chunk of a bucket, and of a part in which distances are computed.
+CHUNK, PART = 4096, 8192
+#: Queries, and pairs, that a task compares at once.
+QUERY_BLOCK, PAIR_BLOCK = 512, 1 << 15
 RECALL = 0.97
 ROUNDS = 40
 BYTES_APART = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -50,6 +54,10 @@ class Codes:
     rotation: np.ndarray
     radius: int
 
+    @property
+    def bytes(self) -> int:
+        return -(-len(self.mean) // 8)
+
     def of(self, vectors: np.ndarray) -> np.ndarray:
         return np.packbits((vectors - self.mean) @ self.rotation > 0, axis=1)
 
@@ -79,33 +87,19 @@ def learn_codes(sample: np.ndarray, k: int, recall: float = RECALL, seed: int =
     return codes
 
 
-def retrieved(queries: np.ndarray, codes: np.ndarray, radius: int, k: int) -> np.ndarray:
-    """For each query's code, which codes the probed buckets hold within the radius."""
-    parts = codes.shape[1]
-    near = APART <= radius // parts
-    probed = np.zeros((len(queries), len(codes)), bool)
-    for part in range(parts):
-        probed |= near[queries[:, part]][:, codes[:, part]]
-    apart = np.zeros(probed.shape, np.uint8 if parts < 32 else np.uint16)
-    for part in range(parts):
-        apart += APART[queries[:, part]][:, codes[:, part]]
-    found = probed & (apart <= radius)
-    short = np.flatnonzero(found.sum(axis=1) < k)
-    if len(short):
-        few = min(k, len(codes)) - 1
-        reach = np.partition(apart[short], few, axis=1)[:, few]
-        found[short] = apart[short] <= reach[:, None]
-    return found
-
-
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding, in double precision, of the vectors that take part."""
+def valid_vectors(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """vec_id and embedding, in double precision, of the vectors that take part.
+
+    Those have ``length`` components, by default as many as most have.
+    """
     numbers = F.col("embedding").cast("array<double>")
     good: Column = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
     rows = rows.where(good & F.col("vec_id").isNotNull())
+    if length is not None:
+        return rows.where(F.size("embedding") == length)
     most = (
         rows.groupBy(F.size("embedding").alias("length"))
         .count()
@@ -115,82 +109,260 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (most["length"] if most else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank from 1, vec_id and score, the distance, of what each query finds.
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1 if len(column) else width or 1)
 
-    ``queries`` has the columns of ``vectors``.
-    """
-    spark = vectors.sparkSession
-    valid, asked = valid_vectors(vectors), valid_vectors(queries)
+
+def _bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Binary values of ``width`` bytes as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def sample_of(valid: DataFrame) -> np.ndarray:
     share = min(1.0, 0.9 * FIT_ROWS / max(1, valid.count()))
     drawn = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) < int(1_000_000 * share)
     sample = _matrix(valid.where(drawn).select("embedding").limit(FIT_ROWS).toArrow()["embedding"])
     if len(sample) < 2:
         sample = _matrix(valid.select("embedding").limit(FIT_ROWS).toArrow()["embedding"])
-    blocks = buckets_for(asked.count(), QUERY_BLOCK)
+    return sample
+
+
+def coded_classes(valid: DataFrame, codes, k: int, name: str) -> DataFrame:
+    """Distinct vectors with their codes and smallest ids, and how often each of these occurs.
+
+    ``codes`` is broadcast. The ids of a vector that very many rows share are cut down in the
+    tasks that count them, before they meet.
+    """
+    same = F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("same")
+    counted = valid.groupBy(same, "vec_id").agg(
+        F.any_value("embedding").alias("embedding"), F.count("*").alias("times")
+    )
+    smallest = Window.partitionBy("same").orderBy("vec_id")
+    few = (
+        counted.withColumn("place", F.row_number().over(smallest))
+        .where(F.col("place") <= k + 1)
+        .groupBy("same")
+        .agg(
+            F.any_value("embedding").alias("embedding"),
+            F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"),
+        )
+    )
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = codes.value.of(_matrix(batch.column(1), len(codes.value.mean)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([row.tobytes() for row in found], pa.binary())],
+                ["same", "embedding", "ids", "code"],
+            )
+
+    fields = ", ".join(f"{n} {kind}" for n, kind in few.dtypes)
+    return staged(
+        few.mapInArrow(code, f"{fields}, code binary").withColumn(
+            "class", F.monotonically_increasing_id()
+        ),
+        name,
+    )
+
+
+def indexed(classes: DataFrame, parts: int) -> DataFrame:
+    """part, value, class and code: a row for each substring of each code."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    value = F.conv(F.hex(F.substring("code", F.col("part") + 1, F.lit(1))), 16, 10).cast("int")
+    return classes.select("class", "code", part).withColumn("value", value)
+
+
+def probes(queries: DataFrame, parts: int, radius: int) -> DataFrame:
+    """part, value, class and code of each value that a query's substrings are near to."""
+    near = APART <= radius // parts
+    each, counts = [np.flatnonzero(row).astype(np.int32) for row in near], near.sum(1)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, QUERY_BLOCK):
+                some = batch.slice(start, QUERY_BLOCK)
+                own = _bytes(some.column(1), parts)
+                for part in range(parts):
+                    row = np.repeat(np.arange(len(own)), counts[own[:, part]])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(row), part, np.int32)),
+                            pa.array(np.concatenate([each[v] for v in own[:, part].tolist()])),
+                            *(some.column(i).take(pa.array(row)) for i in (0, 1)),
+                        ],
+                        ["part", "value", "class", "code"],
+                    )
+
+    return queries.select("class", "code").mapInArrow(
+        probe, "part int, value int, class long, code binary"
+    )
+
+
+def retrieved(index: DataFrame, asked: DataFrame, parts: int, radius: int) -> DataFrame:
+    """``class`` and ``query`` of the codes within ``radius`` of each other, each pair once.
+
+    ``index`` and ``asked`` come from :func:`indexed` and :func:`probes`. Buckets are cut into chunks
+    by their sizes, of which there are at most 256 for each substring.
+    """
+    sizes = index.groupBy("part", "value").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    bucket = ["part", "value"]
+    rows = index.join(F.broadcast(sizes), bucket).withColumn(
+        "chunk", F.pmod(F.xxhash64("class"), "chunks")
+    )
+    probing = asked.join(F.broadcast(sizes), bucket).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    )
+
+    def compare(key: tuple, held: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if held.num_rows and asking.num_rows:
+            part = key[0].as_py()
+            codes, names = _bytes(held["code"], parts), held["class"].to_numpy()
+            own, who = _bytes(asking["code"], parts), asking["class"].to_numpy()
+            for start in range(0, len(own), QUERY_BLOCK):
+                some = own[start : start + QUERY_BLOCK]
+                apart = np.zeros((len(some), len(codes)), np.uint16)
+                first = np.ones(apart.shape, bool)
+                for i in range(parts):
+                    here = APART[some[:, i]][:, codes[:, i]]
+                    apart += here
+                    if i < part:
+                        first &= here > radius // parts
+                q, c = np.nonzero(first & (apart <= radius))
+                found.append((names[c], who[start + q]))
+        pairs = [np.concatenate(side) for side in zip(*found)] or [np.zeros(0, np.int64)] * 2
+        return pa.table({"class": pairs[0], "query": pairs[1]})
+
+    by = [*bucket, "chunk"]
+    return (
+        rows.select(*by, "class", "code")
+        .groupBy(*by)
+        .cogroup(probing.select(*by, "class", "code").groupBy(*by))
+        .applyInArrow(compare, "class long, query long")
+    )
+
+
+def reranked(pairs: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, class, least (id) and score of the ``k + 1`` nearest classes of each query.
+
+    Pairs come to where the vectors are, in parts of bounded size, and of each query's vector one
+    copy goes to each part that has a pair of it.
+    """
+    parts = buckets_for(classes.count(), PART)
+    part = F.pmod(F.xxhash64("class"), F.lit(parts)).alias("part")
+    placed = pairs.select(part, "class", "query")
+    sent = placed.select("part", "query").distinct().join(
+        asked.select(F.col("class").alias("query"), F.col("embedding").alias("asked")), "query"
+    )
+    both = placed.withColumn("asked", F.lit(None).cast("array<double>")).unionByName(
+        sent.withColumn("class", F.lit(None).cast("long"))
+    )
+    rows = classes.select(part, "class", "embedding", F.col("ids")[0]["vec_id"].alias("least"))
+
+    def rank(held: pa.Table, given: pa.Table) -> pa.Table:
+        names = ("query", "class", "least", "score")
+        if not given.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
+        is_vector = given["class"].is_null()
+        asking, wanted = given.filter(is_vector), given.drop_columns("asked").filter(given["class"].is_valid())
+        vectors, queries = _matrix(held["embedding"]), _matrix(asking["asked"])
+        row, at = (_places(t[n].to_numpy()) for t, n in ((held, "class"), (asking, "query")))
+        c, q = row(wanted["class"].to_numpy()), at(wanted["query"].to_numpy())
+        away = np.empty(len(c))
+        for start in range(0, len(c), PAIR_BLOCK):
+            some = slice(start, start + PAIR_BLOCK)
+            away[some] = np.sqrt(np.square(vectors[c[some]] - queries[q[some]]).sum(axis=1))
+        least = held["least"].to_numpy()[c]
+        order = np.lexsort((least, away, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        best = order[place <= k]
+        return pa.table(
+            {
+                "query": asking["query"].to_numpy()[q[best]],
+                "class": held["class"].to_numpy()[c[best]],
+                "least": least[best],
+                "score": away[best],
+            }
+        )
+
+    few = Window.partitionBy("query").orderBy("score", "least")
+    return (
+        rows.groupBy("part")
+        .cogroup(both.groupBy("part"))
+        .applyInArrow(rank, "query long, class long, least long, score double")
+        .withColumn("place", F.row_number().over(few))
+        .where(F.col("place") <= k + 1)
+        .drop("place")
+    )
+
+
+def _places(names: np.ndarray):
+    """A function from names to where they stand in ``names``."""
+    order = np.argsort(names, kind="stable")
+    return lambda wanted: order[np.searchsorted(names[order], wanted)]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank from 1, vec_id and score, the distance, of what each query finds.
+
+    ``queries`` has the columns of ``vectors``.
+    """
+    spark = vectors.sparkSession
+    valid = valid_vectors(vectors)
+    sample = sample_of(valid)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes = learn_codes(sample, k)
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
-        ids = own["vec_id"].to_numpy()
-        held = spark.sparkContext.broadcast((ids, _matrix(own["embedding"], sample.shape[1])))
-        part = valid.mapInArrow(_search(held, codes, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    held = spark.sparkContext.broadcast(codes)
+    parts, most, radius = codes.bytes, 8 * codes.bytes, codes.radius
+    classes = coded_classes(valid, held, k, "classes")
+    asked = coded_classes(valid_vectors(queries, sample.shape[1]), held, k, "queries")
+    index = staged(indexed(classes, parts), "index")
+    waiting, found = asked, []
+    while not waiting.isEmpty():
+        pairs = staged(retrieved(index, probes(waiting, parts, radius), parts, radius), "pairs")
+        near = staged(_nearest_ids(reranked(pairs, classes, waiting, k), classes, k), "near")
+        if radius >= most:
+            found.append(near)
+            break
+        enough = staged(
+            near.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") > k).select("query"),
+            "enough",
+        )
+        found.append(near.join(enough, "query", "left_semi"))
+        waiting = staged(
+            waiting.join(enough, F.col("class") == F.col("query"), "left_anti"), "waiting"
+        )
+        radius = min(most, radius + 2 * parts)
+    members = valid_vectors(queries, sample.shape[1]).select(
+        F.col("vec_id").alias("query_id"),
+        F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("same"),
+    ).distinct()
+    order = Window.partitionBy("query_id", "same").orderBy("score", "vec_id")
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        reduce(DataFrame.unionByName, found)
+        .join(asked.select(F.col("class").alias("query"), "same"), "query")
+        .join(members, "same")
+        .where(F.col("vec_id") != F.col("query_id"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1 if len(column) else width or 1)
-
-
-def _search(held, codes: Codes, k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        packed = codes.of(vectors)
-        squares = np.square(vectors).sum(axis=1)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, int))] * len(ids)
-        for batch in batches:
-            for start in range(0, batch.num_rows, VECTOR_BLOCK):
-                part = batch.slice(start, VECTOR_BLOCK)
-                names, rows = part.column(0).to_numpy(), _matrix(part.column(1))
-                own = codes.of(rows)
-                lengths = np.square(rows).sum(axis=1)
-                for low in range(0, len(ids), 256):
-                    some = slice(low, min(low + 256, len(ids)))
-                    found = retrieved(packed[some], own, codes.radius, k + 1)
-                    found &= names[None, :] != ids[some, None]
-                    rough = squares[some, None] + lengths[None, :] - 2 * vectors[some] @ rows.T
-                    rough[~found] = np.inf
-                    few = min(k, rough.shape[1]) - 1
-                    reach = np.partition(rough, few, axis=1)[:, few]
-                    for q in range(some.start, some.stop):
-                        line = rough[q - low]
-                        limit = reach[q - low] + 1e-9 * (squares[q] + 1)
-                        at = np.flatnonzero((line <= limit) & np.isfinite(line))
-                        far = np.sqrt(np.square(rows[at] - vectors[q]).sum(axis=1))
-                        far = np.concatenate([best[q][0], far])
-                        who = np.concatenate([best[q][1], names[at]])
-                        first = np.lexsort((who, far))[:k]
-                        best[q] = far[first], who[first]
-        counts = [len(b[0]) for b in best]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, counts)),
-                    pa.array(np.concatenate([b[1] for b in best]).astype(np.int64)),
-                    pa.array(np.concatenate([b[0] for b in best])),
-                ],
-                ["query_id", "vec_id", "score"],
-            )
-
-    return search
+def _nearest_ids(ranked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """query, vec_id, times and score of the ``k + 1`` nearest ids of each query."""
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
+    return (
+        ranked.join(classes.select("class", F.explode("ids").alias("of")), "class")
+        .select("query", "of.vec_id", "of.times", "score")
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= k + 1)
+        .drop("place")
+    )
