@@ -37,3 +37,35 @@ def test_a_section_below_the_third_segment(spark):
     assert (seen[True], seen[False]) == ({"block"}, {"allow"})
     assert any(t.endswith("/casino/*") for t in templates)
     assert all(t.count("/") <= 6 for t in templates)
+
+
+def test_sql_follows_the_same_rule(spark):
+    """Sections of a host with thousands of pages, and nodes below the third segment."""
+    import duckdb
+
+    from trolley.llm.url_filters_sql import judge_urls_sql
+
+    urls = [(f"http://big.com/casino/{i}", True) for i in range(30)]
+    urls += [(f"http://big.com/p{i}/x", False) for i in range(3000)]
+    urls += [
+        (f"http://deep.com/en/2024/{i % 3}/a/{kind}/{i % 2}/end", kind == "casino")
+        for kind in ("casino", "news")
+        for i in range(90)
+    ]
+    pages = [(i, url) for i, (url, _) in enumerate(urls)]
+    labels = [(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(urls)]
+    connection = duckdb.connect()
+    for name, rows, kind in (
+        ("pages", pages, "page_id BIGINT, url VARCHAR"),
+        ("labels", labels, "doc_id BIGINT, quality INT, toxic INT"),
+    ):
+        connection.execute(f"CREATE TABLE {name} ({kind})")
+        connection.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    rules = {"nowhere.example/": "allow"}
+    expected = connection.sql(judge_urls_sql(rules)).fetchall()
+    found = url_filters.judge_urls(
+        spark.createDataFrame(pages, "page_id LONG, url STRING"),
+        spark.createDataFrame([(i, q == 0) for i, q, _ in labels], "page_id LONG, bad BOOLEAN"),
+        rules,
+    )
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))

@@ -2,7 +2,8 @@
 
 The tree is built level by level for each host, as deep as some node has ``min_pages`` pages
 with a further segment. A segment that too few pages share becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
-``/user/*/posts``. Then, from the top, a literal branch whose share of bad labelled pages does
+``/user/*/posts``. What a level or the tree says is written before pages are joined to it, so that
+the join can be split where one host or template has very many pages. Then, from the top, a literal branch whose share of bad labelled pages does
 not differ from its parent's by more than ``similar`` standard errors is merged into the
 wildcard branch beside it. A template is blocked if its smoothed share of bad pages, shrunk
 towards its host and the host towards all pages, reaches ``block_from``.
@@ -26,9 +27,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A template has so many levels at least, empty below the end of the path.
 LEVELS = 3
 MIN_PAGES = 20
-#: Read by the SQL only, which also wants this share of the parent's pages and stops at ``LEVELS``:
-#: they agree where no parent has more than 2,000 pages and no supported node is deeper.
-MIN_SHARE = 0.01
 SIMILAR = 2.58
 WEIGHT = 10.0
 BLOCK_FROM = 0.5
@@ -109,15 +107,21 @@ def judge_urls(
         )
         .drop("bad", "labelled")
     )
-    verdicts = tree.select(*node, *merged[1:]).join(scored, merged).select(
-        *node,
-        F.concat_ws(
-            "/",
-            F.col("host"),
-            *merged[1 : LEVELS + 1],
-            *(F.nullif(F.col(m), F.lit("")) for m in merged[LEVELS + 1 :]),
-        ).alias("template"),
-        "badness",
+    # Written before the join, so that adaptive execution can split the pages of a hot template.
+    verdicts = staged(
+        tree.select(*node, *merged[1:])
+        .join(scored, merged)
+        .select(
+            *node,
+            F.concat_ws(
+                "/",
+                F.col("host"),
+                *merged[1 : LEVELS + 1],
+                *(F.nullif(F.col(m), F.lit("")) for m in merged[LEVELS + 1 :]),
+            ).alias("template"),
+            "badness",
+        ),
+        "verdicts",
     )
     rule, by_rule = longest_rule(F.col("host"), F.col("path"), rules)
     by_tree = F.when(F.col("badness") >= block_from, "block").otherwise("allow")
@@ -143,12 +147,13 @@ def _generalised(rows: DataFrame, k: int, min_pages: int) -> DataFrame:
     """With the k-th segment that is not empty, or a wildcard for it, or an empty string."""
     rows = rows.withColumn(f"t{k}", F.coalesce(F.get("segments", F.lit(k - 1)), F.lit("")))
     branch = ["host", *(f"t{i}" for i in range(1, k + 1))]
-    literal = (
+    literal = staged(
         rows.where(f"t{k} <> ''")
         .groupBy(*branch)
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
-        .select(*branch, F.lit(True).alias("literal"))
+        .select(*branch, F.lit(True).alias("literal")),
+        f"literal{k}",
     )
     name = F.when(F.col("literal") | (F.col(f"t{k}") == ""), F.col(f"t{k}")).otherwise("*")
     return rows.join(literal, branch, "left").select(

@@ -1,4 +1,8 @@
-"""The judgement of URLs in DuckDB SQL, written from the same definitions."""
+"""The judgement of URLs in DuckDB SQL, written from the same definitions.
+
+The text has a fixed number of levels, ``DEPTH``; a level is left empty unless some node of the one
+before has enough pages with a further segment, as in the tree, whose depth has no bound.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,13 @@ from trolley.llm.url_filters import (
     BLOCK_FROM,
     LEVELS,
     MIN_PAGES,
-    MIN_SHARE,
     SIMILAR,
     UPPER,
     WEIGHT,
 )
 
+DEPTH = 12
+
 RULES = {
     "net/": "block",
     "example.net/en/": "allow",
@@ -54,29 +59,29 @@ def judge_urls_sql(rules: dict[str, str] = RULES) -> str:
         t0 AS (
             SELECT split.*, bad, {", ".join(
                 f"COALESCE(list_filter(string_split(path, '/'), lambda s: s <> '')[{k}], '')"
-                f" AS t{k}" for k in range(1, LEVELS + 1))}
+                f" AS t{k}" for k in range(1, DEPTH + 1))}
             FROM split LEFT JOIN known USING (page_id)
         )"""
     ]
-    for k in range(1, LEVELS + 1):
+    for k in range(1, DEPTH + 1):
         parent = ", ".join(["host", *(f"t{i}" for i in range(1, k))])
-        cut.append(f"""t{k} AS (
+        deep = "TRUE" if k <= LEVELS else f"""EXISTS (
+                SELECT 1 FROM t{k - 1} WHERE t{k} <> '' GROUP BY {parent} HAVING COUNT(*) >= {MIN_PAGES})"""
+        cut.append(f"""t{k} AS MATERIALIZED (
             SELECT * REPLACE (CASE
-                WHEN t{k} = '' THEN ''
+                WHEN t{k} = '' OR NOT {deep} THEN ''
                 WHEN COUNT(*) OVER (PARTITION BY {parent}, t{k}) >= {MIN_PAGES}
-                 AND COUNT(*) OVER (PARTITION BY {parent}, t{k}) >= {MIN_SHARE}::DOUBLE
-                     * COUNT(*) FILTER (t{k} <> '') OVER (PARTITION BY {parent})
                 THEN t{k} ELSE '*' END AS t{k})
             FROM t{k - 1}
         )""")
     cut.append(f"""overall AS (
-            SELECT COALESCE(SUM(bad)::DOUBLE / NULLIF(COUNT(bad), 0), 0.0) AS g FROM t{LEVELS}
+            SELECT COALESCE(SUM(bad)::DOUBLE / NULLIF(COUNT(bad), 0), 0.0) AS g FROM t{DEPTH}
         ),
         m0 AS (
-            SELECT *, {", ".join(f"t{k} AS m{k}" for k in range(1, LEVELS + 1))}
-            FROM t{LEVELS}
+            SELECT *, {", ".join(f"t{k} AS m{k}" for k in range(1, DEPTH + 1))}
+            FROM t{DEPTH}
         )""")
-    for k in range(1, LEVELS + 1):
+    for k in range(1, DEPTH + 1):
         parent = ", ".join(["host", *(f"m{i}" for i in range(1, k))])
         own, all_ = f"OVER (PARTITION BY {parent}, m{k})", f"OVER (PARTITION BY {parent})"
         cut.append(f"""c{k} AS (
@@ -85,25 +90,27 @@ def judge_urls_sql(rules: dict[str, str] = RULES) -> str:
                        / (COUNT(bad) {all_} + {WEIGHT}::DOUBLE) AS p
             FROM m{k - 1}, overall
         ),
-        m{k} AS (
+        m{k} AS MATERIALIZED (
             SELECT * EXCLUDE (n, b, p, g) REPLACE (CASE
                 WHEN m{k} = '' THEN ''
                 WHEN n > 0 AND abs(b / n - p) > {SIMILAR}::DOUBLE * sqrt(p * (1 - p) / n)
                 THEN m{k} ELSE '*' END AS m{k})
             FROM c{k}
         )""")
-    node = ", ".join(["host", *(f"m{k}" for k in range(1, LEVELS + 1))])
+    node = ", ".join(["host", *(f"m{k}" for k in range(1, DEPTH + 1))])
     cut.append(f"""hosts AS (
             SELECT *, (COALESCE(SUM(bad) OVER (PARTITION BY host), 0) + {WEIGHT}::DOUBLE * g)
                        / (COUNT(bad) OVER (PARTITION BY host) + {WEIGHT}::DOUBLE) AS h
-            FROM m{LEVELS}, overall
+            FROM m{DEPTH}, overall
         ),
         scored AS (
             SELECT *, (COALESCE(SUM(bad) OVER (PARTITION BY {node}), 0) + {WEIGHT}::DOUBLE * h)
                        / (COUNT(bad) OVER (PARTITION BY {node}) + {WEIGHT}::DOUBLE) AS badness
             FROM hosts
         )""")
-    template = ", ".join(f"m{k}" for k in range(1, LEVELS + 1))
+    template = ", ".join(
+        f"m{k}" if k <= LEVELS else f"NULLIF(m{k}, '')" for k in range(1, DEPTH + 1)
+    )
     return f"""WITH {", ".join(cut)}
         SELECT page_id, host, path, {_rule_cases(rules, False)} AS rule,
                COALESCE({_rule_cases(rules, True)},
