@@ -30,15 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trolley.llm.hashing import text_chunks
+
 MARK = "▁"
 UNKNOWN = " ⁇ "
 #: A character without a piece scores so much less than the worst piece.
 PENALTY = 10.0
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Words of up to so many bytes are segmented together, longer ones apart.
 SHORT = 64
 TEXTS = 512
+#: Texts are encoded in parts of about so many bytes.
+PART = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -306,6 +310,25 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> l
     return texts
 
 
+def _encoded(encoder: Encoder, part: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """doc_id, ids and score of a few rows, and the ids once more with the number of each text."""
+    texts = part.column(1).to_pylist()
+    ids, counts, scores = encoder([text or "" for text in texts])
+    missing = np.array([text is None for text in texts])
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(missing))
+    batch = pa.RecordBatch.from_arrays(
+        [part.column(0), lists, pa.array(scores, mask=missing)], ["doc_id", "ids", "score"]
+    )
+    return batch, ids, counts
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded bytes, but for single texts that are longer."""
+    for first, last, _, _ in text_chunks(batch.column(1), PART):
+        yield batch.slice(first, last - first)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids and score of each row."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -313,25 +336,31 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(start, TEXTS)
-                texts = part.column(1).to_pylist()
-                ids, counts, scores = encoder([text or "" for text in texts])
-                missing = np.array([text is None for text in texts])
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            for part in _parts(batch):
+                yield _encoded(encoder, part)[0]
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, ids array<int>, score double"
+    )
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """As :func:`encode` and :func:`decode`, in one Python worker and with one vocabulary a task."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(held.value)
+        for batch in batches:
+            for part in _parts(batch):
+                encoded, ids, counts = _encoded(encoder, part)
+                missing = encoded.column(1).is_null().to_numpy(zero_copy_only=False)
+                texts = pa.array(decode_ids(held.value, ids, counts), pa.string(), mask=missing)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.ListArray.from_arrays(
-                            pa.array(offsets), pa.array(ids), mask=pa.array(missing)
-                        ),
-                        pa.array(scores, mask=missing),
-                    ],
-                    ["doc_id", "ids", "score"],
+                    [*encoded.columns, texts], ["doc_id", "ids", "score", "text"]
                 )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, score double"
+        run, "doc_id long, ids array<int>, score double, text string"
     )
 
 

@@ -42,8 +42,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_sentencepiece(spark: SparkSession, root: str, model: str = PIECES) -> DataFrame:
     """Ids of all documents, the score of each, and the text that they decode to."""
     vocabulary = pieces.read_vocabulary(model, ranked=True)
-    encoded = pieces.encode(table(spark, root, "documents"), vocabulary)
-    return pieces.decode(encoded, vocabulary).withColumn("n_ids", F.size("ids"))
+    both = pieces.encode_and_decode(table(spark, root, "documents"), vocabulary)
+    return both.withColumn("n_ids", F.size("ids"))
 
 
 def op2_url_filters(spark: SparkSession, root: str) -> DataFrame:
