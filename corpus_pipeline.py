@@ -1,4 +1,11 @@
-"""A corpus from the table ``documents``: judged, deduplicated, mixed and encoded."""
+"""A corpus from the table ``documents``: judged, deduplicated, mixed and encoded.
+
+Defined results: each stage treats nulls, empty and repeated rows as the operator it calls says.
+Of exact copies the row with the largest id stays, of near copies the one with the smallest; a
+null text counts as an empty one, and the mix has no place for documents without words. Columns
+besides ``doc_id``, ``text`` and ``source`` pass through all stages but the last. An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +47,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, score and decoded text of each document."""
     vocabulary = pieces.read_vocabulary(PIECES, ranked=True)
-    return pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return pieces.encode_and_decode(docs, vocabulary)
 
 
 STAGES: list[tuple[str, Stage]] = [
