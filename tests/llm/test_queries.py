@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as driver
 import corpus_pipeline
 from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
-from trolley.llm.queries import ORACLES, QUERIES
+from trolley.llm.queries import FURTHER, ORACLES, QUERIES
 
 ROOT = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def by_name(columns, rows):
 
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_matches_duckdb(spark, name):
-    result = QUERIES[name](spark, ROOT)
+    result = (QUERIES | FURTHER)[name](spark, ROOT)
     expected = duck(ROOT).sql(ORACLES[name])
     assert by_name(result.columns, result.collect()) == by_name(
         expected.columns, expected.fetchall()
@@ -103,3 +103,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 def test_pipeline_runs(spark):
     result = corpus_pipeline.run(spark, SMALL)
     assert result.count() > 50
+
+
+@pytest.mark.parametrize("given", ["edges", "nothing"])
+def test_stages_take_awkward_documents(spark, request, tmp_path, given):
+    """Null and empty texts, null ids and sources, repeated rows, clashing columns; no rows."""
+    docs = request.getfixturevalue(given)
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "sentencepiece":
+            assert docs.columns == columns
+        assert docs.count() <= 2 * n
+    assert docs.columns == ["doc_id", "ids", "score", "text"]
+    if given == "edges":
+        assert {r.doc_id for r in docs.collect()} & {8, 9, 11}

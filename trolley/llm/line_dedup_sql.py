@@ -15,7 +15,7 @@ placed AS (
 ),
 judged AS (
     SELECT *, SUM(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS until,
-           len(words) >= 5 AND ROW_NUMBER() OVER (
+           len(words) >= 1 AND ROW_NUMBER() OVER (
                PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS gone
     FROM placed
 )

@@ -21,11 +21,13 @@ from trolley.llm import (
     pieces,
     quality,
     sharding,
+    shared_passages,
     url_filters,
 )
 from trolley.llm.clusters_sql import cluster_sql
 from trolley.llm.line_dedup_sql import REMOVE_REPEATS_SQL
 from trolley.llm.near_dups_sql import NEAR_DUPLICATES_SQL
+from trolley.llm.shared_passages_sql import REMOVE_SHARED_SQL
 from trolley.llm.stages import table
 from trolley.llm.url_filters_sql import RULES, judge_urls_sql
 
@@ -100,8 +102,13 @@ def op9_lm_scoring(spark: SparkSession, root: str, vocabulary: str = BYTE_PIECES
 
 
 def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
-    """All documents without lines that occurred before."""
-    return _with_places(line_dedup.remove_repeats(table(spark, root, "documents")))
+    """All documents without passages of over 50 words that occurred before."""
+    return _with_places(shared_passages.remove_shared(table(spark, root, "documents")))
+
+
+def op10_repeated_lines(spark: SparkSession, root: str) -> DataFrame:
+    """All documents without lines that occurred before, of any number of words."""
+    return _with_places(line_dedup.remove_repeats(table(spark, root, "documents"), min_words=1))
 
 
 def op10_passage_dedup(spark: SparkSession, root: str) -> DataFrame:
@@ -157,7 +164,10 @@ QUERIES: dict[str, Query] = {
 }
 
 #: Operators whose number has a query with SQL above.
-FURTHER: dict[str, Query] = {"op10_passage_dedup": op10_passage_dedup}
+FURTHER: dict[str, Query] = {
+    "op10_repeated_lines": op10_repeated_lines,
+    "op10_passage_dedup": op10_passage_dedup,
+}
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": judge_urls_sql(),
@@ -168,6 +178,7 @@ ORACLES: dict[str, str] = {
                COUNT(*) OVER (PARTITION BY COALESCE(text, '')) AS group_size,
                doc_id = MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS kept
         FROM documents""",
-    "op10_line_dedup": REMOVE_REPEATS_SQL,
+    "op10_line_dedup": REMOVE_SHARED_SQL,
+    "op10_repeated_lines": REMOVE_REPEATS_SQL,
     "op12_centroids": cluster_sql(),
 }
