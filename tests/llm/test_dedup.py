@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,11 +129,61 @@ def test_near_stage_with_repeated_ids(spark):
     assert len(kept) == 1 and kept[0].text in (near, base)
 
 
-def test_prefixes_are_as_long_as_the_recall_allows():
-    length = near_dups.prefix_length()
-    reach = lambda n: 1 - (1 - 0.8**n) ** near_dups.TREES
-    assert reach(length) >= near_dups.RECALL > reach(length + 1)
-    assert near_dups.prefix_length(recall=1.1) == 1
+def test_longer_prefixes_have_more_trees():
+    for length in near_dups.LENGTHS:
+        trees = max(near_dups.trees_for(length), near_dups.TREES if length == 4 else 0)
+        assert 1 - (1 - 0.8**length) ** trees >= near_dups.RECALL
+    assert near_dups.trees_for(4) <= near_dups.TREES < near_dups.trees_for(8) < near_dups.trees_for(16)
+
+
+def pair_at(rng, similarity, words=400):
+    """Two lists of words whose five-grams have about this similarity."""
+    one = [f"w{rng.randint(0, 10**9)}" for _ in range(words)]
+    two, lost = list(one), 0
+    while lost / (words - 4) < (1 - similarity) / (1 + similarity) - 0.004:
+        two[rng.randint(0, words - 1)] = f"v{rng.randint(0, 10**9)}"
+        grams = [{tuple(t[i : i + 5]) for i in range(words - 4)} for t in (one, two)]
+        lost = words - 4 - len(grams[0] & grams[1])
+    return " ".join(one), " ".join(two)
+
+
+@pytest.mark.parametrize("node", [256, 3, 1])
+def test_pairs_at_the_threshold_are_candidates_at_every_prefix(spark, monkeypatch, node):
+    """Also where nodes are so crowded that texts go on to the longest prefix."""
+    monkeypatch.setattr(near_dups, "candidate_links", partial(near_dups.candidate_links, node=node))
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        one, two = pair_at(rng, 0.82)
+        rows += [(10 * i, one), (10 * i + 1, two), (10 * i + 2, f"{one} more"), (10 * i + 3, f"{one} and")]
+    found = near_dups.near_duplicates(frame(spark, rows)).collect()
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    for r in found:
+        own = shingles[r.doc_id]
+        links = sum(
+            len(own & s) / len(own | s) >= 0.8 for i, s in shingles.items() if i != r.doc_id
+        )
+        assert r.n_links == links and r.group_id == r.doc_id // 10 * 10
+
+
+def test_a_template_makes_no_large_component(spark):
+    """Texts that share 40 of 100 shingles meet by thousands, and none is sent to others' blocks."""
+    rng = random.Random(13)
+    shared = " ".join(f"t{i}" for i in range(62))
+    rows = [
+        (i, f"{shared} {' '.join(f'u{rng.randint(0, 10**9)}' for _ in range(40))}") for i in range(4000)
+    ]
+    rows += [(10_000, f"{rows[7][1]} end"), (10_001, f"{rows[9][1]} end")]
+    docs = frame(spark, rows)
+    classes = (
+        near_dups.signed(docs)
+        .withColumn("class", F.col("doc_id"))
+        .drop("doc_id")
+        .cache()
+    )
+    links = near_dups.candidate_links(docs, classes).distinct().collect()
+    assert len(links) < 10
+    assert {(10_000, 7), (10_001, 9)} <= {(r.a, r.b) for r in links}
 
 
 def test_components_of_chains_stars_and_cycles(spark):

@@ -109,13 +109,20 @@ def shingles(words: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.nda
     return mixed(hashes + left.astype(np.uint64)), firsts
 
 
-def minhashes(hashes: np.ndarray, firsts: np.ndarray, functions: int, seed: int = 4) -> np.ndarray:
-    """One row of ``functions`` minima for each row that has shingles."""
+def minhashes(
+    hashes: np.ndarray,
+    firsts: np.ndarray,
+    functions: int,
+    seed: int = 4,
+    only: np.ndarray | None = None,
+) -> np.ndarray:
+    """One row of ``functions`` minima, or of those numbered ``only``, for each row with shingles."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     masks = rng.integers(0, 1 << 63, functions, dtype=np.uint64)
     starts = firsts[:-1][np.diff(firsts) > 0]
-    out = np.empty((len(starts), functions), np.uint64)
-    for k in range(functions):
-        out[:, k] = np.minimum.reduceat((hashes ^ masks[k]) * factors[k], starts)
+    chosen = range(functions) if only is None else only.tolist()
+    out = np.empty((len(starts), len(chosen)), np.uint64)
+    for place, k in enumerate(chosen):
+        out[:, place] = np.minimum.reduceat((hashes ^ masks[k]) * factors[k], starts)
     return out

@@ -1,12 +1,19 @@
 """Join texts whose word five-grams have a Jaccard similarity of 0.8 or more.
 
-A MinHash LSH forest finds candidates. Each tree has a label of a text, the minima of a few
+A MinHash LSH forest finds candidates. Each tree has a label of a text, the minima of a row of
 hash functions over its shingles; texts whose labels share a prefix meet in that node of the
-tree's trie. Prefixes are shortened from the longest label until a pair at the threshold meets
-in some tree with the target probability. Meeting texts are linked to the smallest of their
-node, which needs no pairs, and connected components of those links are cut into blocks. Each
-pair of blocks is verified on the whole shingle sets by a matrix product; what leaves a pair of
-blocks is a count for each text and a spanning forest of the links, never the pairs themselves.
+tree's trie, which sorting by prefix lays out. A short prefix is enough for almost all texts:
+at the first of ``LENGTHS`` a pair at the threshold meets in one of few trees with the target
+probability. Where a node holds more than ``NODE`` texts, such as a template's, its texts go on to
+the next longer prefix, and to as many more trees as keep that probability. So prefixes are long
+only where texts crowd, and no node's work grows with the corpus.
+
+In a node, texts are compared by the minima they have, loosely enough to lose no pair, and a
+spanning forest of what agrees leaves the node. Connected components of those links are cut into
+blocks; each pair of blocks is verified on the whole shingle sets by a matrix product, and what
+leaves it is a count for each text and a spanning forest of the links, never the pairs
+themselves. Texts that crowd in a node of the longest prefix are nearly equal: all are linked to
+the smallest.
 
 Defined results: rows with equal texts are one class, which counts once; a null text counts as
 empty. A text under five words has one shingle, all of its words; one without words has no
@@ -17,11 +24,13 @@ empty result. Columns besides ``doc_id`` and ``text`` take no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.components import components
@@ -32,30 +41,31 @@ from trolley.llm.stages import keep_rows, staged
 SIZE = 5
 THRESHOLD = 0.8
 TREES = 20
-LONGEST = 8
+#: Prefixes of a label that are tried, where the one before holds too many texts.
+LENGTHS = (4, 8, 16)
 RECALL = 0.9999
+#: Texts of a node that are compared with each other.
+NODE = 256
+#: Levels of the first trees whose minima are kept, a byte of each, to compare texts; and how many
+#: of those ``TREES * SKETCHED`` bytes agree in a pair at the threshold, but for one in 50,000.
+SKETCHED, AGREE = 8, 106
+#: Pairs that a task compares at once.
+PAIRS = 1 << 16
 #: Texts, and shingles, in a block.
 BLOCK = 64
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 1 << 15
 
 
-def prefix_length(
-    threshold: float = THRESHOLD,
-    trees: int = TREES,
-    longest: int = LONGEST,
-    recall: float = RECALL,
-) -> int:
-    """The longest prefix at which a pair at the threshold meets with probability ``recall``."""
-    for length in range(longest, 1, -1):
-        if 1 - (1 - threshold**length) ** trees >= recall:
-            return length
-    return 1
+def trees_for(length: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Trees in one of which a pair at the threshold shares a prefix with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(threshold**length)))
 
 
-def signed(docs: DataFrame, trees: int = TREES, length: int | None = None) -> DataFrame:
-    """doc_id, text_key and the prefix of each tree (none without words) of each row."""
-    depth = length or prefix_length(trees=trees)
+def signed(docs: DataFrame, length: int = LENGTHS[0], trees: int = TREES) -> DataFrame:
+    """doc_id, text_key, the prefix in each tree and a sketch (none without words) of each row."""
+    longest, levels = LENGTHS[-1], max(length, SKETCHED)
+    functions = np.arange(trees)[:, None] * longest + np.arange(levels)[None, :]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -63,13 +73,19 @@ def signed(docs: DataFrame, trees: int = TREES, length: int | None = None) -> Da
             for first, last, data, offsets in text_chunks(batch.column(2)):
                 starts, ends, rows = word_bounds(data, offsets)
                 hashes, firsts = shingles(hasher(data, starts, ends), rows, SIZE)
-                prefixes = np.zeros((0, trees), np.uint64)
+                filled = np.diff(firsts) > 0
+                prefixes, sketches = np.zeros((0, trees), np.uint64), []
                 if len(hashes):
-                    labels = minhashes(hashes, firsts, trees * depth).reshape(-1, trees, depth)
+                    labels = minhashes(hashes, firsts, trees * longest, only=functions.ravel())
+                    labels = labels.reshape(-1, trees, levels)
+                    sketches = [
+                        row.tobytes() for row in labels[:, :TREES, :SKETCHED].astype(np.uint8)
+                    ]
                     prefixes = labels[:, :, 0]
-                    for level in range(1, depth):
+                    for level in range(1, length):
                         prefixes = mixed(prefixes + labels[:, :, level])
-                lists = np.concatenate([[0], np.cumsum(np.diff(firsts) > 0)]) * trees
+                lists = np.concatenate([[0], np.cumsum(filled)]) * trees
+                held = iter(sketches)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
@@ -78,11 +94,14 @@ def signed(docs: DataFrame, trees: int = TREES, length: int | None = None) -> Da
                             pa.array(lists.astype(np.int32)),
                             pa.array(prefixes.reshape(-1).view(np.int64)),
                         ),
+                        pa.array([next(held) if some else None for some in filled], pa.binary()),
                     ],
-                    ["doc_id", "text_key", "prefixes"],
+                    ["doc_id", "text_key", "prefixes", "sketch"],
                 )
 
-    return keyed(docs).mapInArrow(sign, "doc_id long, text_key string, prefixes array<long>")
+    return keyed(docs).mapInArrow(
+        sign, "doc_id long, text_key string, prefixes array<long>, sketch binary"
+    )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -94,21 +113,119 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """``a`` and ``b``: each class with the smallest of every node that it shares.
+def agreeing(nodes: DataFrame, agree: int = AGREE) -> DataFrame:
+    """``a`` and ``b``: a spanning forest of the texts of each node whose sketches agree.
 
-    The shared nodes are written before the join, so that adaptive execution can split it.
+    ``nodes`` has tree, prefix, class and sketch, with a bounded number of rows for each node.
     """
-    nodes = classes.select("class", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = staged(
-        nodes.groupBy(F.col("tree").alias("_tree"), F.col("prefix").alias("_prefix"))
-        .agg(F.min("class").alias("b"), F.count("*").alias("_n"))
-        .where("_n > 1"),
-        "shared",
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            tree, prefix = (rows[n].to_numpy() for n in ("tree", "prefix"))
+            # The last node may go on in the next batch.
+            whole = int(np.flatnonzero((tree != tree[-1]) | (prefix != prefix[-1]))[-1:].sum() + 1)
+            whole = whole if tree[0] != tree[-1] or prefix[0] != prefix[-1] else 0
+            held = rows.slice(whole)
+            if whole:
+                yield _forest(rows.slice(0, whole), agree)
+        if held is not None and held.num_rows:
+            yield _forest(held, agree)
+
+    return (
+        nodes.select("tree", "prefix", "class", "sketch")
+        .repartition("tree", "prefix")
+        .sortWithinPartitions("tree", "prefix", "class")
+        .mapInArrow(compare, "a long, b long")
+    )
+
+
+def _forest(rows: pa.Table, agree: int) -> pa.RecordBatch:
+    """Each text of the sorted nodes with the smallest that it is linked to, directly or not."""
+    tree, prefix, names = (rows[n].to_numpy() for n in ("tree", "prefix", "class"))
+    sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(names), -1)
+    edge = np.ones(len(names), bool)
+    edge[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
+    end = np.append(np.flatnonzero(edge)[1:], len(names))
+    # Every row with each that follows it in its node, in pieces of about ``PAIRS`` pairs.
+    after = np.repeat(end, np.diff(np.append(np.flatnonzero(edge), len(names)))) - np.arange(len(names)) - 1
+    upto = np.cumsum(after)
+    one, other = [], []
+    low = 0
+    while low < len(names):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS)))
+        count = after[low:high]
+        i = np.repeat(np.arange(low, high), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        good = (sketches[i] == sketches[j]).sum(1) >= agree
+        one.append(i[good])
+        other.append(j[good])
+        low = high
+    i, j = np.concatenate(one), np.concatenate(other)
+    root = np.arange(len(names))
+    while True:
+        least, now = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(now, i, least)
+        np.minimum.at(now, j, least)
+        now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    linked = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names[linked]), pa.array(names[root[linked]])], ["a", "b"]
     )
-    return nodes.join(
-        shared, (F.col("tree") == F.col("_tree")) & (F.col("prefix") == F.col("_prefix"))
-    ).select(F.col("class").alias("a"), "b")
+
+
+def candidate_links(
+    docs: DataFrame, classes: DataFrame, lengths: tuple[int, ...] = LENGTHS, node: int = NODE
+) -> DataFrame:
+    """``a`` and ``b``: links whose components hold all pairs that may be similar.
+
+    What is known of the nodes is written before the joins, so that adaptive execution can split
+    them where a node has very many texts.
+    """
+    links: list[DataFrame] = []
+    members = classes.select("class", "text_key", "prefixes", "sketch")
+    for number, length in enumerate(lengths):
+        placed = members.select("class", "sketch", F.posexplode("prefixes").alias("tree", "prefix"))
+        sizes = staged(
+            placed.groupBy(F.col("tree").alias("_tree"), F.col("prefix").alias("_prefix"))
+            .agg(F.min("class").alias("least"), F.count("*").alias("n"))
+            .where("n > 1"),
+            f"nodes{length}",
+        )
+        same = (F.col("tree") == F.col("_tree")) & (F.col("prefix") == F.col("_prefix"))
+        links.append(agreeing(placed.join(sizes.where(F.col("n") <= node), same)))
+        crowded = sizes.where(F.col("n") > node)
+        if crowded.isEmpty():
+            break
+        if number + 1 == len(lengths):
+            links.append(placed.join(crowded, same).select(F.col("class").alias("a"), F.col("least").alias("b")))
+            break
+        longer = lengths[number + 1]
+        going = staged(
+            placed.join(crowded, same)
+            .select("class")
+            .distinct()
+            .join(members.select("class", "text_key", "sketch"), "class"),
+            f"crowded{length}",
+        )
+        texts = docs.select("doc_id", "text", _text_key(docs).alias("key"))
+        some = maybe_in(texts, going.select(F.col("text_key").alias("key")), "key")
+        again = (
+            signed(some, longer, trees_for(longer))
+            .groupBy("text_key")
+            .agg(F.any_value("prefixes").alias("prefixes"))
+        )
+        members = staged(going.join(again, "text_key"), f"members{longer}")
+    return reduce(DataFrame.unionByName, links)
+
+
+def _text_key(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -243,13 +360,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("class_id"),
             F.count("*").alias("class_size"),
             F.any_value("prefixes").alias("prefixes"),
+            F.any_value("sketch").alias("sketch"),
         )
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    found = staged(components(candidate_links(classes)), "candidates")
+    found = staged(components(candidate_links(docs, classes)), "candidates")
     named = staged(
-        found.join(classes.drop("prefixes"), F.col("node") == F.col("class")).select(
+        found.join(classes.drop("prefixes", "sketch"), F.col("node") == F.col("class")).select(
             "root", "class", "class_size", "text_key"
         ),
         "members",
@@ -266,7 +384,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         F.sum("links").alias("n_links"), F.sum("linked_rows").alias("n_linked_rows")
     )
     grouped = staged(
-        classes.drop("prefixes")
+        classes.drop("prefixes", "sketch")
         .join(counted, F.col("class") == F.col("node"), "left")
         .drop("node")
         .join(groups, F.col("class") == F.col("node"), "left")
