@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from trolley.llm import url_filters
 
 
@@ -69,3 +71,41 @@ def test_sql_follows_the_same_rule(spark):
         rules,
     )
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+
+
+def test_very_deep_paths_end(spark):
+    """Traps with hundreds of segments, equal, random or alternating, take a few steps."""
+    import random
+
+    rng = random.Random(1)
+    same = "/".join(f"s{i}" for i in range(500))
+    urls = [(f"http://same.com/{same}", i % 2 == 0) for i in range(40)]
+    urls += [
+        ("http://any.com/" + "/".join(str(rng.random()) for _ in range(500)), None) for _ in range(40)
+    ]
+    urls += [
+        ("http://mix.com/" + "/".join("user" if k % 2 else str(rng.random()) for k in range(300)), True)
+        for _ in range(40)
+    ]
+    urls += [(f"http://mix.com/short/{i}", False) for i in range(60)]
+    start = time.monotonic()
+    seen, templates = verdicts(spark, urls)
+    assert time.monotonic() - start < 60
+    assert seen[True] == {"allow", "block"} and seen[False] == {"allow"}
+    assert f"same.com/{'/'.join(['*'] * 500)}" in templates
+
+
+def test_a_hot_host_is_split(spark, conf):
+    """A third of all pages on one host, all in one template."""
+    from tests.data import plan_of
+
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10KB")
+    urls = [(i, f"http://hot.com/a?{i}" if i % 3 == 0 else f"http://h{i % 5000}.com/b") for i in range(30_000)]
+    pages = spark.createDataFrame(urls, "page_id LONG, url STRING").repartition(8)
+    labels = spark.createDataFrame([], "page_id LONG, bad BOOLEAN")
+    found = url_filters.judge_urls(pages, labels, {})
+    assert len(found.collect()) == 30_000
+    assert "SortMergeJoin(skew=true)" in plan_of(found)

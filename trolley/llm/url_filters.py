@@ -1,13 +1,19 @@
 """Judge URLs by rules, and by a tree of path templates where no rule fits.
 
-The tree is built level by level for each host, as deep as some node has ``min_pages`` pages
-with a further segment. A segment that too few pages share becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts`` meet in
-``/user/*/posts``. What a level or the tree says is written before pages are joined to it, so that
-the join can be split where one host or template has very many pages. Then, from the top, a literal branch whose share of bad labelled pages does
-not differ from its parent's by more than ``similar`` standard errors is merged into the
+The tree of each host goes as deep as some node has ``min_pages`` pages with a further segment. A
+segment that too few pages share becomes a wildcard, so ``/user/17/posts`` and ``/user/18/posts``
+meet in ``/user/*/posts``. Then, from the top, a literal branch whose share of bad labelled pages
+does not differ from its parent's by more than ``similar`` standard errors is merged into the
 wildcard branch beside it. A template is blocked if its smoothed share of bad pages, shrunk
 towards its host and the host towards all pages, reaches ``block_from``.
 
+Neither goes level by level. As long as the pages of a node stay together, because all have the
+same segment or none has enough pages, how often each segment stands at each level says where they
+first part, and all levels before that are taken in one step. So the number of steps is that of
+the forks on a path, not of its segments. Paths that are at their end leave the loop. What a step
+says about nodes is written before paths are joined to it, so that the join can be split where a
+host or template has very many of them; pages meet their verdict in one join at the end.
+
 Defined results: a url that is null or lacks ``://`` has an empty host and path; such rows form
 one host of their own. Empty segments do not count. Segments below the deepest level, where no node has enough pages
 to tell any of them apart, do not count either.
@@ -18,6 +24,8 @@ empty table gives an empty result. Other columns take no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,25 +88,27 @@ def judge_urls(
         ),
         "rows",
     )
-    depth = 0
-    while depth < LEVELS or _goes_on(rows, depth, min_pages):
-        depth += 1
-        rows = staged(_generalised(rows, depth, min_pages), f"generalised{depth}")
-    node = ["host", *(f"t{k}" for k in range(1, depth + 1))]
+    paths = staged(
+        rows.groupBy("host", "segments").agg(
+            F.count("*").alias("pages"),
+            F.count("bad").alias("labelled"),
+            F.count_if("bad").alias("bad"),
+        ),
+        "paths",
+    )
+    named = _named(paths, min_pages)
     tree = staged(
-        rows.groupBy(*node)
-        .agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
-        .withColumns({f"m{k}": F.col(f"t{k}") for k in range(1, depth + 1)}),
+        named.groupBy("host", "names").agg(
+            F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
+        ),
         "tree",
     )
     everywhere = tree.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n")).first()
     overall = everywhere["bad"] / everywhere["n"] if everywhere["n"] else 0.0
-    for k in range(1, depth + 1):
-        tree = staged(_merged(tree, k, overall, similar, weight), f"merged{k}")
-    merged = ["host", *(f"m{k}" for k in range(1, depth + 1))]
+    merged = _merged(tree, overall, similar, weight)
     of_host = tree.groupBy("host").agg(_smoothed(overall, weight).alias("host_badness"))
     scored = (
-        tree.groupBy(*merged)
+        merged.groupBy("host", "merged")
         .agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
         .join(of_host, "host")
         .withColumn(
@@ -107,25 +117,19 @@ def judge_urls(
         )
         .drop("bad", "labelled")
     )
-    # Written before the join, so that adaptive execution can split the pages of a hot template.
-    verdicts = staged(
-        tree.select(*node, *merged[1:])
-        .join(scored, merged)
-        .select(
-            *node,
-            F.concat_ws(
-                "/",
-                F.col("host"),
-                *merged[1 : LEVELS + 1],
-                *(F.nullif(F.col(m), F.lit("")) for m in merged[LEVELS + 1 :]),
-            ).alias("template"),
-            "badness",
-        ),
+    levels = F.concat(
+        "merged", F.array_repeat(F.lit(""), F.greatest(F.lit(0), LEVELS - F.size("merged")))
+    )
+    verdicts = merged.select("host", "names", "merged").join(scored, ["host", "merged"]).select(
+        "host", "names", F.concat_ws("/", F.col("host"), levels).alias("template"), "badness"
+    )
+    by_path = staged(
+        named.select("host", "segments", "names").join(verdicts, ["host", "names"]).drop("names"),
         "verdicts",
     )
     rule, by_rule = longest_rule(F.col("host"), F.col("path"), rules)
     by_tree = F.when(F.col("badness") >= block_from, "block").otherwise("allow")
-    return rows.join(verdicts, node).select(
+    return rows.join(by_path, ["host", "segments"]).select(
         "page_id",
         "host",
         "path",
@@ -136,55 +140,143 @@ def judge_urls(
     )
 
 
-def _goes_on(rows: DataFrame, depth: int, min_pages: int) -> bool:
-    """Whether a node of the last level has enough pages with a further segment."""
-    node = ["host", *(f"t{k}" for k in range(1, depth + 1))]
-    further = rows.where(F.size("segments") > depth).groupBy(*node).agg(F.count("*").alias("n"))
-    return not further.where(F.col("n") >= min_pages).isEmpty()
-
-
-def _generalised(rows: DataFrame, k: int, min_pages: int) -> DataFrame:
-    """With the k-th segment that is not empty, or a wildcard for it, or an empty string."""
-    rows = rows.withColumn(f"t{k}", F.coalesce(F.get("segments", F.lit(k - 1)), F.lit("")))
-    branch = ["host", *(f"t{i}" for i in range(1, k + 1))]
-    literal = staged(
-        rows.where(f"t{k} <> ''")
-        .groupBy(*branch)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
-        .select(*branch, F.lit(True).alias("literal")),
-        f"literal{k}",
-    )
-    name = F.when(F.col("literal") | (F.col(f"t{k}") == ""), F.col(f"t{k}")).otherwise("*")
-    return rows.join(literal, branch, "left").select(
-        *(name.alias(c) if c == f"t{k}" else F.col(c) for c in rows.columns)
+def _named(paths: DataFrame, min_pages: int) -> DataFrame:
+    """``paths`` with the names of their levels: segments, or wildcards for rare ones."""
+    no_names = F.array().cast("array<string>")
+    live = paths.select("host", "segments", "pages", no_names.alias("names"))
+    done, depth = [live.where(F.size("segments") == 0).drop("pages")], LEVELS
+    live = live.where(F.size("segments") > 0)
+    node = ["host", "names"]
+    while not live.isEmpty():
+        # How many pages of a node have each segment at each of the levels below it.
+        level = F.posexplode(F.slice("segments", F.size("names") + 1, F.size("segments")))
+        counts = staged(
+            live.select(*node, "pages", level.alias("at", "segment"))
+            .groupBy(*node, "at", "segment")
+            .agg(F.sum("pages").alias("n")),
+            "counts",
+        )
+        few = F.col("total") < min_pages
+        together = (F.col("most") == F.col("total")) | (F.col("most") < min_pages)
+        forks = staged(
+            counts.groupBy(*node, "at")
+            .agg(
+                F.sum("n").alias("total"),
+                F.max("n").alias("most"),
+                F.max_by("segment", "n").alias("segment"),
+            )
+            .select(
+                *node,
+                "at",
+                F.when(few, "end").when(together, "on").otherwise("fork").alias("kind"),
+                F.when(F.col("most") < min_pages, "*").otherwise(F.col("segment")).alias("name"),
+            )
+            .groupBy(*node)
+            .agg(
+                F.min(F.when(F.col("kind") != "on", F.struct("at", "kind"))).alias("stop"),
+                F.array_sort(F.collect_list(F.struct("at", "name"))).alias("run"),
+            )
+            .select(
+                *node,
+                F.coalesce("stop.at", F.size("run")).alias("stop"),
+                F.coalesce(F.col("stop.kind") == "fork", F.lit(False)).alias("fork"),
+                F.transform("run", lambda r: r["name"]).alias("run"),
+            )
+            .withColumn("run", F.slice("run", F.lit(1), F.col("stop"))),
+            "forks",
+        )
+        reached = forks.agg(F.max(F.size("names") + F.col("stop") + F.col("fork").cast("int"))).first()[0]
+        depth = max(depth, reached or 0)
+        literal = staged(
+            counts.where(F.col("n") >= min_pages)
+            .join(forks.where("fork").select(*node, F.col("stop").alias("at")), [*node, "at"])
+            .select(*node, "segment", F.lit(True).alias("literal")),
+            "literal",
+        )
+        left = F.size("segments") - F.size("names")
+        moved = (
+            live.join(forks, node)
+            .withColumn("segment", F.when(F.col("fork"), F.get("segments", F.size("names") + F.col("stop"))))
+            .join(literal, [*node, "segment"], "left")
+        )
+        name = F.when(F.col("literal"), F.col("segment")).otherwise("*")
+        grown = F.concat("names", F.slice("run", F.lit(1), left))
+        live = staged(
+            moved.select(
+                "host",
+                "segments",
+                "pages",
+                F.when(F.col("segment").isNull(), grown)
+                .otherwise(F.concat(grown, F.array(name)))
+                .alias("names"),
+                (F.col("fork") & (left > F.col("stop") + 1)).alias("on"),
+            ),
+            "named",
+        )
+        done.append(live.where("not on").drop("pages", "on"))
+        live = live.where("on").drop("on")
+    names = reduce(DataFrame.unionByName, done)
+    rest = F.least(F.size("segments"), F.lit(depth)) - F.size("names")
+    stars = F.array_repeat(F.lit("*"), F.greatest(F.lit(0), rest))
+    return staged(
+        paths.join(names.withColumn("names", F.concat("names", stars)), ["host", "segments"]),
+        "names",
     )
 
 
-def _merged(
-    tree: DataFrame, k: int, overall: float, similar: float, weight: float
-) -> DataFrame:
-    parent = ["host", *(f"m{i}" for i in range(1, k))]
-    branches = tree.groupBy(*parent, f"m{k}").agg(
-        F.sum("bad").alias("bad"), F.sum("labelled").alias("n")
-    )
-    siblings = branches.groupBy(*parent).agg(
-        ((F.sum("bad") + weight * F.lit(overall)) / (F.sum("n") + weight)).alias("p")
-    )
-    p = F.col("p")
-    differs = (F.col("n") > 0) & (
-        F.abs(F.col("bad") / F.col("n") - p) > similar * F.sqrt(p * (1 - p) / F.col("n"))
-    )
-    apart = (
-        branches.where(F.col(f"m{k}") != "")
-        .join(siblings, parent)
-        .where(differs)
-        .select(*parent, f"m{k}", F.lit(True).alias("apart"))
-    )
-    name = F.when(F.col("apart") | (F.col(f"m{k}") == ""), F.col(f"m{k}")).otherwise("*")
-    return tree.join(apart, [*parent, f"m{k}"], "left").select(
-        *(name.alias(c) if c == f"m{k}" else F.col(c) for c in tree.columns)
-    )
+def _merged(tree: DataFrame, overall: float, similar: float, weight: float) -> DataFrame:
+    """``tree`` with the names of merged branches, from the top, as ``merged``."""
+    live = tree.withColumn("merged", F.array().cast("array<string>"))
+    done, node, p = [], ["host", "merged"], F.col("p")
+
+    def differs(bad: Column, n: Column) -> Column:
+        apart = F.abs(bad / n - p) > similar * F.sqrt(p * (1 - p) / n)
+        return F.coalesce((n > 0) & apart, F.lit(False))
+
+    while not live.isEmpty():
+        rest = F.slice("names", F.size("merged") + 1, F.greatest(F.size("names"), F.lit(1)))
+        live = live.withColumn("rest", rest)
+        same = F.zip_with("first", "last", lambda a, b: F.coalesce(a == b, F.lit(False)))
+        alike = F.array_position(same, False)
+        nodes = staged(
+            live.groupBy(*node)
+            .agg(
+                F.sum("bad").alias("all_bad"),
+                F.sum("labelled").alias("all_n"),
+                F.min("rest").alias("first"),
+                F.max("rest").alias("last"),
+                _smoothed(overall, weight).alias("p"),
+            )
+            .withColumn("alike", F.when(alike == 0, F.size(same)).otherwise(alike - 1))
+            .withColumn("all_apart", differs(F.col("all_bad"), F.col("all_n")))
+            .select(*node, "p", "alike", "all_apart"),
+            "nodes",
+        )
+        branch = F.coalesce(F.get("rest", F.lit(0)), F.lit(""))
+        joined = live.join(nodes, node).withColumn("branch", branch)
+        apart = staged(
+            joined.where((F.col("alike") == 0) & (F.col("branch") != ""))
+            .groupBy(*node, "branch")
+            .agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n"), F.any_value("p").alias("p"))
+            .where(differs(F.col("bad"), F.col("n")))
+            .select(*node, "branch", F.lit(True).alias("apart")),
+            "apart",
+        )
+        run = F.slice("rest", F.lit(1), F.col("alike").cast("int"))
+        taken = F.when(
+            F.col("alike") > 0,
+            F.when(F.col("all_apart"), run).otherwise(F.transform(run, lambda _: F.lit("*"))),
+        ).otherwise(F.array(F.when(F.col("apart"), F.col("branch")).otherwise("*")))
+        columns = [*tree.columns, "merged"]
+        done.append(joined.where("branch = ''").select(*columns))
+        live = staged(
+            joined.where("branch <> ''")
+            .join(apart, [*node, "branch"], "left")
+            .withColumn("merged", F.concat("merged", taken))
+            .select(*columns),
+            "merged",
+        )
+    return staged(reduce(DataFrame.unionByName, done), "done") if done else live
 
 
 def _smoothed(towards: float, weight: float) -> Column:
