@@ -7,7 +7,7 @@ its host's, and that towards all documents', by as many documents as the spread
 sites justifies. Evidence and prior add up as log odds.
 
 The model is fitted on at most ``FIT_DOCUMENTS`` labelled documents, drawn by a hash of their
-ids. Counts of hosts and paths are taken over all labelled documents.
+ids, with at most ``FIT_BUCKETS`` distinct hashed words each. Counts of hosts and paths are taken over all labelled documents.
 
 Defined results: a null text counts as empty, and an empty one has no evidence. A document
 without a url has its source as host and no path; a null source is a host too. Labels that are
@@ -30,6 +30,8 @@ from trolley.llm.stages import staged
 from trolley.llm.url_filters import url_parts
 
 FIT_DOCUMENTS = 20_000
+#: Texts with more distinct buckets are not drawn, so that the sample is bounded in bytes: 320 MB.
+FIT_BUCKETS = 4096
 BUCKETS = 1 << 18
 PASSES = 6
 #: Bounds of the number of documents that a site's prior is worth.
@@ -90,6 +92,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"])
         .select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], ids["good"])
         .mapInArrow(take, "doc_id long, buckets binary, good boolean")
+        .where(F.octet_length("buckets") <= 4 * FIT_BUCKETS)
+        .limit(FIT_DOCUMENTS)
         .toArrow()
         .sort_by([("doc_id", "ascending")])
     )
@@ -203,9 +207,15 @@ def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None) ->
         else docs.sparkSession.createDataFrame([], "doc_id long, url string")
     )
     host, path = url_parts(F.col("url"))
+    # Rows without an id have no label and no url; in a join they would all meet in one task.
+    named = rows.where("doc_id is not null")
+    nameless = rows.where("doc_id is null").select(
+        "*", F.lit(None).cast("boolean").alias("good"), F.lit(None).cast("string").alias("url")
+    )
     placed = staged(
-        rows.join(known, "doc_id", "left")
+        named.join(known, "doc_id", "left")
         .join(urls, "doc_id", "left")
+        .unionByName(nameless)
         .select(
             *("doc_id", "text_key", "evidence", "good"),
             F.when(F.col("url").isNull(), F.col("source")).otherwise(host).alias("host"),
