@@ -7,6 +7,7 @@ tables by ``trolley.sources.samples``. ``ORDER_TABLES`` is the same view of them
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from importlib.util import find_spec
 
 from pyspark.ml.fpm import FPGrowthModel
@@ -170,6 +171,36 @@ def _csv_with_bad_lines(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return load_tables(spark, folder, "csv", ["orders"], quarantine=scratch_path(spark, "parsed"))
 
 
+def _format_choice(spark: SparkSession, root: str) -> DataFrame:
+    """Aisles from a folder that has them as CSV and as Parquet: the caller says which is read."""
+    aisles, folder = sample_tables(spark, root)["aisles"], scratch_path(spark, "both")
+    write_parquet(aisles.where("aisle_id % 2 = 0"), f"{folder}/aisles")
+    write_csv(aisles.where("aisle_id % 2 = 1"), f"{folder}/{CSV_FILES['aisles']}")
+    found = [
+        load_tables(spark, folder, format, ["aisles"])["aisles"]
+        .withColumn("aisle_id", F.col("aisle_id").cast("int"))
+        .withColumn("format", F.lit(format))
+        for format in ("csv", "parquet")
+    ]
+    return found[0].unionByName(found[1])
+
+
+def _present_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the tables that are there, of all that were asked for."""
+    folder = scratch_path(spark, "some")
+    for name in ("aisles", "departments", "products"):
+        write_parquet(sample_tables(spark, root)[name], f"{folder}/{name}")
+    tables = load_tables(spark, folder, optional=list(CSV_FILES))
+    counted = [df.agg(F.count("*").alias("n")).withColumn("name", F.lit(n)) for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _materialized(spark: SparkSession, root: str) -> DataFrame:
+    """The number of rows of each table, by an action that runs and returns it."""
+    tables = sample_tables(spark, root)
+    return spark.createDataFrame([(n, df.count()) for n, df in tables.items()], "name STRING, n LONG")
+
+
 def _bucketed(report: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     """A report over lines and orders in buckets of their order, which leave the catalog again."""
 
@@ -328,6 +359,9 @@ def order_queries() -> dict[str, Query]:
         "src_csv_typed": _csv_typed,
         "src_csv_products": _csv_products,
         "src_csv_lines": _csv_lines,
+        "src_format_choice": _format_choice,
+        "src_present_tables": _present_tables,
+        "materialized_counts": _materialized,
         "src_csv_quarantine": lambda spark, root: _csv_with_bad_lines(spark, root)["orders"],
         "src_csv_rejected": lambda spark, root: _csv_with_bad_lines(spark, root)["orders_rejected"],
         "q1_bucketed": _bucketed(lambda t: reports.weekend_lunch_baskets(t, MIN_ITEMS)),
@@ -549,6 +583,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT order_id + {FAR} AS order_id, product_id + {FAR} AS product_id,
                    add_to_cart_order, reordered
             FROM prior""",
+        "src_format_choice": """
+            SELECT aisle_id, aisle, CASE aisle_id % 2 WHEN 0 THEN 'parquet' ELSE 'csv' END AS format
+            FROM aisles""",
+        "src_present_tables": """
+            SELECT 'aisles' AS name, COUNT(*) AS n FROM aisles
+            UNION ALL SELECT 'departments', COUNT(*) FROM departments
+            UNION ALL SELECT 'products', COUNT(*) FROM products""",
+        "materialized_counts": """
+            SELECT 'aisles' AS name, COUNT(*) AS n FROM aisles
+            UNION ALL SELECT 'departments', COUNT(*) FROM departments
+            UNION ALL SELECT 'products', COUNT(*) FROM products
+            UNION ALL SELECT 'orders', COUNT(*) FROM shop_orders
+            UNION ALL SELECT 'order_products_prior', COUNT(*) FROM prior""",
         "src_csv_quarantine": f"""
             SELECT {RAW_ORDERS} FROM shop_orders WHERE order_id % {BAD_EVERY} <> 7""",
         "src_csv_rejected": f"""

@@ -23,7 +23,7 @@ from trolley.functions import cached, scratch_path
 from trolley.operators import cleaning, itemsets
 from trolley.operators.windows import hot_keys, mark_hot, running_totals
 from trolley.plans import reports, sqltext
-from trolley.sources import load_tables, sample_tables, write_csv, write_parquet
+from trolley.sources import load_tables, sample_tables, write_bucketed, write_csv, write_parquet
 from trolley.sources.readers import Tables
 from trolley.sources.schemas import CSV_FILES, TABLE_COLUMNS
 
@@ -113,6 +113,16 @@ def default_frame(t: Tables) -> DataFrame:
     )
 
 
+def bucketed(spark: SparkSession, t: Tables) -> Tables:
+    """Lines and orders in as many buckets of their order as shuffles have parts."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = {
+        name: write_bucketed(t[name], f"bench_{name}", scratch_path(spark, name), "order_id", buckets)
+        for name in ("order_products_prior", "orders")
+    }
+    return {**t, **made}
+
+
 def pairs_and_rules(spark: SparkSession, t: Tables) -> DataFrame:
     model = itemsets.mine(reports.order_aisles(t), 0.022, scratch_path(spark, "bench-mining"), 0.148)
     run(itemsets.frequent_pairs(model))
@@ -171,6 +181,12 @@ def main() -> None:
             uneven["orders"].drop("order_date", "order_ts")
         ),
     }
+    by_bucket = bucketed(spark, t)
+    frames |= {
+        "bucketed_q1": lambda: reports.weekend_lunch_baskets(by_bucket),
+        "bucketed_q5": lambda: reports.running_basket(by_bucket),
+        "bucketed_q8": lambda: reports.reorder_rate_by_day(by_bucket),
+    }
     for name, build in frames.items():
         times[name] = typical(build)
 
