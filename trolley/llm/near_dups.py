@@ -44,8 +44,8 @@ TREES = 20
 #: Prefixes of a label that are tried, where the one before holds too many texts.
 LENGTHS = (4, 8, 16)
 RECALL = 0.9999
-#: Texts of a node that are compared with each other.
-NODE = 256
+#: Texts of a node that are compared with each other; in nodes of up to ``FEW``, pair by pair.
+NODE, FEW = 4096, 64
 #: Levels of the first trees whose minima are kept, a byte of each, to compare texts; and how many
 #: of those ``TREES * SKETCHED`` bytes agree in a pair at the threshold, but for one in 50,000.
 SKETCHED, AGREE = 8, 106
@@ -149,8 +149,11 @@ def _forest(rows: pa.Table, agree: int) -> pa.RecordBatch:
     edge = np.ones(len(names), bool)
     edge[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
     end = np.append(np.flatnonzero(edge)[1:], len(names))
-    # Every row with each that follows it in its node, in pieces of about ``PAIRS`` pairs.
-    after = np.repeat(end, np.diff(np.append(np.flatnonzero(edge), len(names)))) - np.arange(len(names)) - 1
+    start = np.flatnonzero(edge)
+    size = end - start
+    # In small nodes every row with each that follows it, in pieces of about ``PAIRS`` pairs.
+    after = np.repeat(end, size) - np.arange(len(names)) - 1
+    after[np.repeat(size > FEW, size)] = 0
     upto = np.cumsum(after)
     one, other = [], []
     low = 0
@@ -173,24 +176,44 @@ def _forest(rows: pa.Table, agree: int) -> pa.RecordBatch:
         if (now == root).all():
             break
         root = now
+    for first, last in zip(start[size > FEW].tolist(), end[size > FEW].tolist()):
+        root[first:last] = first + _linked(sketches[first:last], agree)
     linked = np.flatnonzero(root != np.arange(len(names)))
     return pa.RecordBatch.from_arrays(
         [pa.array(names[linked]), pa.array(names[root[linked]])], ["a", "b"]
     )
 
 
+def _linked(sketches: np.ndarray, agree: int) -> np.ndarray:
+    """The first row that each row is linked to, directly or not.
+
+    A row is compared with those that it is not yet linked to, so a crowd that agrees with its
+    first row costs one pass.
+    """
+    root = np.arange(len(sketches))
+    for row in range(len(sketches)):
+        others = np.flatnonzero(root != root[row])
+        if not len(others):
+            break
+        same = others[(sketches[others] == sketches[row]).sum(1) >= agree]
+        if len(same):
+            joined = np.unique(np.append(root[same], root[row]))
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
 def candidate_links(
     docs: DataFrame, classes: DataFrame, lengths: tuple[int, ...] = LENGTHS, node: int = NODE
 ) -> DataFrame:
     """``a`` and ``b``: links whose components hold all pairs that may be similar.
 
-    What is known of the nodes is written before the joins, so that adaptive execution can split
-    them where a node has very many texts.
+    What is known of the nodes is written before the join, so that adaptive execution can split it
+    where a node has very many texts. Only the texts that meet others bring their sketches.
     """
     links: list[DataFrame] = []
     members = classes.select("class", "text_key", "prefixes", "sketch")
     for number, length in enumerate(lengths):
-        placed = members.select("class", "sketch", F.posexplode("prefixes").alias("tree", "prefix"))
+        placed = members.select("class", F.posexplode("prefixes").alias("tree", "prefix"))
         sizes = staged(
             placed.groupBy(F.col("tree").alias("_tree"), F.col("prefix").alias("_prefix"))
             .agg(F.min("class").alias("least"), F.count("*").alias("n"))
@@ -198,17 +221,19 @@ def candidate_links(
             f"nodes{length}",
         )
         same = (F.col("tree") == F.col("_tree")) & (F.col("prefix") == F.col("_prefix"))
-        links.append(agreeing(placed.join(sizes.where(F.col("n") <= node), same)))
-        crowded = sizes.where(F.col("n") > node)
+        met = staged(placed.join(sizes, same).select("class", "tree", "prefix", "least", "n"), f"met{length}")
+        sketches = members.select(F.col("class").alias("_class"), "sketch")
+        light = met.where(F.col("n") <= node).join(sketches, F.col("class") == F.col("_class"))
+        links.append(agreeing(light))
+        crowded = met.where(F.col("n") > node)
         if crowded.isEmpty():
             break
         if number + 1 == len(lengths):
-            links.append(placed.join(crowded, same).select(F.col("class").alias("a"), F.col("least").alias("b")))
+            links.append(crowded.select(F.col("class").alias("a"), F.col("least").alias("b")))
             break
         longer = lengths[number + 1]
         going = staged(
-            placed.join(crowded, same)
-            .select("class")
+            crowded.select("class")
             .distinct()
             .join(members.select("class", "text_key", "sketch"), "class"),
             f"crowded{length}",
