@@ -172,36 +172,49 @@ def test_recall_and_exact_scores(spark):
     assert hits / (10 * len(by_query)) >= 0.9
 
 
-def test_every_code_within_the_radius_is_retrieved(spark, monkeypatch):
-    """Each pair once, also where a bucket has several chunks; few pairs for a small radius."""
-    monkeypatch.setattr(nearest, "CHUNK", 7)
+def test_every_code_within_the_radius_is_retrieved():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 256, (300, 4), dtype=np.uint8)
+    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
     codes[100:160] = codes[100]
-    rows = [(i, c.tobytes()) for i, c in enumerate(codes)]
-    df = spark.createDataFrame(rows, "class LONG, code BINARY")
-    bits = np.unpackbits(codes, axis=1)
+    index, bits = nearest.Index(codes), np.unpackbits(codes, axis=1)
     apart = (bits[:20, None] != bits[None]).sum(axis=2)
-    for radius in (0, 3, 9, 32):
-        asked = nearest.probes(df.where("class < 20"), 4, radius)
-        found = nearest.retrieved(nearest.indexed(df, 4), asked, 4, radius).collect()
-        assert len(found) == len(set(found)) == (apart <= radius).sum()
-        assert all(apart[r.query, r["class"]] <= radius for r in found)
+    for radius in (0, 3, 9, 12, 32):
+        for query in range(20):
+            found = index.within(codes[query], radius)
+            assert found.tolist() == np.flatnonzero(apart[query] <= radius).tolist()
+
 
+@pytest.mark.parametrize("radius", [0, 3, 9, 32])
+def test_a_query_goes_to_every_block_with_a_code_in_reach(spark, radius):
+    rng = np.random.default_rng(5)
+    middles = rng.integers(0, 256, (30, 4), dtype=np.uint8)
+    codes = middles[rng.integers(0, 30, 600)] ^ (rng.random((600, 4)) < 0.1).astype(np.uint8)
+    df = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(codes)], "class LONG, code BINARY")
+    splits = sorted({bytes(c) for c in codes})[5::9]
+    placed = nearest.blocked(df, spark.sparkContext.broadcast(splits)).cache()
+    block = {r["class"]: r.block for r in placed.collect()}
+    asked = placed.where("class < 15")
+    values = nearest.directory(placed, 4)
+    sent = {(r["class"], r.block) for r in nearest.sent(asked, values, len(splits) + 1, 4, radius).collect()}
+    bits = np.unpackbits(codes, axis=1)
+    apart = (bits[:15, None] != bits[None]).sum(axis=2)
+    needed = {(q, block[c]) for q, c in zip(*np.nonzero(apart <= radius))}
+    assert needed <= sent
+    if radius == 0:
+        assert len(sent) < 0.5 * 15 * (len(splits) + 1)
 
-def test_clustered_vectors_meet_few_candidates(spark):
-    """The index leads to a small share of all pairs where vectors have structure."""
+
+def test_clustered_vectors_meet_few_candidates(spark, monkeypatch):
+    """Probing leads to a small share of all pairs where vectors have structure."""
+    monkeypatch.setattr(nearest, "BLOCK", 300)
     rng = np.random.default_rng(8)
     middles = rng.normal(size=(40, 64)) * 3
     data = middles[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 64))
-    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])
     codes = nearest.learn_codes(data, 10)
-    held = spark.sparkContext.broadcast(codes)
-    classes = nearest.coded_classes(nearest.valid_vectors(df), held, 10, "c").cache()
-    asked = nearest.probes(classes.where("ids[0].vec_id % 50 = 0"), codes.bytes, codes.radius)
-    index = nearest.indexed(classes, codes.bytes)
-    pairs = nearest.retrieved(index, asked, codes.bytes, codes.radius).count()
+    index = nearest.Index(codes.of(data))
+    pairs = sum(len(index.within(codes.of(data[i : i + 1])[0], codes.radius)) for i in range(0, 4000, 50))
     assert pairs < 0.1 * 80 * 4000
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])
     found = nearest.nearest(df, df.where("vec_id % 50 = 0")).collect()
     hits = 0
     for query in range(0, 4000, 50):

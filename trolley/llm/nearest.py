@@ -1,13 +1,16 @@
 """Nearest vectors by multi-index hashing.
 
 Vectors are centred, rotated onto principal axes and rotated again so that their signs lose the
-least (iterative quantisation), which gives binary codes. Codes are cut into substrings of
-eight bits, and each substring has an index: a row for each vector under the substring's value.
-Two codes within a Hamming radius ``r`` agree up to ``r // m`` bits in one of ``m`` substrings, so
-joining a query's probes, the values that near its own, to the index retrieves every code within
-the radius. A pair that several substrings retrieve is taken from the first of them. Retrieved
-vectors are ranked by their exact distances. The radius is learned too: the least one that
-reaches the wanted recall for queries within the sample.
+least (iterative quantisation), which gives binary codes. Codes are put in order and cut into
+blocks. In a block, codes are cut into substrings of eight bits, and each substring has an index:
+the rows of each of its 256 values. Two codes within a Hamming radius ``r`` agree up to ``r // m``
+bits in one of ``m`` substrings, so looking up the values that near a query's own retrieves every
+code of the block within the radius, and only those rows are ranked by their exact distances. The
+radius is learned too: the least one that reaches the wanted recall for queries within the sample.
+
+A directory says which values each block holds. Where codes have structure, a query's values lead
+to few blocks, and only these get the query; where every block holds values near it, all do. Of
+each block a query gets back no more than it can return.
 
 The rotation and the radius come from a sample of ``FIT_ROWS`` vectors at most; every vector is
 indexed and searched. Equal vectors are one, with the ``k + 1`` smallest of their ids and how often
@@ -24,6 +27,7 @@ and ``embedding`` take no part.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -36,10 +40,10 @@ from pyspark.sql import functions as F
 from trolley.llm.stages import buckets_for, staged
 
 FIT_ROWS = 20_000
-#: Vectors of a chunk of a bucket, and of a part in which distances are computed.
-CHUNK, PART = 4096, 8192
-#: Queries, and pairs, that a task compares at once.
-QUERY_BLOCK, PAIR_BLOCK = 512, 1 << 15
+#: Vectors of a block.
+BLOCK = 8192
+#: Queries whose values are written out at once.
+QUERY_BLOCK = 512
 RECALL = 0.97
 ROUNDS = 40
 BYTES_APART = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -168,15 +172,36 @@ def coded_classes(valid: DataFrame, codes, k: int, name: str) -> DataFrame:
     )
 
 
-def indexed(classes: DataFrame, parts: int) -> DataFrame:
-    """part, value, class and code: a row for each substring of each code."""
+def splits_of(sample_codes: np.ndarray, rows: int) -> list[bytes]:
+    """Codes between which blocks of about ``BLOCK`` rows lie, from those of the sample."""
+    ordered = sorted(set(map(bytes, sample_codes)))
+    most = min(buckets_for(rows, BLOCK), len(ordered))
+    return [ordered[i * len(ordered) // most] for i in range(1, most)]
+
+
+def blocked(classes: DataFrame, splits) -> DataFrame:
+    """``classes`` with the block of each code. ``splits`` is broadcast: at most ``FIT_ROWS`` codes."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(splits.value, code) for code in batch.column("code").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "block"]
+            )
+
+    fields = ", ".join(f"{n} {kind}" for n, kind in classes.dtypes)
+    return classes.mapInArrow(place, f"{fields}, block int")
+
+
+def directory(classes: DataFrame, parts: int) -> DataFrame:
+    """part, value and block: which values the codes of each block have."""
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     value = F.conv(F.hex(F.substring("code", F.col("part") + 1, F.lit(1))), 16, 10).cast("int")
-    return classes.select("class", "code", part).withColumn("value", value)
+    return classes.select("block", "code", part).select("part", value.alias("value"), "block").distinct()
 
 
 def probes(queries: DataFrame, parts: int, radius: int) -> DataFrame:
-    """part, value, class and code of each value that a query's substrings are near to."""
+    """part, value and class of each value that a query's substrings are near to."""
     near = APART <= radius // parts
     each, counts = [np.flatnonzero(row).astype(np.int32) for row in near], near.sum(1)
 
@@ -191,120 +216,102 @@ def probes(queries: DataFrame, parts: int, radius: int) -> DataFrame:
                         [
                             pa.array(np.full(len(row), part, np.int32)),
                             pa.array(np.concatenate([each[v] for v in own[:, part].tolist()])),
-                            *(some.column(i).take(pa.array(row)) for i in (0, 1)),
+                            some.column(0).take(pa.array(row)),
                         ],
-                        ["part", "value", "class", "code"],
+                        ["part", "value", "class"],
                     )
 
     return queries.select("class", "code").mapInArrow(
-        probe, "part int, value int, class long, code binary"
+        probe, "part int, value int, class long"
     )
 
 
-def retrieved(index: DataFrame, asked: DataFrame, parts: int, radius: int) -> DataFrame:
-    """``class`` and ``query`` of the codes within ``radius`` of each other, each pair once.
+def sent(asked: DataFrame, held: DataFrame, blocks: int, parts: int, radius: int) -> DataFrame:
+    """``class`` of each query and the ``block`` it goes to.
 
-    ``index`` and ``asked`` come from :func:`indexed` and :func:`probes`. Buckets are cut into chunks
-    by their sizes, of which there are at most 256 for each substring.
+    ``held`` is the directory. If of the values near a query a block is likely to hold one, all
+    blocks are sent the query, which is what asking the directory would come to.
+    """
+    near = float((APART <= radius // parts).sum(1).mean())
+    density = held.count() / (blocks * 256 * parts)
+    if near * parts * density >= 1:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        return asked.select("class", every)
+    return probes(asked, parts, radius).join(held, ["part", "value"]).select("class", "block").distinct()
+
+
+class Index:
+    """The rows of each value of each substring of a block's codes."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.rows = [np.argsort(codes[:, i], kind="stable") for i in range(codes.shape[1])]
+        counts = [np.bincount(codes[:, i], minlength=256) for i in range(codes.shape[1])]
+        self.first = [np.concatenate([[0], np.cumsum(c)]).tolist() for c in counts]
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows whose codes are within ``radius`` of ``code``, from the buckets near it."""
+        parts = len(code)
+        found = []
+        for part, own in enumerate(code.tolist()):
+            first, rows = self.first[part], self.rows[part]
+            values = np.flatnonzero(APART[own] <= radius // parts).tolist()
+            found.extend(rows[first[v] : first[v + 1]] for v in values if first[v] < first[v + 1])
+        if not found:
+            return np.zeros(0, np.int64)
+        rows = np.unique(np.concatenate(found))
+        return rows[BYTES_APART[self.codes[rows] ^ code].sum(axis=1) <= radius]
+
+
+def searched(
+    classes: DataFrame, asked: DataFrame, places: DataFrame, parts: int, radius: int, k: int
+) -> DataFrame:
+    """query, class and score of the ``k + 1`` nearest classes of each query within the radius.
+
+    ``places`` has the blocks that each query goes to. A large block is cut into chunks by a hash;
+    the sizes that say so are as many as blocks, which are at most as many as the sample has rows.
     """
-    sizes = index.groupBy("part", "value").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    bucket = ["part", "value"]
-    rows = index.join(F.broadcast(sizes), bucket).withColumn(
-        "chunk", F.pmod(F.xxhash64("class"), "chunks")
+    sizes = classes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    rows = classes.join(F.broadcast(sizes), "block").select(
+        "block",
+        F.pmod(F.xxhash64("class"), "chunks").alias("chunk"),
+        *("class", "embedding", "code"),
+        F.col("ids")[0]["vec_id"].alias("least"),
     )
-    probing = asked.join(F.broadcast(sizes), bucket).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    queries = (
+        places.join(F.broadcast(sizes), "block")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .join(asked.select("class", "embedding", "code"), "class")
+        .select("block", "chunk", "class", "embedding", "code")
     )
 
-    def compare(key: tuple, held: pa.Table, asking: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def search(held: pa.Table, asking: pa.Table) -> pa.Table:
+        names, least = held["class"].to_numpy(), held["least"].to_numpy()
+        found: list[tuple] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
         if held.num_rows and asking.num_rows:
-            part = key[0].as_py()
-            codes, names = _bytes(held["code"], parts), held["class"].to_numpy()
-            own, who = _bytes(asking["code"], parts), asking["class"].to_numpy()
-            for start in range(0, len(own), QUERY_BLOCK):
-                some = own[start : start + QUERY_BLOCK]
-                apart = np.zeros((len(some), len(codes)), np.uint16)
-                first = np.ones(apart.shape, bool)
-                for i in range(parts):
-                    here = APART[some[:, i]][:, codes[:, i]]
-                    apart += here
-                    if i < part:
-                        first &= here > radius // parts
-                q, c = np.nonzero(first & (apart <= radius))
-                found.append((names[c], who[start + q]))
-        pairs = [np.concatenate(side) for side in zip(*found)] or [np.zeros(0, np.int64)] * 2
-        return pa.table({"class": pairs[0], "query": pairs[1]})
-
-    by = [*bucket, "chunk"]
-    return (
-        rows.select(*by, "class", "code")
-        .groupBy(*by)
-        .cogroup(probing.select(*by, "class", "code").groupBy(*by))
-        .applyInArrow(compare, "class long, query long")
-    )
-
-
-def reranked(pairs: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query, class, least (id) and score of the ``k + 1`` nearest classes of each query.
-
-    Pairs come to where the vectors are, in parts of bounded size, and of each query's vector one
-    copy goes to each part that has a pair of it.
-    """
-    parts = buckets_for(classes.count(), PART)
-    part = F.pmod(F.xxhash64("class"), F.lit(parts)).alias("part")
-    placed = pairs.select(part, "class", "query")
-    sent = placed.select("part", "query").distinct().join(
-        asked.select(F.col("class").alias("query"), F.col("embedding").alias("asked")), "query"
-    )
-    both = placed.withColumn("asked", F.lit(None).cast("array<double>")).unionByName(
-        sent.withColumn("class", F.lit(None).cast("long"))
-    )
-    rows = classes.select(part, "class", "embedding", F.col("ids")[0]["vec_id"].alias("least"))
-
-    def rank(held: pa.Table, given: pa.Table) -> pa.Table:
-        names = ("query", "class", "least", "score")
-        if not given.num_rows:
-            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
-        is_vector = given["class"].is_null()
-        asking, wanted = given.filter(is_vector), given.drop_columns("asked").filter(given["class"].is_valid())
-        vectors, queries = _matrix(held["embedding"]), _matrix(asking["asked"])
-        row, at = (_places(t[n].to_numpy()) for t, n in ((held, "class"), (asking, "query")))
-        c, q = row(wanted["class"].to_numpy()), at(wanted["query"].to_numpy())
-        away = np.empty(len(c))
-        for start in range(0, len(c), PAIR_BLOCK):
-            some = slice(start, start + PAIR_BLOCK)
-            away[some] = np.sqrt(np.square(vectors[c[some]] - queries[q[some]]).sum(axis=1))
-        least = held["least"].to_numpy()[c]
-        order = np.lexsort((least, away, q))
-        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
-        best = order[place <= k]
-        return pa.table(
-            {
-                "query": asking["query"].to_numpy()[q[best]],
-                "class": held["class"].to_numpy()[c[best]],
-                "least": least[best],
-                "score": away[best],
-            }
-        )
+            index, vectors = Index(_bytes(held["code"], parts)), _matrix(held["embedding"])
+            codes, own = _bytes(asking["code"], parts), _matrix(asking["embedding"])
+            for row, query in enumerate(asking["class"].to_pylist()):
+                at = index.within(codes[row], radius)
+                away = np.sqrt(np.square(vectors[at] - own[row]).sum(axis=1))
+                best = np.lexsort((least[at], away))[: k + 1]
+                at = at[best]
+                found.append((np.full(len(at), query), names[at], least[at], away[best]))
+        query, name, first, away = (np.concatenate(column) for column in zip(*found))
+        return pa.table({"query": query, "class": name, "least": first, "score": away})
 
     few = Window.partitionBy("query").orderBy("score", "least")
+    by = ["block", "chunk"]
     return (
-        rows.groupBy("part")
-        .cogroup(both.groupBy("part"))
-        .applyInArrow(rank, "query long, class long, least long, score double")
+        rows.groupBy(*by)
+        .cogroup(queries.groupBy(*by))
+        .applyInArrow(search, "query long, class long, least long, score double")
         .withColumn("place", F.row_number().over(few))
         .where(F.col("place") <= k + 1)
         .drop("place")
     )
 
 
-def _places(names: np.ndarray):
-    """A function from names to where they stand in ``names``."""
-    order = np.argsort(names, kind="stable")
-    return lambda wanted: order[np.searchsorted(names[order], wanted)]
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank from 1, vec_id and score, the distance, of what each query finds.
 
@@ -318,13 +325,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     codes = learn_codes(sample, k)
     held = spark.sparkContext.broadcast(codes)
     parts, most, radius = codes.bytes, 8 * codes.bytes, codes.radius
-    classes = coded_classes(valid, held, k, "classes")
+    coded = coded_classes(valid, held, k, "coded")
+    splits = splits_of(codes.of(sample), coded.count())
+    classes = staged(blocked(coded, spark.sparkContext.broadcast(splits)), "classes")
     asked = coded_classes(valid_vectors(queries, sample.shape[1]), held, k, "queries")
-    index = staged(indexed(classes, parts), "index")
+    values = staged(directory(classes, parts), "directory")
     waiting, found = asked, []
     while not waiting.isEmpty():
-        pairs = staged(retrieved(index, probes(waiting, parts, radius), parts, radius), "pairs")
-        near = staged(_nearest_ids(reranked(pairs, classes, waiting, k), classes, k), "near")
+        places = sent(waiting, values, len(splits) + 1, parts, radius)
+        ranked = searched(classes, waiting, places, parts, radius, k)
+        near = staged(_nearest_ids(ranked, classes, k), "near")
         if radius >= most:
             found.append(near)
             break
