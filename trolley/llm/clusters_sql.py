@@ -16,7 +16,7 @@ def cluster_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024,
             SELECT r, UNNEST(v) AS x, UNNEST(range({dims})) AS d FROM kept
         )""",
         f"""centroids0 AS MATERIALIZED (
-            SELECT c, UNNEST(v) AS at, UNNEST(range({dims})) AS d
+            SELECT c, UNNEST(v) AS place, UNNEST(range({dims})) AS d
             FROM (
                 SELECT v, ROW_NUMBER() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c
                 FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k}
@@ -27,26 +27,26 @@ def cluster_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024,
         steps.append(f"""near{i} AS MATERIALIZED (
             SELECT r, c, distance
             FROM (
-                SELECT r, c, CAST(SUM((x - at) * (x - at)) AS BIGINT) AS distance
+                SELECT r, c, CAST(SUM((x - place) * (x - place)) AS BIGINT) AS distance
                 FROM parts JOIN centroids{i} USING (d) GROUP BY r, c
             )
             QUALIFY ROW_NUMBER() OVER (PARTITION BY r ORDER BY distance, c) = 1
         )""")
         if i < rounds:
             steps.append(f"""centroids{i + 1} AS MATERIALIZED (
-            SELECT c, CAST((total - ((total % n) + n) % n) // n AS BIGINT) AS at, d
+            SELECT c, CAST((total - ((total % n) + n) % n) // n AS BIGINT) AS place, d
             FROM (
                 SELECT c, d, SUM(x) AS total, COUNT(*) AS n
                 FROM parts JOIN near{i} USING (r) GROUP BY c, d
             )
             UNION ALL
-            SELECT c, at, d FROM centroids{i} WHERE c NOT IN (SELECT c FROM near{i})
+            SELECT c, place, d FROM centroids{i} WHERE c NOT IN (SELECT c FROM near{i})
         )""")
     joined = ",\n".join(steps)
     return f"""
         WITH {joined},
         digests AS (
-            SELECT c, sha256(string_agg(CAST(at AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256
+            SELECT c, sha256(string_agg(CAST(place AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256
             FROM centroids{rounds} GROUP BY c
         )
         SELECT vec_id, CAST(c AS INT) AS cluster, distance,
