@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -146,3 +147,27 @@ def test_empty_table(spark, nothing, tokenizers):
     aligned = align(nothing, tokenizers)
     assert aligned_documents(aligned).collect() == [] and pair_counts(aligned).collect() == []
     assert token_groups(nothing, tokenizers).collect() == []
+
+
+def test_runs_encoded_as_one_text_have_the_tokens_of_each(tokenizers):
+    pair = alignment.Pair(tokenizers)
+    runs = ["one", "two.", "a\nb", "é日本", "🙂", "", " x", "x ", "\t", "x ", "it's", "9" * 70, "<|endoftext|>"] * 9
+    spaced = [f" {run}" for run in runs]
+    called = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            called.append(len(texts))
+            return plain.encode_batch_fast(texts, **options)
+
+    plain, pair.a = pair.a, Counting()
+    wide = np.array([len(text.encode()) for text in spaced])
+    ids, of = alignment.encode_spaced(pair, spaced, wide)
+    each = [plain.encode(text, add_special_tokens=False).ids for text in spaced]
+    assert [ids[of == i].tolist() for i in range(len(runs))] == each
+    alone = sum(run != run.strip() or not run for run in runs)
+    assert sum(called) == alone + -(-(len(runs) - alone) // alignment.TOGETHER)
+    ids, of = alignment.encode_spaced(pair, [" ", "  "], np.array([1, 2]))
+    assert [ids[of == i].tolist() for i in (0, 1)] == [
+        plain.encode(text, add_special_tokens=False).ids for text in (" ", "  ")
+    ]

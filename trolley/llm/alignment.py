@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ from trolley.llm.stages import staged
 CHUNK = 1 << 21
 #: Runs, and pairs of theirs, that a task remembers before it starts anew.
 REMEMBERED, REMEMBERED_PAIRS = 250_000, 2_000_000
+#: So many runs are handed to A's tokenizer as one text.
+TOGETHER = 64
 _AWKWARD = re.compile(r"\s | \s|\A | \Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODED = (
@@ -98,6 +101,11 @@ class Pair:
         self.b_length = np.array([len(x) for x in b_bytes], np.int64)
         self.size_a, self.size_b = len(a_bytes), len(b_bytes)
         self.same = np.array([of.get(x, -1) for x in a_bytes], np.int64)
+        # Each id in decimal, with room for what comes after it.
+        names = [str(i).encode() for i in range(max(self.size_a, self.size_b))]
+        self.name_length = np.array([len(x) for x in names], np.int64)
+        room = int(self.name_length.max()) + 1
+        self.names = np.frombuffer(b"".join(x.ljust(room) for x in names), np.uint8).reshape(-1, room)
 
     def _surface(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -123,8 +131,34 @@ def runs(text: str) -> list[str]:
 
 def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and the list of each."""
-    of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    return np.fromiter((i for x in ids for i in x), np.int64, len(of)), of
+    of = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    return np.fromiter(chain.from_iterable(ids), np.int64, len(of)), of
+
+
+def encode_spaced(pair: Pair, spaced: list[str], wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A's ids of texts of ``wide`` bytes that start with a space, and the text of each.
+
+    A token starts at a space between two other characters, so texts without further white space
+    at their ends are encoded as one and told apart by their bytes. Others are encoded alone.
+    """
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in pair.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    alone = np.fromiter((len(x) == 1 or x[1:] != x.strip() for x in spaced), bool, len(spaced))
+    joined = np.flatnonzero(~alone)
+    some = list(map(spaced.__getitem__, joined.tolist()))
+    a, _ = _joined(encode(["".join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)]))
+    ends, cuts = np.cumsum(pair.a_length[a]), np.cumsum(wide[joined])
+    if not (len(ends) and ends[-1] == cuts[-1] and np.isin(cuts, ends).all()):
+        return _joined(encode(spaced))
+    of = joined[np.searchsorted(cuts, ends)]
+    if len(joined) == len(spaced):
+        return a, of
+    rest = np.flatnonzero(alone)
+    others, others_of = _joined(encode(list(map(spaced.__getitem__, rest.tolist()))))
+    of = np.concatenate([of, rest[others_of]])
+    order = np.argsort(of, kind="stable")
+    return np.concatenate([a, others])[order], of[order]
 
 
 def spread(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -133,6 +167,30 @@ def spread(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.repeat(firsts - before, counts) + np.arange(counts.sum())
 
 
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _written(pair: Pair, a: Side, b: Side, tokens: np.ndarray) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` of each run, of ``tokens`` tokens of A and B together.
+
+    A side has the ids, the group of each, and the number of ids of each group.
+    """
+    (a, a_group, n_a), (b, b_group, n_b) = a, b
+    ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+    ids, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[np.arange(len(a)) + (ends_b - n_b)[a_group]] = a
+    ids[np.arange(len(b)) + ends_a[b_group]] = b
+    after[ends_a + ends_b - n_b - 1] = ord("|")
+    after[ends_a + ends_b - 1] = ord(";")
+    length = pair.name_length[ids]
+    characters = pair.names[ids]
+    characters[np.arange(len(ids)), length] = after
+    whole = characters[np.arange(characters.shape[1]) <= length[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(length + 1)])[np.cumsum(tokens)]
+    firsts = np.concatenate([[0], ends])[:-1]
+    return [whole[x:y] for x, y in zip(firsts.tolist(), np.maximum(firsts, ends - 1).tolist())]
+
+
 class Aligner:
     """Groups and pairs of runs; remembers those it has seen."""
 
@@ -142,7 +200,7 @@ class Aligner:
 
     def _forget(self) -> None:
         self._place: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[bytes] = []
         # For each run: tokens of A, of B, groups, links, and whether B spells other bytes.
         self.sizes = np.zeros((0, 5), np.int64)
         self.first = np.zeros(1, np.int64)
@@ -152,26 +210,31 @@ class Aligner:
     def _learn(self, new: list[str]) -> None:
         pair = self.pair
         spaced = [f" {run}" for run in new]
-        a, a_of = _joined([e.ids for e in pair.a.encode_batch(spaced, add_special_tokens=False)])
-        b, b_of = _joined(pair.b.encode(new, num_threads=1))
         n = len(new)
-        wide = np.array([len(run.encode()) for run in spaced], np.int64)
+        wide = np.fromiter((len(run.encode()) for run in spaced), np.int64, n)
+        a, a_of = encode_spaced(pair, spaced, wide)
+        b, b_of = _joined(pair.b.encode(new, num_threads=1))
         wide_b = np.bincount(b_of, pair.b_length[b], n).astype(np.int64)
         wide_a = np.bincount(a_of, pair.a_length[a], n).astype(np.int64)
         bad = (wide_a != wide) | (wide_b != wide)
         a, a_of = a[~bad[a_of]], a_of[~bad[a_of]]
         b, b_of = b[~bad[b_of]], b_of[~bad[b_of]]
         a_end, b_end = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
-        shared = np.intersect1d(a_end, b_end)
-        a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
-        of = np.zeros(len(shared), np.int64)
+        ends_a, shared = np.zeros((2, int(wide.sum()) + 1), bool)
+        ends_a[a_end] = shared[b_end] = True
+        shared &= ends_a
+        before = np.cumsum(shared) - shared
+        a_group, b_group = before[a_end], before[b_end]
+        n_groups = int(np.count_nonzero(shared))
+        of = np.zeros(n_groups, np.int64)
         of[a_group] = a_of
-        n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
-        self._write_groups(n, a, b, n_a, n_b, of)
+        n_a, n_b = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
+        tokens = np.bincount(a_of, minlength=n) + np.bincount(b_of, minlength=n)
+        self.groups.extend(_written(pair, (a, a_group, n_a), (b, b_group, n_b), tokens))
         # Distinct ids of a group with how often it has them, then all pairs of these.
         ua, ta = np.unique(a_group * pair.size_a + a, return_counts=True)
         ub, tb = np.unique(b_group * pair.size_b + b, return_counts=True)
-        few_b = np.bincount(ub // pair.size_b, minlength=len(shared))
+        few_b = np.bincount(ub // pair.size_b, minlength=n_groups)
         first_b = np.cumsum(few_b) - few_b
         group = ua // pair.size_a
         partner = spread(few_b[group], first_b[group])
@@ -191,41 +254,31 @@ class Aligner:
             ],
             axis=1,
         )
-        for run in new:
-            self._place[run] = len(self._place)
+        self._place.update(zip(new, range(len(self._place), len(self._place) + n)))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per_run)])
         self.codes = np.concatenate([self.codes, keys % span])
         self.times = np.concatenate([self.times, times])
 
-    def _write_groups(self, n, a, b, n_a, n_b, of) -> None:
-        a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        written: list[list[str]] = [[] for _ in range(n)]
-        i = j = 0
-        for run, x, y in zip(of.tolist(), n_a.tolist(), n_b.tolist()):
-            written[run].append(f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
-            i, j = i + x, j + y
-        self.groups.extend(map(";".join, written))
-
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the runs of all ``texts``, and how many each has; unspelt texts have none."""
         if len(self._place) > REMEMBERED or len(self.codes) > REMEMBERED_PAIRS:
             self._forget()
         split = [runs(text) if text else [] for text in texts]
-        known = self._place
-        new = list(dict.fromkeys(run for parts in split for run in parts if run not in known))
+        known, flat = self._place, list(chain.from_iterable(split))
+        new = [run for run in dict.fromkeys(flat) if run not in known]
         if new:
             self._learn(new)
         counts = np.array([len(parts) for parts in split], np.int64)
-        place = np.fromiter((known[run] for parts in split for run in parts), np.int64, counts.sum())
+        place = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         row = np.repeat(np.arange(len(texts)), counts)
         lost = np.zeros(len(texts), bool)
         lost[row[self.sizes[place, 4] > 0]] = True
         counts[lost] = 0
         return place[~lost[row]], counts
 
-    def written(self, places: list[int]) -> str:
-        return ";".join(map(self.groups.__getitem__, places))
+    def written(self, places: list[int]) -> bytes:
+        return b";".join(map(self.groups.__getitem__, places))
 
 
 def _within(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -265,7 +318,7 @@ def _chunk(
     bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
     listed = place.tolist()
     digests = [
-        hashlib.sha256(aligner.written(listed[x:y]).encode()).hexdigest() if y > x else ""
+        hashlib.sha256(aligner.written(listed[x:y])).hexdigest() if y > x else ""
         for x, y in zip(bounds, bounds[1:])
     ]
     # Distinct runs of each document, then its distinct pairs with how often it links them.
@@ -447,7 +500,10 @@ def token_groups(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
                 part = batch.slice(first, last - first)
                 place, counts = aligner(part.column(1).to_pylist())
                 listed, ends = place.tolist(), np.cumsum(counts).tolist()
-                written = [aligner.written(listed[y - x : y]) for x, y in zip(counts.tolist(), ends)]
+                written = [
+                    aligner.written(listed[y - x : y]).decode()
+                    for x, y in zip(counts.tolist(), ends)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(written, pa.string())], ["doc_id", "groups"]
                 )
