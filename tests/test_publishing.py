@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from tests.conftest import SF_SMALL
 from tests.data import rows
+from trolley.operators import cleaning
 from trolley.operators.cleaning import preprocess
 from trolley.sources import load_tables, new_set, publish_set, published_set, write_parquet
 
@@ -57,3 +60,16 @@ def test_sets_are_numbered(spark, shop, tmp_path):
         publish_set(spark, root, folders[-1])
         assert published_set(spark, root) == folders[-1]
     assert load_tables(spark, root, names=["aisles"])["aisles"].count() == 2
+
+
+def test_orders_of_both_sets_are_numbered_once(spark, monkeypatch):
+    plans, prepare = [], cleaning.preprocess
+
+    def noting(raw, *args, **options):
+        plans.append(raw["orders"]._jdf.queryExecution().optimizedPlan().toString())
+        return prepare(raw, *args, **options)
+
+    monkeypatch.setattr(cleaning, "preprocess", noting)
+    __spark_entry__.queries()["etl_published"](spark, SF_SMALL)
+    assert len(plans) == 2
+    assert not any("Window" in plan for plan in plans)
