@@ -144,32 +144,46 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
-    weights, at = {}, 0
+    return {name: part.astype(FLOAT) for name, part in views(values).items()}
+
+
+def views(values: np.ndarray) -> dict[str, np.ndarray]:
+    found, at = {}, 0
     for name, shape in SHAPES.items():
         size = int(np.prod(shape))
-        weights[name] = values[at : at + size].reshape(shape).astype(FLOAT)
+        found[name] = values[at : at + size].reshape(shape)
         at += size
-    return weights
+    return found
 
 
 def forward(weights: dict[str, np.ndarray], before: np.ndarray, prior: np.ndarray) -> tuple:
     """Class logits for windows; ``before`` has the inputs and ``prior`` the counted logits."""
-    x = weights["embed"][before]
+    x = weights["embed"].take(before, axis=0)
     x += weights["place"]
-    q, k, v = np.split(x @ weights["qkv"], 3, axis=2)
+    q, k, v = np.split(_times(x, weights["qkv"]), 3, axis=2)
     share = (q * FLOAT(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
     share += weights["apart"][DISTANCE] + FUTURE
     share = _exp(share)
     share_sum = share.sum(axis=2, keepdims=True)
     seen = np.concatenate([x, (share @ v) / share_sum], axis=2)
-    hidden = seen @ weights["mix"]
+    hidden = _times(seen, weights["mix"])
     hidden += weights["bias"]
     np.maximum(hidden, 0, out=hidden)
-    logits = hidden @ weights["out"]
+    logits = _times(hidden, weights["out"])
     logits += prior
     return logits, (x, q, k, v, share, share_sum, seen, hidden)
 
 
+def _flat(a: np.ndarray) -> np.ndarray:
+    """All places of all windows one after another."""
+    return a.reshape(-1, a.shape[-1])
+
+
+def _times(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``a @ weights`` as one product, not one for each window."""
+    return (_flat(a) @ weights).reshape(*a.shape[:-1], weights.shape[1])
+
+
 def _exp(logits: np.ndarray) -> np.ndarray:
     """The exponentials of ``logits``, which they replace."""
     if logits.max(initial=0) > MOST:
@@ -186,51 +200,68 @@ def gradients(
 ) -> tuple[dict[str, np.ndarray], float]:
     """Of the mean loss over the positions that count, and that loss."""
     logits, (x, q, k, v, share, share_sum, seen, hidden) = forward(weights, before, prior)
-    share = share / share_sum
-    at = np.take_along_axis(logits, target[:, :, None], 2)
-    p = _exp(logits)
-    total = p.sum(axis=2, keepdims=True)
+    share /= share_sum
+    p = _flat(logits)
+    every, aim = np.arange(len(p)), target.reshape(-1)
+    at = p[every, aim]
+    _exp(p)
+    total = p.sum(axis=1, keepdims=True)
     n = max(1, int(counts.sum()))
-    loss = float(((np.log(total) - at)[:, :, 0] * counts).sum() / n)
+    loss = float(((np.log(total[:, 0]) - at) * counts.reshape(-1)).sum() / n)
     p /= total
-    np.put_along_axis(p, target[:, :, None], np.take_along_axis(p, target[:, :, None], 2) - 1, 2)
-    p *= (counts / n)[:, :, None]
-    flat_ = lambda a: a.reshape(-1, a.shape[-1])
-    grads = {"out": flat_(hidden).T @ flat_(p)}
-    to_hidden = (p @ weights["out"].T) * (hidden > 0)
-    grads["mix"] = flat_(seen).T @ flat_(to_hidden)
-    grads["bias"] = flat_(to_hidden).sum(axis=0)
-    to_seen = to_hidden @ weights["mix"].T
+    p[every, aim] -= 1
+    p *= (counts / n).reshape(-1, 1)
+    grads = {"out": _flat(hidden).T @ p}
+    to_hidden = p @ weights["out"].T
+    to_hidden *= _flat(hidden) > 0
+    grads["mix"] = _flat(seen).T @ to_hidden
+    grads["bias"] = to_hidden.sum(axis=0)
+    to_seen = (to_hidden @ weights["mix"].T).reshape(seen.shape)
     to_x, to_read = to_seen[:, :, :WIDTH], to_seen[:, :, WIDTH:]
     to_v = share.transpose(0, 2, 1) @ to_read
     to_share = to_read @ v.transpose(0, 2, 1)
-    to_logit = share * (to_share - (share * to_share).sum(axis=2, keepdims=True))
+    to_share -= (share * to_share).sum(axis=2, keepdims=True)
+    to_logit = to_share
+    to_logit *= share
     grads["apart"] = np.bincount(
         DISTANCE.reshape(-1), to_logit.sum(axis=0).reshape(-1), WINDOW
     ).astype(FLOAT)
-    to_logit = to_logit * FLOAT(WIDTH**-0.5)
+    to_logit *= FLOAT(WIDTH**-0.5)
     to_qkv = np.concatenate([to_logit @ k, to_logit.transpose(0, 2, 1) @ q, to_v], axis=2)
-    grads["qkv"] = flat_(x).T @ flat_(to_qkv)
-    to_x = to_x + to_qkv @ weights["qkv"].T
+    grads["qkv"] = _flat(x).T @ _flat(to_qkv)
+    to_x = to_x + _times(to_qkv, weights["qkv"].T)
     grads["place"] = to_x.sum(axis=0)
     grads["embed"] = np.zeros_like(weights["embed"])
-    np.add.at(grads["embed"], before.reshape(-1), flat_(to_x))
+    # With one index for each number: add.at is much slower on rows.
+    number = before.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    np.add.at(grads["embed"].reshape(-1), number.reshape(-1), to_x.reshape(-1))
     return grads, loss
 
 
 class Adam:
+    """Steps of weights that lie in one array, of which ``weights`` has views."""
+
     def __init__(self, weights: dict[str, np.ndarray], rate: float) -> None:
-        self.weights, self.rate, self.step = weights, rate, 0
-        self.mean = {name: np.zeros_like(w) for name, w in weights.items()}
-        self.square = {name: np.zeros_like(w) for name, w in weights.items()}
+        self.all, self.rate, self.step = flat(weights), rate, 0
+        self.weights = views(self.all)
+        self.mean, self.square = np.zeros_like(self.all), np.zeros_like(self.all)
 
     def __call__(self, grads: dict[str, np.ndarray]) -> None:
         self.step += 1
         rate = self.rate * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
-        for name, g in grads.items():
-            self.mean[name] += 0.1 * (g - self.mean[name])
-            self.square[name] += 0.001 * (g * g - self.square[name])
-            self.weights[name] -= (rate * self.mean[name] / (np.sqrt(self.square[name]) + 1e-8)).astype(FLOAT)
+        g = flat(grads)
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.001 * (g * g - self.square)
+        change = np.sqrt(self.square)
+        change += 1e-8
+        np.divide(rate * self.mean, change, out=change)
+        self.all -= change
+
+
+def windows_of(counts: np.ndarray) -> np.ndarray:
+    """How many windows each text of ``counts`` ids has."""
+    n = np.maximum(0, -(-(counts - OVERLAP) // STRIDE))
+    return np.where(counts > 0, np.maximum(n, 1), 0)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,8 +270,7 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     The place of each window's first id, how many of its places hold ids, and the first place
     that it scores. A text's windows overlap by ``OVERLAP`` ids, and each id is scored once.
     """
-    n = np.maximum(0, -(-(counts - OVERLAP) // STRIDE))
-    n = np.where(counts > 0, np.maximum(n, 1), 0)
+    n = windows_of(counts)
     text = np.repeat(np.arange(len(counts)), n)
     number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = (np.cumsum(counts) - counts)[text] + number * STRIDE
@@ -259,7 +289,7 @@ def token_scores(
     for low in range(0, len(start), BATCH):
         some = slice(low, low + BATCH)
         at = start[some, None] + np.minimum(place, size[some, None] - 1)
-        logits, _ = forward(weights, inputs[at], known.prior[before[at]])
+        logits, _ = forward(weights, inputs[at], known.prior.take(before[at], axis=0))
         picked = np.take_along_axis(logits, to_class[at][:, :, None], 2)[:, :, 0]
         value = picked - np.log(_exp(logits).sum(axis=2))
         counted_ = (place >= first[some, None]) & (place < size[some, None])
@@ -274,7 +304,7 @@ def train(
 
     Places after the end of a text are -1.
     """
-    step = Adam({name: w.copy() for name, w in weights.items()}, rate)
+    step = Adam(weights, rate)
     order = np.random.default_rng(seed).permutation(len(sample))
     for low in range(0, len(order), BATCH // 2):
         rows = sample[order[low : low + BATCH // 2]]
@@ -284,7 +314,7 @@ def train(
         grads, _ = gradients(
             step.weights,
             known.input_of[before],
-            known.prior[before],
+            known.prior.take(before, axis=0),
             known.class_of[ids].astype(np.int64),
             counts,
         )

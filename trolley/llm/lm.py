@@ -1,11 +1,11 @@
 """Score texts with a causal self-attention model over subword ids, trained on the corpus.
 
-One pass over the training documents counts words, counts pairs of subword ids and draws a
-fixed share of all windows. The counts give the model its prior (see ``attention``). Each
-trainer makes a pass over its part of all windows, starting from common weights; the mean
-of the trainers' weights is where the next round starts. Both the counts and the windows
-grow with the corpus. Another pass scores all documents: windows overlap, every id is scored
-once, and a batch of windows is one masked attention.
+One pass over the training documents counts words, pairs of subword ids and windows. The counts
+give the model its prior (see ``attention``). Another pass deals all windows out to the trainers,
+packed, once for all rounds. Each trainer makes a pass over its part of all windows, starting from
+common weights; the mean of the trainers' weights is where the next round starts. Both the counts
+and the windows grow with the corpus. A last pass scores all documents: windows overlap, every id
+is scored once, and a batch of windows is one masked attention.
 
 Texts are sequences of words, with ASCII letters in lower case, and an end. The subword ids of a
 word are those of a byte-level vocabulary for the word after a space, so a sequence of words has
@@ -51,6 +51,8 @@ END_WORD = 0
 #: Words that a task remembers, and distinct counts that it holds before it passes them on.
 REMEMBERED = 400_000
 HELD = 1_500_000
+#: Windows that a task packs at a time, into a row for each trainer.
+PACKED = 1 << 18
 _ENCODERS: dict[int, object] = {}
 
 
@@ -169,14 +171,14 @@ class Tally:
         return keys.astype(np.uint64).view(np.int64), counts.astype(np.int64)
 
 
-WORD, PAIR, SAMPLE = 0, 1, 2
+WORD, PAIR, SAMPLE, SAMPLES = 0, 1, 2, 3
 
 
-def gathered(docs: DataFrame, ranks) -> DataFrame:
-    """Counts of words and of pairs of ids, and all windows, told apart by ``kind``.
+def gathered(docs: DataFrame, ranks, count: bool = True, sample: bool = True) -> DataFrame:
+    """Counts of words, pairs of ids and windows, and all windows, told apart by ``kind``.
 
-    ``key`` and ``n`` are what is counted and how often, or the hash and the ids of a window.
-    ``ranks`` is the broadcast vocabulary.
+    ``key`` and ``n`` are what is counted and how often, or the hash of a window and its size;
+    ``ids`` are those of a window, see ``id_type``. ``ranks`` is the broadcast vocabulary.
     """
     fields = ["kind", "key", "n", "ids"]
 
@@ -194,7 +196,7 @@ def gathered(docs: DataFrame, ranks) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, subwords = WordHasher(), Subwords(ranks.value)
-        words, pairs = Tally(), Tally()
+        words, pairs, windows = Tally(), Tally(), 0
         for batch in batches:
             names = batch.column(0).fill_null(0).to_numpy()
             for first, last, data, offsets in text_chunks(batch.column(1)):
@@ -202,17 +204,25 @@ def gathered(docs: DataFrame, ranks) -> DataFrame:
                 starts, ends, rows = word_bounds(data, offsets)
                 hashes = hasher(data, starts, ends)
                 ids, sizes, _ = subwords(data, starts, ends, hashes, rows)
+                before = _before(ids, sizes, subwords.end)
+                if sample:
+                    yield _trained_on(names[first:last], ids, before, sizes, subwords.end, fields)
+                if not count:
+                    continue
+                windows += int(attention.windows_of(sizes).sum())
                 words.add(*subwords.counted)
                 words.add(np.array([END_WORD], np.uint64), np.array([last - first]))
-                before = _before(ids, sizes, subwords.end)
                 key = before.astype(np.uint64) * np.uint64(subwords.end + 1)
                 pairs.add(*np.unique(key + ids.astype(np.uint64), return_counts=True))
-                yield _trained_on(names[first:last], ids, before, sizes, fields)
                 for kind, tally in ((WORD, words), (PAIR, pairs)):
                     if tally.full():
                         yield counts(kind, tally)
-        yield counts(WORD, words)
-        yield counts(PAIR, pairs)
+        if count:
+            yield counts(WORD, words)
+            yield counts(PAIR, pairs)
+            seen = Tally()
+            seen.add(np.zeros(1), np.array([windows]))
+            yield counts(SAMPLES, seen)
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
         gather, "kind int, key long, n long, ids binary"
@@ -226,8 +236,18 @@ def _before(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
+def id_type(end: int) -> type:
+    """What holds the ids of windows on disk, one more than they are: 0 is no id."""
+    return np.uint16 if end < np.iinfo(np.uint16).max else np.int32
+
+
 def _trained_on(
-    names: np.ndarray, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray, fields: list[str]
+    names: np.ndarray,
+    ids: np.ndarray,
+    before: np.ndarray,
+    sizes: np.ndarray,
+    end: int,
+    fields: list[str],
 ) -> pa.RecordBatch:
     """All windows, with a hash of the document's id and the place in it, which deals them out."""
     start, size, _ = attention.windows(sizes)
@@ -235,10 +255,10 @@ def _trained_on(
     place = start - (np.cumsum(sizes) - sizes)[text]
     key = mixed(mixed(names[text].astype(np.uint64)) + place.astype(np.uint64))
     spot = np.arange(WINDOW)
-    held = np.full((len(start), WINDOW + 1), -1, np.int32)
-    held[:, 0] = before[start]
+    held = np.zeros((len(start), WINDOW + 1), id_type(end))
+    held[:, 0] = before[start] + 1
     held[:, 1:] = np.where(
-        spot < size[:, None], ids[np.minimum(start[:, None] + spot, len(ids) - 1)], -1
+        spot < size[:, None], ids[np.minimum(start[:, None] + spot, len(ids) - 1)] + 1, 0
     )
     return pa.RecordBatch.from_arrays(
         [
@@ -285,9 +305,86 @@ def known_counts(pairs: DataFrame, end: int) -> Counted:
     return attention.counted(counts, class_of, after, to_class, between)
 
 
-def trained(samples: DataFrame, known, rates: tuple[float, ...] = RATES) -> np.ndarray:
-    """The weights after a round for each rate. ``known`` is the broadcast prior."""
-    parts = buckets_for(samples.count(), PART)
+def packed(samples: DataFrame, parts: int, of_id: type) -> DataFrame:
+    """A row for each part of all windows: ``n`` and the ``ids`` of its windows, compressed.
+
+    A part's windows come from all over the corpus and stand in the order of their hashes.
+    """
+
+    def rows(part: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part, keys, held = part[order], keys[order], held[order]
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[edges[:-1]].astype(np.int32)),
+                pa.array(np.diff(edges)),
+                pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([_squeezed(held[a:b]) for a, b in spans], pa.binary()),
+            ],
+            ["part", "n", "keys", "ids"],
+        )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, ids = [], [], []
+        for batch in batches:
+            part.append(batch.column(0).to_numpy())
+            keys.append(batch.column(1).to_numpy())
+            ids.extend(batch.column(2).to_pylist())
+            if len(ids) >= PACKED:
+                yield rows(np.concatenate(part), np.concatenate(keys), _unjoined(ids, of_id))
+                part, keys, ids = [], [], []
+        if ids:
+            yield rows(np.concatenate(part), np.concatenate(keys), _unjoined(ids, of_id))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], []
+        for batch in batches:
+            keys.extend(np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist())
+            for n, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                held.append(_unsqueezed(ids, n, of_id))
+        if held:
+            keys, held = np.concatenate(keys), np.concatenate(held)
+            held = held[np.lexsort((held[:, 1], keys))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(held)], pa.int64()), pa.array([_squeezed(held)], pa.binary())],
+                ["n", "ids"],
+            )
+
+    return (
+        samples.select(F.pmod(F.hash("key"), F.lit(parts)).alias("part"), "key", "ids")
+        .mapInArrow(pack, "part int, n long, keys binary, ids binary")
+        .repartitionById(parts, "part")
+        .mapInArrow(merge, "n long, ids binary")
+    )
+
+
+def _unjoined(ids: list[bytes], of_id: type) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), of_id).reshape(len(ids), WINDOW + 1)
+
+
+def _squeezed(held: np.ndarray) -> bytes:
+    """Rows of ids compressed, the first bytes of all ids before the second ones."""
+    planes = held.reshape(-1, 1).view(np.uint8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(ids: bytes, n: int, of_id: type) -> np.ndarray:
+    width = np.dtype(of_id).itemsize
+    planes = pa.decompress(ids, n * (WINDOW + 1) * width, codec="zstd", asbytes=True)
+    planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(of_id).reshape(n, WINDOW + 1)
+
+
+def trained(samples: DataFrame, known, windows: int, rates: tuple[float, ...] = RATES) -> np.ndarray:
+    """The weights after a round for each rate.
+
+    ``known`` is the broadcast prior, and ``windows`` the number of ``samples``.
+    """
+    parts = buckets_for(windows, PART)
+    of_id = id_type(len(known.value.class_of) - 1)
+    dealt = staged(packed(samples, parts, of_id), "windows")
     weights = attention.flat(attention.fresh())
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +400,9 @@ def trained(samples: DataFrame, known, rates: tuple[float, ...] = RATES) -> np.n
             )
 
     for number, rate in enumerate(rates):
-        step = _trainer(weights, known, rate, number)
+        step = _trainer(weights, known, rate, number, of_id)
         means = (
-            samples.repartition(parts, "key")
-            .mapInArrow(step, "weights binary, n long")
+            dealt.mapInArrow(step, "weights binary, n long")
             .repartition(math.isqrt(parts) + 1)
             .mapInArrow(mean, "weights binary, n long")
             .collect()
@@ -317,24 +413,19 @@ def trained(samples: DataFrame, known, rates: tuple[float, ...] = RATES) -> np.n
     return weights
 
 
-def _trainer(weights: np.ndarray, known, rate: float, number: int):
+def _trainer(weights: np.ndarray, known, rate: float, number: int, of_id: type):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, keys = [], []
         for batch in batches:
-            keys.extend(batch.column(0).to_pylist())
-            rows.extend(batch.column(1).to_pylist())
-        if not rows:
-            return
-        sample = np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), WINDOW + 1)
-        sample = sample[np.lexsort((sample[:, 1], keys))]
-        after = attention.train(attention.unflat(weights), known.value, sample, rate, number)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([attention.flat(after).astype(np.float64).tobytes()], pa.binary()),
-                pa.array([len(rows)], pa.int64()),
-            ],
-            ["weights", "n"],
-        )
+            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sample = _unsqueezed(ids, n, of_id).astype(np.int32) - 1
+                after = attention.train(attention.unflat(weights), known.value, sample, rate, number)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([attention.flat(after).astype(np.float64).tobytes()], pa.binary()),
+                        pa.array([n], pa.int64()),
+                    ],
+                    ["weights", "n"],
+                )
 
     return train
 
@@ -346,7 +437,8 @@ def score(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(ranks)
-    stats = staged(gathered(docs.where(~held_out()), vocabulary), "gathered")
+    learned = docs.where(~held_out())
+    stats = staged(gathered(learned, vocabulary, sample=False), "gathered")
     words = staged(
         stats.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "words"
     )
@@ -354,8 +446,9 @@ def score(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         stats.where(F.col("kind") == PAIR).groupBy("key").agg(F.sum("n").alias("n")), "pairs"
     )
     known = context.broadcast(known_counts(pairs, max(ranks.values()) + 1))
-    samples = stats.where(F.col("kind") == SAMPLE).select("key", "ids")
-    weights = context.broadcast(attention.unflat(trained(samples, known)))
+    windows = stats.where(F.col("kind") == SAMPLES).agg(F.sum("n")).first()[0] or 0
+    samples = gathered(learned, vocabulary, count=False).select("key", "ids")
+    weights = context.broadcast(attention.unflat(trained(samples, known, windows)))
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, different = totals["n"] or 0, totals["v"]
     least = FREQUENT * tokens
