@@ -122,6 +122,7 @@ SHAPES = {
     "out": (HIDDEN, CLASSES),
 }
 FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, FLOAT), 1)
+NUMBERS = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
 DISTANCE = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
 
 
@@ -165,7 +166,9 @@ def forward(weights: dict[str, np.ndarray], before: np.ndarray, prior: np.ndarra
     share += weights["apart"][DISTANCE] + FUTURE
     share = _exp(share)
     share_sum = share.sum(axis=2, keepdims=True)
-    seen = np.concatenate([x, (share @ v) / share_sum], axis=2)
+    seen = np.empty((*x.shape[:2], 2 * WIDTH), FLOAT)
+    seen[:, :, :WIDTH] = x
+    np.divide(share @ v, share_sum, out=seen[:, :, WIDTH:])
     hidden = _times(seen, weights["mix"])
     hidden += weights["bias"]
     np.maximum(hidden, 0, out=hidden)
@@ -227,13 +230,16 @@ def gradients(
         DISTANCE.reshape(-1), to_logit.sum(axis=0).reshape(-1), WINDOW
     ).astype(FLOAT)
     to_logit *= FLOAT(WIDTH**-0.5)
-    to_qkv = np.concatenate([to_logit @ k, to_logit.transpose(0, 2, 1) @ q, to_v], axis=2)
+    to_qkv = np.empty((*x.shape[:2], 3 * WIDTH), FLOAT)
+    to_qkv[:, :, :WIDTH] = to_logit @ k
+    to_qkv[:, :, WIDTH : 2 * WIDTH] = to_logit.transpose(0, 2, 1) @ q
+    to_qkv[:, :, 2 * WIDTH :] = to_v
     grads["qkv"] = _flat(x).T @ _flat(to_qkv)
     to_x = to_x + _times(to_qkv, weights["qkv"].T)
     grads["place"] = to_x.sum(axis=0)
     grads["embed"] = np.zeros_like(weights["embed"])
     # With one index for each number: add.at is much slower on rows.
-    number = before.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    number = NUMBERS.take(before.reshape(-1), axis=0)
     np.add.at(grads["embed"].reshape(-1), number.reshape(-1), to_x.reshape(-1))
     return grads, loss
 

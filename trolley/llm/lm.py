@@ -1,8 +1,8 @@
 """Score texts with a causal self-attention model over subword ids, trained on the corpus.
 
 One pass over the training documents counts words, pairs of subword ids and windows. The counts
-give the model its prior (see ``attention``). Another pass deals all windows out to the trainers,
-packed, once for all rounds. Each trainer makes a pass over its part of all windows, starting from
+give the model its prior (see ``attention``). Another pass cuts the texts into windows and deals
+them out to the trainers, packed, once for all rounds. Each trainer makes a pass over its part of all windows, starting from
 common weights; the mean of the trainers' weights is where the next round starts. Both the counts
 and the windows grow with the corpus. A last pass scores all documents: windows overlap, every id
 is scored once, and a batch of windows is one masked attention.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm import attention
 from trolley.llm.attention import CLASSES, FLOAT, PAIRED, WINDOW, Counted
-from trolley.llm.hashing import LOWER, WordHasher, mixed, text_chunks, word_bounds
+from trolley.llm.hashing import LOWER, WordHasher, hash_long, mixed, text_chunks, word_bounds
 from trolley.llm.stages import buckets_for, staged
 
 FREQUENT = 5e-7
@@ -48,12 +48,13 @@ RATES = (1e-2, 3e-3)
 WHOLE = 0.3
 #: The end of a text among the hashes of words.
 END_WORD = 0
-#: Words that a task remembers, and distinct counts that it holds before it passes them on.
+#: Words that a Python worker remembers, and distinct counts that a task holds before it passes
+#: them on.
 REMEMBERED = 400_000
 HELD = 1_500_000
 #: Windows that a task packs at a time, into a row for each trainer.
 PACKED = 1 << 18
-_ENCODERS: dict[int, object] = {}
+_SUBWORDS: list[Subwords] = []
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,24 +74,36 @@ class Subwords:
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.end = max(ranks.values()) + 1
-        self._encoder = _ENCODERS.get(id(ranks))
-        if self._encoder is None:
-            import tiktoken
+        import tiktoken
 
-            self._encoder = tiktoken.Encoding(
-                "words", pat_str=r"[\s\S]{1,64}", mergeable_ranks=ranks, special_tokens={}
-            )
-            _ENCODERS.clear()
-            _ENCODERS[id(ranks)] = self._encoder
-        self._forget()
-
-    def _forget(self) -> None:
+        self.ranks, self.end = ranks, max(ranks.values()) + 1
+        self._encoder = tiktoken.Encoding(
+            "words", pat_str=r"[\s\S]{1,64}", mergeable_ranks=ranks, special_tokens={}
+        )
         self._keys = np.zeros(0, np.uint64)
         self._first = np.zeros(0, np.int64)
         self._count = np.zeros(0, np.int64)
+        self._again = np.zeros(0, bool)
         self._ids = np.zeros(0, np.int32)
 
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Subwords:
+        """The one of this process, which remembers the words of its earlier tasks."""
+        if not _SUBWORDS or _SUBWORDS[0].ranks is not ranks:
+            _SUBWORDS[:] = [cls(ranks)]
+        return _SUBWORDS[0]
+
+    def _forget(self) -> None:
+        """Keeps the words that more than one chunk had, if they are at most half."""
+        kept = self._again
+        if 2 * np.count_nonzero(kept) > REMEMBERED:
+            kept = np.zeros_like(kept)
+        first, count = self._first[kept], self._count[kept]
+        self._keys, self._count = self._keys[kept], count
+        self._first = np.cumsum(count) - count
+        self._again = np.zeros(len(count), bool)
+        self._ids = self._ids[np.repeat(first - self._first, count) + np.arange(count.sum())]
+
     def __call__(
         self,
         data: np.ndarray,
@@ -109,6 +122,7 @@ class Subwords:
         at = np.searchsorted(self._keys, unique)
         known = at < len(self._keys)
         known[known] = self._keys[at[known]] == unique[known]
+        self._again[at[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             text = data.tobytes()
@@ -126,6 +140,7 @@ class Subwords:
             self._keys = np.insert(self._keys, spot, unique[new])
             self._first = np.insert(self._first, spot, first)
             self._count = np.insert(self._count, spot, count)
+            self._again = np.insert(self._again, spot, False)
             at = np.searchsorted(self._keys, unique)
         count, first = self._count[at][inverse], self._first[at][inverse]
         before = np.concatenate([[0], np.cumsum(count)])
@@ -195,28 +210,30 @@ def gathered(docs: DataFrame, ranks, count: bool = True, sample: bool = True) ->
         )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, subwords = WordHasher(), Subwords(ranks.value)
+        subwords = Subwords.of(ranks.value)
         words, pairs, windows = Tally(), Tally(), 0
-        for batch in batches:
-            names = batch.column(0).fill_null(0).to_numpy()
-            for first, last, data, offsets in text_chunks(batch.column(1)):
-                data = LOWER[data]
-                starts, ends, rows = word_bounds(data, offsets)
-                hashes = hasher(data, starts, ends)
-                ids, sizes, _ = subwords(data, starts, ends, hashes, rows)
-                before = _before(ids, sizes, subwords.end)
-                if sample:
-                    yield _trained_on(names[first:last], ids, before, sizes, subwords.end, fields)
-                if not count:
-                    continue
-                windows += int(attention.windows_of(sizes).sum())
-                words.add(*subwords.counted)
-                words.add(np.array([END_WORD], np.uint64), np.array([last - first]))
-                key = before.astype(np.uint64) * np.uint64(subwords.end + 1)
-                pairs.add(*np.unique(key + ids.astype(np.uint64), return_counts=True))
-                for kind, tally in ((WORD, words), (PAIR, pairs)):
-                    if tally.full():
-                        yield counts(kind, tally)
+        for names, ids, before, sizes in _encoded(batches, subwords):
+            if sample:
+                key, size, held = _windows(names, ids, before, sizes, subwords.end)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(key), SAMPLE, np.int32)),
+                        pa.array(key),
+                        pa.array(size),
+                        pa.array([row.tobytes() for row in held], pa.binary()),
+                    ],
+                    fields,
+                )
+            if not count:
+                continue
+            windows += int(attention.windows_of(sizes).sum())
+            words.add(*subwords.counted)
+            words.add(np.array([END_WORD], np.uint64), np.array([len(names)]))
+            key = before.astype(np.uint64) * np.uint64(subwords.end + 1)
+            pairs.add(*np.unique(key + ids.astype(np.uint64), return_counts=True))
+            for kind, tally in ((WORD, words), (PAIR, pairs)):
+                if tally.full():
+                    yield counts(kind, tally)
         if count:
             yield counts(WORD, words)
             yield counts(PAIR, pairs)
@@ -224,9 +241,24 @@ def gathered(docs: DataFrame, ranks, count: bool = True, sample: bool = True) ->
             seen.add(np.zeros(1), np.array([windows]))
             yield counts(SAMPLES, seen)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        gather, "kind int, key long, n long, ids binary"
-    )
+    return _texts(docs).mapInArrow(gather, "kind int, key long, n long, ids binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], subwords: Subwords) -> Iterator[tuple]:
+    """The names of the documents of a chunk, all their ids, the id before each, and their numbers."""
+    hasher = WordHasher()
+    for batch in batches:
+        names = batch.column(0).fill_null(0).to_numpy()
+        for first, last, data, offsets in text_chunks(batch.column(1)):
+            data = LOWER[data]
+            starts, ends, rows = word_bounds(data, offsets)
+            hashes = hasher(data, starts, ends)
+            ids, sizes, _ = subwords(data, starts, ends, hashes, rows)
+            yield names[first:last], ids, _before(ids, sizes, subwords.end), sizes
 
 
 def _before(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -241,15 +273,11 @@ def id_type(end: int) -> type:
     return np.uint16 if end < np.iinfo(np.uint16).max else np.int32
 
 
-def _trained_on(
-    names: np.ndarray,
-    ids: np.ndarray,
-    before: np.ndarray,
-    sizes: np.ndarray,
-    end: int,
-    fields: list[str],
-) -> pa.RecordBatch:
-    """All windows, with a hash of the document's id and the place in it, which deals them out."""
+def _windows(
+    names: np.ndarray, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray, end: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows: a hash of the document's id and the place in it, which deals them out; how
+    many ids each has; and those, after the id before them."""
     start, size, _ = attention.windows(sizes)
     text = np.searchsorted(np.cumsum(sizes), start, side="right")
     place = start - (np.cumsum(sizes) - sizes)[text]
@@ -260,15 +288,7 @@ def _trained_on(
     held[:, 1:] = np.where(
         spot < size[:, None], ids[np.minimum(start[:, None] + spot, len(ids) - 1)] + 1, 0
     )
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(start), SAMPLE, np.int32)),
-            pa.array((key >> np.uint64(1)).astype(np.int64)),
-            pa.array(size.astype(np.int64)),
-            pa.array([row.tobytes() for row in held], pa.binary()),
-        ],
-        fields,
-    )
+    return (key >> np.uint64(1)).astype(np.int64), size.astype(np.int64), held
 
 
 def known_counts(pairs: DataFrame, end: int) -> Counted:
@@ -305,13 +325,16 @@ def known_counts(pairs: DataFrame, end: int) -> Counted:
     return attention.counted(counts, class_of, after, to_class, between)
 
 
-def packed(samples: DataFrame, parts: int, of_id: type) -> DataFrame:
+def packed(samples: DataFrame, parts: int, of_id: type, ranks=None) -> DataFrame:
     """A row for each part of all windows: ``n`` and the ``ids`` of its windows, compressed.
 
     A part's windows come from all over the corpus and stand in the order of their hashes.
+    ``samples`` has a row for each window, or, with the broadcast vocabulary ``ranks``, documents.
+    Their tasks cut the windows and pack them in one Python worker, so that no window is a row.
     """
 
-    def rows(part: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    def rows(keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        part = hash_long(keys) % parts
         order = np.argsort(part, kind="stable")
         part, keys, held = part[order], keys[order], held[order]
         edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
@@ -326,17 +349,27 @@ def packed(samples: DataFrame, parts: int, of_id: type) -> DataFrame:
             ["part", "n", "keys", "ids"],
         )
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if ranks is None:
+            for batch in batches:
+                yield batch.column(0).to_numpy(), _unjoined(batch.column(1).to_pylist(), of_id)
+            return
+        subwords = Subwords.of(ranks.value)
+        for chunk in _encoded(batches, subwords):
+            keys, _, held = _windows(*chunk, subwords.end)
+            yield keys, held
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, ids = [], [], []
-        for batch in batches:
-            part.append(batch.column(0).to_numpy())
-            keys.append(batch.column(1).to_numpy())
-            ids.extend(batch.column(2).to_pylist())
-            if len(ids) >= PACKED:
-                yield rows(np.concatenate(part), np.concatenate(keys), _unjoined(ids, of_id))
-                part, keys, ids = [], [], []
-        if ids:
-            yield rows(np.concatenate(part), np.concatenate(keys), _unjoined(ids, of_id))
+        keys, held, n = [], [], 0
+        for some in cut(batches):
+            keys.append(some[0])
+            held.append(some[1])
+            n += len(some[0])
+            if n >= PACKED:
+                yield rows(np.concatenate(keys), np.concatenate(held))
+                keys, held, n = [], [], 0
+        if n:
+            yield rows(np.concatenate(keys), np.concatenate(held))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], []
@@ -352,9 +385,9 @@ def packed(samples: DataFrame, parts: int, of_id: type) -> DataFrame:
                 ["n", "ids"],
             )
 
+    source = samples.select("key", "ids") if ranks is None else _texts(samples)
     return (
-        samples.select(F.pmod(F.hash("key"), F.lit(parts)).alias("part"), "key", "ids")
-        .mapInArrow(pack, "part int, n long, keys binary, ids binary")
+        source.mapInArrow(pack, "part int, n long, keys binary, ids binary")
         .repartitionById(parts, "part")
         .mapInArrow(merge, "n long, ids binary")
     )
@@ -377,14 +410,17 @@ def _unsqueezed(ids: bytes, n: int, of_id: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(of_id).reshape(n, WINDOW + 1)
 
 
-def trained(samples: DataFrame, known, windows: int, rates: tuple[float, ...] = RATES) -> np.ndarray:
+def trained(
+    docs: DataFrame, ranks, known, windows: int, rates: tuple[float, ...] = RATES
+) -> np.ndarray:
     """The weights after a round for each rate.
 
-    ``known`` is the broadcast prior, and ``windows`` the number of ``samples``.
+    ``ranks`` and ``known`` are the broadcast vocabulary and prior, and ``windows`` the number of
+    those of ``docs``.
     """
     parts = buckets_for(windows, PART)
     of_id = id_type(len(known.value.class_of) - 1)
-    dealt = staged(packed(samples, parts, of_id), "windows")
+    dealt = staged(packed(docs, parts, of_id, ranks), "windows")
     weights = attention.flat(attention.fresh())
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,8 +483,7 @@ def score(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     )
     known = context.broadcast(known_counts(pairs, max(ranks.values()) + 1))
     windows = stats.where(F.col("kind") == SAMPLES).agg(F.sum("n")).first()[0] or 0
-    samples = gathered(learned, vocabulary, count=False).select("key", "ids")
-    weights = context.broadcast(attention.unflat(trained(samples, known, windows)))
+    weights = context.broadcast(attention.unflat(trained(learned, vocabulary, known, windows)))
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, different = totals["n"] or 0, totals["v"]
     least = FREQUENT * tokens
@@ -496,7 +531,7 @@ def _scorer(vocabulary, known, weights, common, smooth: float):
     fields = ["row", "doc_id", "key", "n", "tokens", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, subwords = WordHasher(), Subwords(vocabulary.value)
+        hasher, subwords = WordHasher(), Subwords.of(vocabulary.value)
         keys, counts = common.value
         logs = np.log10((counts + 0.1) / smooth)
         whole = np.log(WHOLE * counts / max(1, counts.sum()))
